@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import kdshard, mixing, rules
+from vellum.llm import kdshard, langid, media, mixing, neardup, packing, rules, secrets, substring, unigram
 from vellum.llm._support import n_words
 
 
@@ -15,6 +15,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_guess_cost_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(_documents(spark, sf_dir)))
+
+
 def op2_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = rules.apply_policy(rules.apply_policy(rules.ledger(_documents(spark, sf_dir)), "base", "__base"))
     return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("__base")).alias("base_failed"), "kept", "failures")
@@ -25,13 +29,39 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
 
 
+def op4_trie_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.token_counts(_documents(spark, sf_dir))
+
+
+def op5_min_max_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_documents(spark, sf_dir), size=2)
+
+
+def op6_substring_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(_documents(spark, sf_dir))
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(packing.pieces(_documents(spark, sf_dir)))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op8_chunked_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(_documents(spark, sf_dir))
+
+
+def op9_language_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = langid.train(_documents(spark, sf_dir))
+    return langid.identify_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), model)
+
+
 def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = kdshard.kd_shards(_documents(spark, sf_dir), leaves=16)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_rule_ledger, op3_source_mix, op10_kd_shards)}
+    return {f.__name__: f for f in (op1_guess_cost_secrets, op2_rule_ledger, op3_source_mix, op4_trie_unigram_counts, op5_min_max_hash, op6_substring_repeats, op7_best_fit_packing, op8_chunked_media, op9_language_evidence, op10_kd_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
