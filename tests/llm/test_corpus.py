@@ -214,7 +214,8 @@ def test_packing_exchanges_until_near_its_bound(spark):
     assert len(rows) == 3000
     n = len({r.sequence_id for r in rows})
     alone = packing.best_fit_decreasing(sorted(lengths, reverse=True))[2]
-    assert packing.lower_bound(np.asarray(lengths)) <= n <= 1.01 * alone
+    # a partition certified by itself keeps its free space, so small partitions cost a little
+    assert packing.lower_bound(np.asarray(lengths)) <= n <= 1.02 * alone
 
 
 def test_lower_bound_is_below_any_packing():

@@ -4,7 +4,7 @@ Documents become token ids in batches: a batch's distinct segments (a run of whi
 characters after it, which a byte-level pre-tokenizer never joins) are encoded once, and the documents' ids are
 gathered from them.  Pieces are dealt by hash to partitions; each is packed by best-fit decreasing, and
 dual-feasible functions over its lengths give a lower bound of its bins.  A partition at its bound is certified.
-The others exchange what lies in their bins that are not full, and are packed again.
+The others exchange their documents: all of theirs are dealt anew to partitions four times as large and packed again.
 
 Null texts are empty: one piece, the end id alone.  Repeated rows are packed as separate items.  Very long texts
 become many pieces.  Empty tables give empty results.  Only the id and the text are read.
@@ -172,15 +172,14 @@ def _packed(df: DataFrame, groups: int, round_: int, capacity: int) -> DataFrame
         bins, offsets, n = best_fit_decreasing(pdf["length"].tolist(), capacity)
         pdf["bin"], pdf["offset"], pdf["bins"] = bins, offsets, n
         pdf["bound"] = lower_bound(pdf["length"].to_numpy(), capacity)
-        pdf["fill"] = pdf.groupby("bin")["length"].transform("sum")
-        return pa.Table.from_pandas(pdf, preserve_index=False).select([*PLAIN, "grp", "bin", "offset", "bins", "bound", "fill"]).cast(SCHEMA)
+        return pa.Table.from_pandas(pdf, preserve_index=False).select([*PLAIN, "grp", "bin", "offset", "bins", "bound"]).cast(SCHEMA)
 
     dealt = df.withColumn("grp", F.pmod(F.xxhash64(F.lit(round_), "doc_id", "row", "piece"), F.lit(groups)))
-    return dealt.groupBy("grp").applyInArrow(pack, f"{PIECES}, grp long, bin long, offset long, bins long, bound long, fill long")
+    return dealt.groupBy("grp").applyInArrow(pack, f"{PIECES}, grp long, bin long, offset long, bins long, bound long")
 
 
 PLAIN = ("doc_id", "row", "piece", "start", "length", "ids_crc32")
-SCHEMA = pa.schema([(n, pa.int32() if n == "piece" else pa.int64()) for n in (*PLAIN, "grp", "bin", "offset", "bins", "bound", "fill")])
+SCHEMA = pa.schema([(n, pa.int32() if n == "piece" else pa.int64()) for n in (*PLAIN, "grp", "bin", "offset", "bins", "bound")])
 
 
 def pack(pieces_df: DataFrame, capacity: int = CAPACITY, rounds: int = 3, group_pieces: int = GROUP_PIECES) -> DataFrame:
@@ -193,10 +192,9 @@ def pack(pieces_df: DataFrame, capacity: int = CAPACITY, rounds: int = 3, group_
         # what is left is less each time, and meets in larger groups
         groups = max(1, math.ceil(n / (group_pieces << 2 * r)))
         packed = staged(_packed(pool, groups, r, capacity), f"packed-{r}").withColumn("sequence_id", F.lit(r << 58) + F.shiftleft("grp", 30) + F.col("bin"))
-        again = (F.col("bins") > F.col("bound")) & (F.col("fill") < capacity)
+        again = F.col("bins") > F.col("bound")
         left = packed.where(again).count() if r + 1 < rounds and groups > 1 else 0
-        # one group that meets all the rest has nobody to exchange with
-        if not left or left == n:
+        if not left:
             settled.append(packed)
             break
         settled.append(packed.where(~again))
