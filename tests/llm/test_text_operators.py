@@ -75,7 +75,9 @@ def test_redaction_leaves_no_secret(docs, spark):
             assert r.text == TEXTS[2]
 
 
-def test_media_round_trip(docs, spark):
+@pytest.mark.parametrize("references", [5000, 2])
+def test_media_round_trip(docs, spark, monkeypatch, references):
+    monkeypatch.setattr(media, "HOT_REFERENCES", references)
     more = [(100 + i, ("shared passage %d " % (i % 3)) * 4000 + "x" * i, "b", 0, "") for i in range(6)]
     df = docs.unionByName(spark.createDataFrame(more, docs.schema))
     text = dict(enumerate(TEXTS)) | {r[0]: r[1] for r in more}

@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +38,24 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+@contextmanager
+def files_cleaned(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the executions inside go as each ends: what they wrote stands for them."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it again: lineage is cut, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vellum/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with files_cleaned(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

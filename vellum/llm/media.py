@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
 
 import numpy as np
@@ -21,10 +22,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm._support import encoded, map_arrow, mix, staged
+from vellum.llm._support import encoded, files_cleaned, map_arrow, mix, staged
 
 MIN_CHUNK, MEAN_BITS, MAX_CHUNK = 4 << 10, 14, 64 << 10
 RATE = 8000
+#: Media that share one copy of a chunk when it is read.
+HOT_REFERENCES = 5000
 #: A random word per byte value.
 GEAR = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32)
 _HEADER = struct.Struct("<4sI4s4sIHHIIHH4sI")
@@ -109,62 +112,92 @@ def features(data: bytes) -> str:
     return f"mean={x.mean():.6f};rms={np.sqrt((x * x).mean()):.6f};crossings={int(((x[1:] < 0) != (x[:-1] < 0)).sum())};samples={len(x)}"
 
 
-READ = "media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+RESULT = "media binary, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, feature string"
+_TYPES = (pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.string())
+
+
+def save_store(df: DataFrame, text_col: str = "text") -> str:
+    """Writes the store as a table bucketed by digest, so that lists are joined with it where its chunks lie; its name."""
+    spark = df.sparkSession
+    name = f"vellum_chunks_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with files_cleaned(spark):
+        store(df, text_col).write.option("compression", "none").bucketBy(n, "digest").saveAsTable(name)
+    return name
 
 
 def read_back(wanted: DataFrame, stored: DataFrame) -> DataFrame:
     """A row per medium of (media, chunks): rebuilt from the store, verified and measured.
 
-    Media of one chunk are measured where their chunk is; the chunks of others meet by medium, in order."""
-    unpack = zstandard.ZstdDecompressor
+    Media of one chunk are measured where their chunk is; the chunks of others meet by medium, in order.  A chunk of
+    more than HOT_REFERENCES media is copied for salted groups of them."""
 
     def result(media_id: bytes, media: bytes):
         if hashlib.sha256(media).digest() != media_id:
             raise ValueError("a medium differs from what was stored")
         data = from_wav(media)
-        return media_id, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(media), media_id.hex(), features(data)
+        return media_id, len(data), hashlib.sha256(data).digest(), zlib.crc32(data[-64:]), len(media), features(data)
 
-    def batch_of(rows):
-        types = (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=[x.split()[0] for x in READ.split(", ")])
+    def batch_of(rows, *more):
+        columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(_TYPES)]
+        return pa.RecordBatch.from_arrays([*columns, *(pa.array(x, t) for x, t in more)], names=[x.split()[0] for x in RESULT.split(", ")] + ["seq", "digest", "z"][: len(more)])
 
     def chunk(z: bytes, digest: bytes) -> bytes:
-        data = unpack().decompress(z)
+        data = zstandard.ZstdDecompressor().decompress(z)
         if hashlib.sha256(data).digest() != digest:
             raise ValueError("a chunk differs from its digest")
         return data
 
-    def whole(batches):
+    def alone(batches):
         for batch in batches:
-            ids, digests, zs = (batch.column(k).to_pylist() for k in range(3))
-            yield batch_of([result(m, chunk(z, d)) for m, d, z in zip(ids, digests, zs, strict=True)])
+            rows, seqs, digests, zs = [], [], [], []
+            for m, n, seq, d, z in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                rows.append(result(m, chunk(z, d)) if n == 1 else (m, *[None] * 5))
+                seqs.append(seq)
+                digests.append(None if n == 1 else d)
+                zs.append(None if n == 1 else z)
+            yield batch_of(rows, (seqs, pa.int32()), (digests, pa.binary()), (zs, pa.binary()))
 
     def ordered(batches):
         at, parts = None, []
         for batch in batches:
             done = []
-            for m, d, z in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)), strict=True):
-                if m != at:
-                    if parts:
-                        done.append(result(at, b"".join(parts)))
-                    at, parts = m, []
-                parts.append(chunk(z, d))
+            for row in zip(*(batch.column(k).to_pylist() for k in range(9)), strict=True):
+                m, d, z = row[0], row[7], row[8]
+                if parts and m != at:
+                    done.append(result(at, b"".join(parts)))
+                    parts = []
+                at = m
+                if z is None:
+                    done.append(row[:6])
+                else:
+                    parts.append(chunk(z, d))
             yield batch_of(done)
         if parts:
             yield batch_of([result(at, b"".join(parts))])
 
     parts = wanted.select("media", F.size("chunks").alias("n"), F.posexplode("chunks").alias("seq", "digest"))
-    single = parts.where("n = 1").join(stored, "digest").select("media", "digest", "z")
-    several = parts.where("n > 1").join(stored, "digest").select("media", "digest", "z", "seq")
-    several = several.repartition("media").sortWithinPartitions("media", "seq").select("media", "digest", "z")
-    return map_arrow(single, whole, READ).unionByName(map_arrow(several, ordered, READ))
+    hot = staged(parts.groupBy("digest").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT_REFERENCES).select("digest", F.ceil(F.col("c") / HOT_REFERENCES).cast("int").alias("salts")), "media-hot")
+    columns = ("media", "n", "seq", "digest", "z")
+    if hot.isEmpty():
+        joined = parts.join(stored, "digest").select(*columns)
+    else:
+        copies = staged(stored.join(hot, "digest").select("digest", "z", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")), "media-copies")
+        salted = parts.join(hot, "digest").withColumn("salt", F.pmod(F.xxhash64("media"), F.col("salts")).cast("int"))
+        joined = parts.join(hot, "digest", "left_anti").join(stored, "digest").select(*columns).unionByName(salted.join(copies, ["digest", "salt"]).select(*columns))
+    # what is measured already travels without bytes
+    met = map_arrow(joined, alone, f"{RESULT}, seq int, digest binary, z binary").repartition("media").sortWithinPartitions("media", "seq")
+    return map_arrow(met, ordered, RESULT)
 
 
 def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stores the media of df's texts and reads them back: ``id, n_bytes``, the read columns and ``n_chunks``."""
+    """Stores the media of df's texts, reads them back and drops the store: ``id, n_bytes``, sizes, digests and features
+    of what was read, ``n_chunks``."""
+    spark = df.sparkSession
     listed = staged(lists(df, id_col, text_col), "media-lists")
-    stored = staged(store(df, text_col), "media-store")
-    wanted = staged(listed.select("media", "chunks").dropDuplicates(["media"]), "media-wanted")
-    read = staged(read_back(wanted, stored), "media-read")
+    name = save_store(df, text_col)
+    read = staged(read_back(listed.select("media", "chunks").dropDuplicates(["media"]), spark.table(name)), "media-read")
+    spark.sql(f"DROP TABLE {name}")
     joined = listed.select("__id", "n_bytes", "media", F.size("chunks").alias("n_chunks")).join(read, "media")
-    return joined.select(F.col("__id").alias(id_col), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_chunks")
+    hexed = lambda c: F.lower(F.hex(c))
+    return joined.select(F.col("__id").alias(id_col), "n_bytes", "payload_bytes", hexed("payload_sha256").alias("payload_sha256"), "tail_crc32", "media_bytes", hexed("media").alias("media_sha256"), "feature", "n_chunks")
