@@ -108,14 +108,14 @@ def quality(text: Column, min_bytes: int = 50, min_words: int = 10, min_lines: i
 
 def deduplicated(values: Column) -> Column:
     """Trimmed strings without empty ones, the word null, and later spellings of one already there."""
-    clean = F.filter(F.transform(values, F.trim), lambda x: (x != "") & (F.lower(x) != "null"))
+    clean = F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: (x != "") & (F.lower(x) != "null"))
     return F.aggregate(clean, F.array().cast("array<string>"), lambda a, x: F.when(F.exists(a, lambda y: F.lower(y) == F.lower(x)), a).otherwise(F.array_append(a, x)))
 
 
 def string_or_array(value: Column) -> Column:
     """Parts of a text: at commas, else at semicolons, else the text alone; trimmed, none empty."""
     parts = F.split(value, F.when(value.contains(","), F.lit(",")).otherwise(F.lit(";")))
-    return F.filter(F.transform(parts, F.trim), lambda x: x != "")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def normalised(text: Column) -> Column:
@@ -238,7 +238,7 @@ def json_text(value: Column) -> Column:
     """The JSON of a model's reply: a fenced block, else from the first bracket to the last, without trailing commas."""
     fenced = F.regexp_extract(value, r"(?s)```(?:json)?\s*(.*?)```", 1)
     body = F.when(fenced != "", fenced).otherwise(F.regexp_extract(value, r"(?s)([\[{].*[\]}])", 1))
-    return F.nullif(F.regexp_replace(F.trim(body), r",\s*([\]}])", "$1"), F.lit(""))
+    return F.nullif(F.regexp_replace(squeezed(body), r",\s*([\]}])", "$1"), F.lit(""))
 
 
 def image_verdict(n_bytes: Column, width: Column, height: Column, min_bytes: int = 5000, min_short: int = 100, min_long: int = 200) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _S, _I, _L, _B, _TS = T.StringType(), T.IntegerType(), T.LongType(), T.BooleanType(), T.TimestampType()
-_SA = T.ArrayType(_S, False)
+_SA = T.ArrayType(_S)
 BBOX = T.StructType([T.StructField(n, T.FloatType()) for n in ("x", "y", "width", "height")])
 
 
@@ -29,7 +29,7 @@ TABLES = {
     "paper_ratings": _table(paper_id=_S, rating=_I, updated_at=_TS),
     "paper_comments": _table(id=_L, paper_id=_S, content=_S, created_at=_TS),
     "llm_call_metrics": _table(id=_L, created_at=_TS, kind=_S, model=_S, prompt_tokens=_I, completion_tokens=_I, latency_ms=_L, success=_B, error=_S),
-    "vectors": _table(id=_S, paper_id=_S, content_type=_S, section_type=_S, chunk_text=_S, vector=T.ArrayType(T.FloatType(), False)),
+    "vectors": _table(id=_S, paper_id=_S, content_type=_S, section_type=_S, chunk_text=_S, vector=T.ArrayType(T.FloatType())),
     "translations": _table(id=_S, paper_id=_S, content_type=_S, content_ref=_S, target_language=_S, source_hash=_S, translated_text=_S, model=_S, created_at=_TS, updated_at=_TS),
 }
 KEYS = {"papers": ("id",), "sections": ("paper_id", "section_type"), "chunks": ("id",), "figures": ("id",), "prompts": ("id",), "store_meta": ("key",), "paper_entities": ("paper_id", "kind", "value"), "paper_ratings": ("paper_id",), "paper_comments": ("id",), "llm_call_metrics": ("id",), "vectors": ("id",), "translations": ("paper_id", "content_type", "content_ref", "target_language")}
@@ -52,7 +52,7 @@ def normalised(df: DataFrame, table: str) -> DataFrame:
         c = F.col(f.name) if f.name in have else F.lit(None)
         if isinstance(f.dataType, T.ArrayType):
             if have.get(f.name) == "string":
-                c = F.from_json(c, f.dataType)
+                c = F.from_json(c, f.dataType)  # null where it is no JSON
             c = F.coalesce(c.cast(f.dataType), F.array().cast(f.dataType))
         elif isinstance(f.dataType, T.StringType):
             c = F.nullif(c.cast("string"), F.lit(""))

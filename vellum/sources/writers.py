@@ -88,7 +88,7 @@ def yaml_header(title: Column, authors: Column, doi: Column) -> Column:
 
 def write_markdown(documents: DataFrame, folder: str) -> None:
     """A folder per document name, written by Spark, so any file system will do."""
-    documents.withColumn("document", F.col("name")).select("document", "value").write.mode("overwrite").partitionBy("document").option("lineSep", "").text(folder)
+    documents.withColumn("document", F.col("name")).select("document", "value").write.mode("overwrite").partitionBy("document").text(folder)
 
 
 def export_counts(papers: DataFrame, sections: DataFrame) -> DataFrame:
