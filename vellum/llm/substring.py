@@ -57,20 +57,20 @@ def windows(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.n
     return doc[: len(full)][inside], place[: len(full)][inside], full[inside], least[: len(full)][inside]
 
 
-def _runs(places: np.ndarray) -> np.ndarray:
-    """Start and end of each run of consecutive places, flat."""
-    gap = np.flatnonzero(np.diff(places) != 1) + 1
-    return np.stack([places[np.concatenate([[0], gap])], places[np.concatenate([gap - 1, [len(places) - 1]])]], 1).ravel()
-
-
-def _grouped_runs(ids: np.ndarray, rows: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
-    """A row per document: the runs of places at which removable windows start."""
+def _run_rows(ids: np.ndarray, rows: np.ndarray, places: np.ndarray, whole: bool) -> pa.RecordBatch:
+    """Runs of consecutive places, as first and last place: a row per document (``whole``) or per run."""
     order = np.lexsort((places, rows, ids))
     ids, rows, places = ids[order], rows[order], places[order]
-    cut = np.flatnonzero((np.diff(ids) != 0) | (np.diff(rows) != 0)) + 1
-    runs = [_runs(x) for x in np.split(places, cut)] if len(ids) else []
-    head = np.concatenate([[0], cut]).astype(np.int64) if len(ids) else np.zeros(0, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(ids[head]), pa.array(rows[head]), pa.array(runs, pa.list_(pa.int32()))], names=["__id", "__row", "runs"])
+    other = np.ones(len(ids), bool)
+    other[1:] = (np.diff(ids) != 0) | (np.diff(rows) != 0)
+    new = other.copy()
+    new[1:] |= np.diff(places) != 1
+    head = np.flatnonzero(new)
+    tail = np.append(head[1:], len(ids))[: len(head)] - 1
+    runs = np.stack([places[head], places[tail]], 1).astype(np.int32).ravel()
+    at = np.flatnonzero(other[head]) if whole else np.arange(len(head))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(2 * at, len(runs)).astype(np.int32)), pa.array(runs))
+    return pa.RecordBatch.from_arrays([pa.array(ids[head[at]]), pa.array(rows[head[at]]), lists], names=["__id", "__row", "runs"])
 
 
 def _smallest(key: tuple[np.ndarray, ...], ids: np.ndarray) -> np.ndarray:
@@ -99,7 +99,7 @@ def removable(docs: DataFrame, size: int = WINDOW) -> DataFrame:
                 doc, place, full, half = windows(texts[at:to], size)
                 own_id, own_row = ids[at:to], rows[at:to]
                 lost = _smallest((full,), own_id[doc]) < own_id[doc]
-                done = _grouped_runs(own_id[doc[lost]], own_row[doc[lost]], place[lost])
+                done = _run_rows(own_id[doc[lost]], own_row[doc[lost]], place[lost], whole=True)
                 k = done.num_rows
                 yield pa.RecordBatch.from_arrays([*done.columns, done.column(1), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int32())], names=["__id", "__row", "runs", "half", "tags", "place"])
                 # the others, a row for consecutive windows under one half
@@ -138,7 +138,8 @@ def removable(docs: DataFrame, size: int = WINDOW) -> DataFrame:
         shift = np.arange(len(tags)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         full_id = ids[which]
         lost = _smallest((tags, half[which]), full_id) < full_id
-        out = _grouped_runs(full_id[lost], rows[which[lost]], (place[which] + shift)[lost].astype(np.int64))
+        # a row per run: their number follows the input, however many partitions a document's windows are dealt to
+        out = _run_rows(full_id[lost], rows[which[lost]], (place[which] + shift)[lost].astype(np.int64), whole=False)
         for at in range(0, out.num_rows, 10_000):
             yield out.slice(at, 10_000)
 
