@@ -17,14 +17,15 @@ from pyspark.sql import functions as F
 from vellum.llm._support import SEPARATORS
 
 #: Rule name to its bit; bits are never reused for another rule.
-RULES = {"few_words": 0, "repeated_windows": 1, "symbols": 2, "duplicate_lines": 3, "word_length": 4, "joined_words": 5, "no_letters": 6, "exclaimed": 7, "tabular": 8}
+RULES = {"few_words": 0, "repeated_windows": 1, "symbols": 2, "duplicate_lines": 3, "word_length": 4, "joined_words": 5, "no_letters": 6, "exclaimed": 7, "tabular": 8, "stuttered": 9}
 #: Policy versions: the rules that reject.
 POLICIES = {
     "base": ("few_words", "repeated_windows"),
     "v1": ("few_words", "repeated_windows", "symbols", "duplicate_lines", "word_length", "no_letters"),
     "v2": ("few_words", "repeated_windows", "symbols", "duplicate_lines", "word_length", "no_letters", "exclaimed", "tabular"),
+    "v3": ("few_words", "repeated_windows", "symbols", "word_length", "no_letters", "exclaimed", "tabular", "stuttered"),
 }
-DEFAULT_POLICY = "v2"
+DEFAULT_POLICY = "v3"
 #: Words of a window for repeats.
 WINDOW = 5
 
@@ -64,6 +65,7 @@ def ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
         F.size("__l").cast("long").alias("n_lines"),
         F.regexp_count("__t", F.lit(r"!!")).cast("long").alias("n_exclaimed"),
         F.regexp_count("__t", F.lit(r"[ \n]\|[ \n]")).cast("long").alias("n_bars"),
+        F.size(F.filter(v, lambda x, i: F.coalesce(F.get(v, i + 1) == x, F.lit(False)))).cast("long").alias("n_stutters"),
         F.regexp_like("__t", F.lit(r"\p{L}")).alias("has_letters"),
     )
     n, c = F.col("n_words"), F.col
@@ -77,6 +79,7 @@ def ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
         "no_letters": ~c("has_letters"),
         "exclaimed": 10 * c("n_exclaimed") > 2 * n,
         "tabular": 10 * c("n_bars") > 2 * n,
+        "stuttered": 10 * c("n_stutters") > 2 * n,
     }
     bits = F.lit(0).cast("long")
     for rule, bit in RULES.items():
