@@ -26,6 +26,8 @@ UNKNOWN = "und"
 #: Labelled rows to train on: those with the least hash of their id.
 SAMPLE_ROWS = 2000
 BUCKETS = 1 << 15
+#: Share of trigrams that are chance in any text.
+CHANCE = 0.2
 #: Trigrams overlap, so each counts as a third of an observation.
 TEMPER = 1 / 3
 #: A declaration names the right language this often.
@@ -71,8 +73,9 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     table = np.full((len(langs) + 1, BUCKETS), -np.log(BUCKETS), np.float32)
     for k, lang in enumerate(langs):
         bucket, _ = _trigrams([r[1].encode() for r in found if r[0] == lang])
-        count = np.bincount(bucket, minlength=BUCKETS) + 0.05
-        table[k] = np.log(count / count.sum())
+        count = np.bincount(bucket, minlength=BUCKETS)
+        # a share of chance in every language, so that digits and keys among words do not outweigh them
+        table[k] = np.log((1 - CHANCE) * count / max(1, count.sum()) + CHANCE / BUCKETS)
     return Model((*langs, UNKNOWN), table)
 
 
