@@ -55,7 +55,7 @@ def test_job_queue(spark, tmp_path):
     schema = "paper_id string, event string, at int"
     spark.createDataFrame([("a", "submit", 1), ("a", "submit", 2), ("a", "done", 3), ("b", "submit", 1), ("b", "failed", 2)], schema).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
-    q = jobs.job_queue(stream).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start(f"{tmp_path}/out")
+    q = jobs.job_queue(stream, 3_600_000).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start(f"{tmp_path}/out")
     q.awaitTermination(120)
     got = sorted((r.paper_id, r.action) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     assert got == [("a", "indexed"), ("a", "skip"), ("a", "start"), ("b", "retry"), ("b", "start")]

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from vellum.functions.query import sanitise
 from vellum.operators import aggregates, fulltext, fusion, graph, listing, retrieval, sync, tables, vector
 from vellum.schema import TABLES, normalised
-from vellum.sources import readers, writers
+from vellum.functions import text as tx
+from vellum.sources import libraries, readers, writers
 
 
 def rows(df, *cols):
@@ -251,3 +252,31 @@ def test_figure_pages(spark):
     figs = spark.createDataFrame([("f", "d", "Figure 1. Loss curves of the long training runs")], "id string, doc_id string, caption string")
     assert rows(readers.figure_pages(figs, pages), "id", "page") == [("f", 2)]
     assert rows(readers.page_rejections(pages.where("doc_id = 'e'"), 5), "error") == [("images only",)]
+
+
+def library_of(n, version=9):
+    def fetch(start, limit, since):
+        have = [{"key": f"k{i}", "version": i, "item_type": "note" if i % 50 == 0 else "article", "title": f" T{i} ", "tags": ["t"]} for i in range(1, n + 1) if i > since]
+        return {"items": have[start : start + limit], "total": len(have), "version": version}
+
+    return fetch
+
+
+def test_library_pages_and_changes(spark, tmp_path):
+    spark.dataSource.register(libraries.library_source("shelf", library_of(230, 230)))
+    found = libraries.items(spark, "shelf")
+    assert found.count() == 226 and libraries.items(spark, "shelf", 200).count() == 30 and libraries.item_papers(found).where("title = 'T7'").count() == 1
+    stream = spark.readStream.format("shelf").load()
+    for _ in range(2):
+        stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/ck").trigger(once=True).start(f"{tmp_path}/out").awaitTermination(120)
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 230
+    reader = libraries._Changes(lambda s, n, since: {"items": [], "total": 5, "version": 8})
+    assert reader.read({"version": 3})[1] == {"version": 3}
+
+
+def test_paths_and_replies(spark):
+    df = spark.createDataFrame([("a/b", "'file:///x%20y'", "A study of rice genomes"), ("../b", "/a\\ b", "")], "p string, q string, t string")
+    got = df.select(tx.safe_join(F.lit("/r/"), F.col("p")), tx.normalised_path(F.col("q")), tx.file_search_terms(F.col("t"))).collect()
+    assert [tuple(r) for r in got] == [("/r/a/b", "/x y", ["study", "rice", "genomes"]), (None, "/a b", [])]
+    raw = spark.createDataFrame([(libraries.reply_of(md_content="# x", images={"a": "b"}),), (libraries.reply_of(data={"markdown": "y"}),)], "raw string")
+    assert [r[0].markdown for r in raw.select(libraries.conversion_reply(F.col("raw"))).collect()] == ["# x", "y"]

@@ -250,3 +250,22 @@ def image_verdict(n_bytes: Column, width: Column, height: Column, min_bytes: int
 def truncated_to(text: Column, n: Column) -> Column:
     """``truncated`` for a length that is a column, above 3."""
     return F.when(F.char_length(text) <= n, text).otherwise(F.concat(F.substring(text, F.lit(1), n - 3), F.lit("...")))
+
+
+def safe_join(root: Column, part: Column) -> Column:
+    """A path under root; null if the part would leave it."""
+    bad = part.rlike(r"(^|[/\\])\.\.([/\\]|$)") | part.rlike(r"^([/\\~]|[A-Za-z]:)")
+    return F.when(~bad, F.concat(F.rtrim(root, F.lit("/")), F.lit("/"), part))
+
+
+def normalised_path(path: Column) -> Column:
+    """A pasted path without quotes, a file scheme, escapes and backslashes before spaces."""
+    t = F.btrim(F.trim(path), F.lit("\"'"))
+    scheme = t.startswith("file://")
+    decoded = F.url_decode(F.replace(F.regexp_replace(t, "^file://", ""), F.lit("+"), F.lit("%2B")))
+    return F.when(scheme, decoded).otherwise(F.replace(t, F.lit("\\ "), F.lit(" ")))
+
+
+def file_search_terms(title: Column, least: int = 4, most: int = 6) -> Column:
+    """The longer words of a title, by which its file may be named."""
+    return F.slice(F.array_distinct(F.filter(F.split(normalised(title), " "), lambda w: F.char_length(w) >= least)), 1, most)

@@ -46,7 +46,7 @@ JOB_STATE = "attempts int, in_flight boolean"
 JOB_OUT = "paper_id string, action string, attempts int"
 
 
-def _run_job(key: tuple[str], rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _run_job(key: tuple[str], rows: Iterator[pd.DataFrame], state: GroupState, retry_after_ms: int) -> Iterator[pd.DataFrame]:
     attempts, flying = state.get if state.exists else (0, False)
     out = []
     if state.hasTimedOut:
@@ -69,16 +69,20 @@ def _run_job(key: tuple[str], rows: Iterator[pd.DataFrame], state: GroupState) -
         if attempts or flying:
             state.update((attempts, flying))
             if out and out[-1][0] == "retry":
-                state.setTimeoutDuration(RETRY_AFTER_MS)
+                state.setTimeoutDuration(retry_after_ms)
         elif state.exists:
             state.remove()
     yield pd.DataFrame([(key[0], action, n) for action, n in out], columns=["paper_id", "action", "attempts"])
 
 
-def job_queue(events: DataFrame) -> DataFrame:
+def job_queue(events: DataFrame, retry_after_ms: int = RETRY_AFTER_MS) -> DataFrame:
     """Actions from job events (paper_id, event: submit, done or failed, at): a paper in flight is not started again, a
     failed one is tried again three times, ten seconds later."""
-    return events.groupBy("paper_id").applyInPandasWithState(_run_job, JOB_OUT, JOB_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+    def run(key, rows, state):
+        return _run_job(key, rows, state, retry_after_ms)
+
+    return events.groupBy("paper_id").applyInPandasWithState(run, JOB_OUT, JOB_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def rolling_metrics(calls: DataFrame, window: str = "24 hours", slide: str = "1 hour", late: str = "1 hour") -> DataFrame:
