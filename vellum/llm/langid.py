@@ -144,7 +144,7 @@ def host_priors(scored: DataFrame, model: Model) -> tuple[DataFrame, list[float]
 
 
 def fuse(scored: DataFrame, model: Model) -> DataFrame:
-    """scored (with ``__ll, __host, __suffix, __declared``) with ``lang, posterior, text_lang, accepted``."""
+    """scored (with ``__ll, __host, __suffix, __declared``) with ``__found``: lang, posterior, text_lang and accepted."""
     n, langs = len(model.langs), F.array(*(F.lit(x) for x in model.langs))
     hosts, base = host_priors(scored, model)
     hosts = F.broadcast(hosts) if hosts.count() <= BROADCAST_HOSTS else hosts
@@ -161,10 +161,11 @@ def fuse(scored: DataFrame, model: Model) -> DataFrame:
     joined = joined.withColumn("__lp", F.zip_with(F.zip_with("__ll", prior, lambda a, b: a + b), said, lambda a, b: a + b)).withColumn("__top", F.array_max("__lp"))
     best = F.array_position("__lp", F.col("__top")).cast("int")
     mass = F.aggregate("__lp", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("__top")))
-    out = joined.withColumn("lang_found", F.when(F.col("__ll").isNull(), F.lit(UNKNOWN)).otherwise(F.element_at(langs, best))).withColumn("posterior", F.when(F.col("__ll").isNull(), F.lit(0.0)).otherwise(1 / mass))
-    out = out.withColumn("text_lang", F.when(F.col("__g") >= 0, F.get(langs, F.col("__g"))).otherwise(F.lit(UNKNOWN)))
-    out = out.withColumn("accepted", (F.col("lang_found") != UNKNOWN) & (F.col("posterior") >= MIN_POSTERIOR))
-    return out.drop("__k", "__n", "__up", "__g", "__seen", "__lp", "__top", "__ll")
+    lang = F.when(F.col("__ll").isNull(), F.lit(UNKNOWN)).otherwise(F.element_at(langs, best))
+    posterior = F.when(F.col("__ll").isNull(), F.lit(0.0)).otherwise(1 / mass)
+    text_lang = F.when(F.col("__g") >= 0, F.get(langs, F.col("__g"))).otherwise(F.lit(UNKNOWN))
+    found = F.struct(lang.alias("lang"), posterior.alias("posterior"), text_lang.alias("text_lang"), ((lang != UNKNOWN) & (posterior >= MIN_POSTERIOR)).alias("accepted"))
+    return joined.withColumn("__found", found).drop("__k", "__n", "__up", "__g", "__seen", "__lp", "__top", "__ll")
 
 
 def identify_pages(pages: DataFrame, model: Model, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -172,11 +173,11 @@ def identify_pages(pages: DataFrame, model: Model, id_col: str = "page_id", url_
     host = host_of(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("__id"), F.col(html_col).alias("__t"), host.alias("__host"), suffix_of(host).alias("__suffix"), declared_in(F.col(html_col)).alias("__declared"))
     scored = staged(likelihoods(rows, model, "__t", markup=True).drop("__t"), "lang-pages")
-    return fuse(scored, model).select(F.col("__id").alias(id_col), F.col("__host").alias("host"), F.col("__declared").alias("declared"), "text_lang", F.col("lang_found").alias("lang"), F.round("posterior", 6).alias("posterior"), "accepted")
+    return fuse(scored, model).select(F.col("__id").alias(id_col), F.col("__host").alias("host"), F.col("__declared").alias("declared"), "__found.text_lang", "__found.lang", F.round("__found.posterior", 6).alias("posterior"), "__found.accepted")
 
 
 def filter_documents(docs: DataFrame, model: Model, text_col: str = "text", host_col: str = "source", declared_col: str = "lang") -> DataFrame:
     """The rows of docs whose language is accepted, with the columns of docs; a source stands for a host, its label for
     a declaration.  The texts are read twice and not shuffled."""
     tagged = docs.withColumns({"__host": F.col(host_col), "__suffix": F.lit(None).cast("string"), "__declared": F.lower(F.col(declared_col))})
-    return fuse(likelihoods(tagged, model, text_col), model).where("accepted").select(*docs.columns)
+    return fuse(likelihoods(tagged, model, text_col), model).where("__found.accepted").select(*docs.columns)
