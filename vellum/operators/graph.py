@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from vellum.functions import text as tx
 
 KEYWORD, TOKEN, ENTITY = 0.3, 0.2, 0.5
+#: Papers of a graph that is shown.
+MAX_NODES = 1000
 # Filler words that keyword tokens leave out.
 FILLERS = """analysis analyses approach approaches application applications assay assays based benchmark benchmarks biological
 cancer cell cells characterization classification clinical clustering comparison comprehensive computational data
@@ -124,7 +126,7 @@ def nodes(papers: DataFrame) -> DataFrame:
 
 def paper_graph(papers: DataFrame, entities: DataFrame, limit: int = 200, cap: int = 0, focus: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of the latest indexed papers; a focus outside them is added with its strongest edges."""
-    shown = papers.where(F.col("status") == "indexed").orderBy(F.desc("updated_at"), "id").limit(limit)
+    shown = papers.where(F.col("status") == "indexed").orderBy(F.desc("updated_at"), "id").limit(min(limit, MAX_NODES))
     rows = features(shown, entities)
     found = capped(edges(rows), cap)
     if focus is not None:

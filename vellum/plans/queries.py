@@ -455,11 +455,12 @@ def normalised_titles(spark, d):
     return lib.papers(spark, d).select("id", tx.normalised(F.col("title")).alias("t"))
 
 
-@query("papers", """SELECT id, round(len(list_intersect(a, b)) / len(a), 6) AS share FROM (SELECT id, list_distinct([substring(x, i, 4) for i in range(1, length(x) - 2)]) AS a, list_distinct([substring(y, i, 4) for i in range(1, length(y) - 2)]) AS b FROM
-    (SELECT id, substring(lower(text), 1, 60) AS x, substring(lower(text), 30, 200) AS y FROM papers WHERE length(text) > 300 AND len(string_split(trim(substring(lower(text), 1, 60)), ' ')) >= 4))""")
+@query("papers", """SELECT id, round(CASE WHEN len(string_split(x, ' ')) < 3 OR length(x) < 4 THEN CASE WHEN x <> '' AND contains(y, x) THEN 1.0 ELSE 0.0 END ELSE len(list_intersect(a, b)) / len(a) END, 6) AS share FROM
+    (SELECT id, x, y, list_distinct([substring(x, i, 4) for i in range(1, length(x) - 2)]) AS a, list_distinct([substring(y, i, 4) for i in range(1, length(y) - 2)]) AS b FROM
+    (SELECT id, regexp_replace(trim(lower(title)), ' +', ' ', 'g') AS x, lower(abstract_text) AS y FROM papers WHERE abstract_text IS NOT NULL))""")
 def ngram_containment(spark, d):
-    p = lib.papers(spark, d).where("length(text) > 300").select("id", F.lower(F.substring("text", 1, 60)).alias("x"), F.lower(F.substring("text", 30, 200)).alias("y"))
-    return p.where(F.size(F.split(F.trim("x"), " ")) >= 4).select("id", F.round(tx.containment(F.col("x"), F.col("y")), 6).alias("share"))
+    p = lib.papers(spark, d).where("abstract_text is not null").select("id", F.regexp_replace(F.trim(F.lower("title")), " +", " ").alias("x"), F.lower("abstract_text").alias("y"))
+    return p.select("id", F.round(tx.containment(F.col("x"), F.col("y")), 6).alias("share"))
 
 
 @query("papers", r"SELECT id, substring(translate(title, ' /\:*?""<>|', '__________'), 1, 100) AS name FROM papers".replace('""', '"'))
@@ -504,12 +505,13 @@ def chunk_markdown(spark, d):
 
 
 def _graph_papers(spark, d):
-    return lib.papers(spark, d).where("doc_id < 1000000000 and status = 'indexed' and source in ('src1', 'src2')")
+    """The papers that a graph shows: the latest indexed ones, as many as its limit."""
+    return listing.page(listing.filtered(lib.papers(spark, d), "indexed"), 200)
 
 
 @query("papers entities", """, f AS (SELECT id, list_distinct(list_filter([lower(trim(k)) for k in keywords], lambda x: x <> '')) AS kw, [lower(paper_type), lower(source)] AS ent,
     list_distinct(list_filter([CASE WHEN strlen(w) > 3 AND suffix(w, 's') THEN substring(w, 1, length(w) - 1) ELSE w END for w in [lower(trim(k)) for k in keywords] if strlen(w) >= 3 AND NOT regexp_full_match(w, '[0-9]*')], lambda w: w NOT IN FILLERS)) AS tok
-    FROM papers WHERE status = 'indexed' AND source IN ('src1', 'src2')), s AS (SELECT a.id AS source, b.id AS target, len(list_intersect(a.kw, b.kw)) AS ik, len(list_distinct(list_concat(a.kw, b.kw))) AS uk, len(list_intersect(a.tok, b.tok)) AS it, len(list_distinct(list_concat(a.tok, b.tok))) AS ut,
+    FROM (SELECT * FROM papers WHERE status = 'indexed' ORDER BY updated_at DESC, id LIMIT 200)), s AS (SELECT a.id AS source, b.id AS target, len(list_intersect(a.kw, b.kw)) AS ik, len(list_distinct(list_concat(a.kw, b.kw))) AS uk, len(list_intersect(a.tok, b.tok)) AS it, len(list_distinct(list_concat(a.tok, b.tok))) AS ut,
     len(list_intersect(a.ent, b.ent)) AS ie, len(list_distinct(list_concat(a.ent, b.ent))) AS ue FROM f a JOIN f b ON a.id < b.id)
     SELECT source, target, round(0.3 * coalesce(ik / nullif(uk, 0), 0) + 0.2 * coalesce(it / nullif(ut, 0), 0) + 0.5 * CASE WHEN ie >= 2 THEN greatest(ie / ue, ie / 2) ELSE ie / ue END, 6) AS weight FROM s WHERE ik + it + ie > 0""".replace("FILLERS", str(tuple(graph.FILLERS))))
 def graph_edges(spark, d):
@@ -517,9 +519,6 @@ def graph_edges(spark, d):
     return graph.edges(graph.features(p, lib.entities(spark, d))).select("source", "target", F.round("weight", 6).alias("weight"))
 
 
-SQL["graph_edges"] = SQL["graph_edges"].replace(" , f AS", ", f AS")
-
-
 @query()
 def graph_capped(spark, d):
     p = _graph_papers(spark, d)
