@@ -1,15 +1,17 @@
 """Near-duplicates by min-max hashing, with links confirmed on full shingle sets.
 
 1. One pass over the texts gives each document's set of word shingles as 64-bit hashes, a 128-bit fingerprint of
-   the set, and the keys of its bands.  A band is made of ``ROWS`` values of the signature, which keeps both the
-   least and the greatest value under each permutation.
+   the set, the keys of its bands, and a sketch.  A band is made of ``ROWS`` values of the signature, which keeps both
+   the least and the greatest value under each permutation; the sketch is one bit of each of ``BITS`` values.
 2. Documents with equal sets are one class; only classes are compared.
-3. In each band's bucket every class is compared with the bucket's first and last class (stars, not pairs); links
-   are confirmed on full sets, and components are found by alternating large and small stars.
-4. Buckets that still hold more than one component have all their pairs across components compared.  So every
-   candidate pair is either confirmed, refuted, or already in one component.
+3. In each band's bucket every class is compared with the bucket's first class (a star, not pairs).  A pair whose
+   sketches differ too much is no candidate; the others are confirmed on full sets, and components are found by
+   alternating large and small stars.
+4. Within buckets, candidates across different components are compared too.  So every candidate pair is confirmed,
+   refuted, or already in one component.  Members of a large component are not compared with each other.
 
-With bands of 5 values a pair of similarity 0.8 shares no band with probability under 1e-6.
+With bands of 6 values a pair of similarity 0.8 shares no band with probability under 1e-6; its sketches differ in more
+than ``MOST_BITS`` of 256 bits with probability under 1e-7.
 
 Null texts and texts without words have an empty set and link with nothing.  Fewer words than a shingle make one
 shingle of the whole sequence.  Repeated rows are equal sets.  Empty tables give empty results.  A null id
@@ -26,7 +28,13 @@ from pyspark.sql import functions as F
 
 from vellum.llm._support import by_bytes, encoded, id_order, map_arrow, mix, staged, words
 
-ROWS, BANDS = 5, 36
+ROWS, BANDS = 6, 48
+#: Bits of a sketch, and how many may differ; at similarity 0.8 a tenth does on average.
+BITS, MOST_BITS = 256, 56
+#: Classes of a component that is not compared within itself.
+LARGE = 1000
+#: Candidate documents whose ids are sent to every executor; more are joined by a shuffle of the texts.
+BROADCAST_IDS = 1_000_000
 #: Members that are checked against one copy of their star's centre.
 STAR_ROWS = 256
 _BLOCK = 2048
@@ -61,8 +69,8 @@ def _permutations(bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
     return draw[0] * np.uint64(2) + np.uint64(1), draw[1]
 
 
-def band_keys(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
-    """A row of band keys for each non-empty set."""
+def band_keys(sets: list[np.ndarray], bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(band keys, sketch words) of each non-empty set, a row each."""
     mul, add = _permutations(bands, rows)
     half = len(mul)
     sig = np.zeros((len(sets), 2 * half), np.uint64)
@@ -76,28 +84,30 @@ def band_keys(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
             sig[i, :half], sig[i, half:] = lo, hi
     # least and greatest values alternate, so that every band holds both
     sig = sig.reshape(len(sets), 2, half).transpose(0, 2, 1).reshape(len(sets), 2 * half)[:, : bands * rows].reshape(len(sets), bands, rows)
+    bits = mix(sig.reshape(len(sets), -1)[:, :BITS]) & np.uint64(1)
+    sketch = np.packbits(bits.astype(np.uint8), axis=1).view(np.int64) if len(sets) else np.zeros((0, BITS // 64), np.int64)
     key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (len(sets), bands))
     for r in range(rows):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
-    return key
+    return key.view(np.int64), sketch
 
 
 def signatures(df: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``__id, n_shingles, fp, bands`` per row of (__id, __t)."""
+    """``__id, n_shingles, fp, bands, sketch`` per row of (__id, __t)."""
 
     def scan(batches):
         for batch in batches:
             texts = encoded(batch.column(1))
             for at, to in by_bytes(texts):
                 sets = shingle_sets(texts[at:to], size)
-                keys = band_keys(sets, bands, rows).view(np.int64)
+                keys, sketch = band_keys(sets, bands, rows)
                 full = [len(x) > 0 for x in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, to - at), pa.array([len(x) for x in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(x.tobytes()) if y else None for x, y in zip(sets, full, strict=True)], pa.binary()), pa.array([k if y else None for k, y in zip(keys, full, strict=True)], pa.list_(pa.int64()))],
-                    names=["__id", "n_shingles", "fp", "bands"],
+                    [batch.column(0).slice(at, to - at), pa.array([len(x) for x in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(x.tobytes()) if y else None for x, y in zip(sets, full, strict=True)], pa.binary()), *(pa.array([k if y else None for k, y in zip(x, full, strict=True)], pa.list_(pa.int64())) for x in (keys, sketch))],
+                    names=["__id", "n_shingles", "fp", "bands", "sketch"],
                 )
 
-    return map_arrow(df.select("__id", "__t"), scan, "__id long, n_shingles long, fp binary, bands array<long>")
+    return map_arrow(df.select("__id", "__t"), scan, "__id long, n_shingles long, fp binary, bands array<long>, sketch array<long>")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -119,7 +129,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Dat
     per_doc = wanted.groupBy("__id").agg(F.collect_list("e").alias("es"))
     few = staged(per_doc, "near-few")
     entry = "array<struct<b:long,salt:int,centre:boolean>>"
-    found = map_arrow(docs.join(few, "__id").select("__id", "__t", "es"), sets, f"__id long, es {entry}, set binary")
+    ids = F.broadcast(few) if few.count() <= BROADCAST_IDS else few
+    found = map_arrow(docs.join(ids, "__id").select("__id", "__t", "es"), sets, f"__id long, es {entry}, set binary")
     dealt = found.select("__id", F.explode("es").alias("e"), "set").select("__id", "e.*", "set")
 
     def check(batches):
@@ -164,34 +175,46 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
 def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, n_shingles, component_id, kept`` per row of df."""
     # the id as given may be null; what is compared is never null
+    # ids are taken as unique: rows that share one are one node
     docs = df.select(id_order(F.col(id_col)).alias("__id"), F.col(text_col).cast("binary").alias("__t"))
     sig = staged(signatures(docs, size), "near-signatures")
-    # classes of equal sets; a class is named by its least id, made unique where two sets share an id
-    classes = staged(sig.where("fp is not null").groupBy("fp").agg(F.min("__id").alias("rep"), F.min("n_shingles").alias("n")), "near-classes")
-    reps = sig.where("fp is not null").join(classes.select("fp", "rep", F.col("n")), "fp").where(F.col("__id") == F.col("rep"))
-    banded = staged(reps.select("rep", "n", F.explode("bands").alias("key")).distinct(), "near-bands")
-    buckets = banded.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("lo"), F.max(F.struct("rep", "n")).alias("hi")).where(F.col("lo") != F.col("hi"))
-    buckets = staged(buckets, "near-buckets")
-    crowded = staged(banded.join(buckets, "key").select("key", "rep", "n", "lo", "hi"), "near-crowded")
-
-    def fits(a, b):
-        return (100 * F.least(a, b) >= percent * F.greatest(a, b))
-
-    ends = F.explode(F.array("lo", "hi")).alias("c")
-    stars = crowded.select("rep", "n", ends).where((F.col("rep") != F.col("c.rep")) & fits(F.col("n"), F.col("c.n")))
-    stars = staged(stars.select(F.col("rep").alias("a"), F.col("c.rep").alias("b")).distinct(), "near-stars")
+    # a class of equal sets is named by its least id
+    classes = staged(sig.where("fp is not null").groupBy("fp").agg(F.min("__id").alias("rep")), "near-classes")
+    words = [F.col("sketch")[k].alias(f"s{k}") for k in range(BITS // 64)]
+    of_class = sig.join(classes.withColumnRenamed("fp", "__f"), (F.col("fp") == F.col("__f")) & (F.col("__id") == F.col("rep")))
+    reps = staged(of_class.select("rep", F.col("n_shingles").alias("n"), *words, "bands"), "near-reps")
+
+    def alike(x: str, y: str):
+        c = lambda side, name: F.col(f"{side}.{name}")
+        differ = sum((F.bit_count(c(x, f"s{k}").bitwiseXOR(c(y, f"s{k}"))) for k in range(BITS // 64)), F.lit(0))
+        return (100 * F.least(c(x, "n"), c(y, "n")) >= percent * F.greatest(c(x, "n"), c(y, "n"))) & (differ <= MOST_BITS)
+
+    shown = ("rep", "n", *(f"s{k}" for k in range(BITS // 64)))
+    banded = reps.select(*shown, F.explode("bands").alias("key"))
+    buckets = banded.groupBy("key").agg(F.min(F.struct(*shown)).alias("lo"), F.max("rep").alias("hi")).where("lo.rep <> hi")
+    buckets = staged(buckets.select("key", "lo.*"), "near-buckets")
+    # the tests are part of the join, so that what fails them is never a row
+    stars = banded.alias("x").join(buckets.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") != F.col("y.rep")) & alike("x", "y"))
+    stars = staged(stars.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), "near-stars")
     links = staged(_verified(docs, stars, size, percent), "near-links")
     found = components(links)
     # what the stars left apart
-    root = F.coalesce(F.col("root"), F.col("rep")).alias("root")
-    labelled = staged(crowded.select("key", "rep", "n").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", root), "near-labelled")
-    mixed = staged(labelled.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key"), "near-mixed")
-    apart = staged(labelled.join(mixed, "key"), "near-apart")
-    other = apart.select("key", *(F.col(c).alias(f"{c}2") for c in ("rep", "n", "root")))
-    rest = apart.join(other, "key").where((F.col("rep") > F.col("rep2")) & (F.col("root") != F.col("root2")) & fits(F.col("n"), F.col("n2")))
-    rest = rest.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
-    tried = stars.select("a", "b").unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = staged(rest.join(tried, ["a", "b"], "left_anti"), "near-rest")
+    sizes = staged(found.groupBy("root").agg(F.count(F.lit(1)).alias("members")), "near-sizes")
+    tagged = reps.join(found.join(sizes, "root").withColumnRenamed("node", "rep"), "rep", "left")
+    tagged = tagged.select(*shown, "bands", F.coalesce("root", "rep").alias("root"), F.coalesce(F.col("members") >= LARGE, F.lit(False)).alias("large"))
+    tagged = staged(tagged, "near-tagged")
+    rows = lambda which: tagged.where(which).select(*shown, "root", F.explode("bands").alias("key"))
+    cross = lambda x, y, more: x.alias("x").join(y.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & more & alike("x", "y")).select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b"))
+    small, large = rows("not large"), rows("large")
+    rest = cross(small, small, F.col("x.rep") > F.col("y.rep"))
+    if not sizes.where(F.col("members") >= LARGE).isEmpty():
+        rest = rest.unionByName(cross(large, small, F.lit(True)))
+        shared = staged(large.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("key"), "near-shared")
+        if not shared.isEmpty():
+            both = large.join(shared, "key", "left_semi")
+            rest = rest.unionByName(cross(both, both, F.col("x.rep") > F.col("y.rep")))
+    tried = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    rest = staged(rest.distinct().join(tried, ["a", "b"], "left_anti"), "near-rest")
     if not rest.isEmpty():
         links = links.unionByName(staged(_verified(docs, rest, size, percent), "near-links"))
         found = components(links)
