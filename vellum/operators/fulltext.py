@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions.query import TextQuery, index_terms, sanitise
@@ -62,8 +62,9 @@ def bm25(index: Index, query: TextQuery | list[str], fields: list[str] | None =
     terms = sorted({t for w in words for t in w})
     hits = index.postings.where(F.col("term").isin(terms))
     hits = hits if fields is None else hits.where(F.col("field").isin(fields))
-    df = F.count(F.lit(1)).over(Window.partitionBy("field", "term"))
-    hits = hits.withColumn("df", df).join(F.broadcast(index.corpus), "field").join(index.lengths, ["field", "doc_id"])
+    # a row per field and query term, so this side is bounded by the query
+    df = hits.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+    hits = hits.join(F.broadcast(df), ["field", "term"]).join(F.broadcast(index.corpus), "field").join(index.lengths, ["field", "doc_id"])
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     out = hits.groupBy("doc_id").agg(F.sum(part).alias("score"), F.count_distinct("term").alias("matched"))
