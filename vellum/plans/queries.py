@@ -602,13 +602,13 @@ def export_section_lines(spark, d):
 
 @query()
 def export_section_records(spark, d):
-    return writers.section_records(lib.papers(spark, d), lib.sections(spark, d).withColumn("content_hash", F.sha2("content", 256)))
+    return writers.section_records(lib.papers(spark, d), lib.whole_sections(spark, d).withColumn("content_hash", F.sha2("content", 256)))
 
 
 @query()
 def export_markdown(spark, d):
     p = lib.papers(spark, d).withColumns({"venue": F.lit(None).cast("string"), "doi": F.lit(None).cast("string"), "urls": F.array().cast("array<string>")})
-    s = lib.sections(spark, d)
+    s = lib.whole_sections(spark, d)
     return writers.markdown(p, s, listing.resolved_abstracts(p, s))
 
 
