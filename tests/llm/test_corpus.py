@@ -155,6 +155,14 @@ def test_repeats_match_brute_force(docs, monkeypatch, chunk):
     assert substring.remove_repeats(empty(docs)).count() == 0
 
 
+def test_windows_under_one_half_compare_by_64_bits(spark):
+    ts = ["w168 w60 w255 w227 w78 w211 w61 w263 w29 w296 w63 w203 w238", "w168 w60 w255 w227 w78 w211 w61 w229 w154 w88 w243 w262 w69"]
+    _, _, full, half = substring.windows([t.encode() for t in ts], 13)
+    assert half[0] == half[1] and full[0] >> 32 == full[1] >> 32 and full[0] != full[1]
+    df = spark.createDataFrame(list(enumerate(ts)), "doc_id long, text string")
+    assert [r.n_removed for r in substring.remove_repeats(df).collect()] == [0, 0]
+
+
 def test_repeat_lengths_double_until_none_survives(docs):
     got = {r.length: r.windows for r in substring.repeat_lengths(docs).collect()}
     length = 13

@@ -9,7 +9,7 @@ until no candidate survives.
 What a task can decide by itself is not shuffled: in a chunk of documents, only the smallest id that holds a window
 is sent on; any larger id loses the window at once.  A window in a third of all documents so sends a row per chunk.
 
-Windows are compared by a 64-bit hash of the half and 32 further bits of the full window.  Null texts have no words.
+Windows are compared by the 64-bit hash of the full window, under the 64-bit hash of the half.  Null texts have no words.
 Repeated rows have one id and take nothing from each other.  A null id is larger than any other.  Texts shorter than
 a window stay whole.  Empty tables give empty results.
 """
@@ -108,8 +108,8 @@ def removable(docs: DataFrame, size: int = WINDOW) -> DataFrame:
                     continue
                 cut = np.flatnonzero((np.diff(half) != 0) | (np.diff(place) != 1) | (np.diff(doc) != 0)) + 1
                 head = np.concatenate([[0], cut])
-                tags = (full >> np.uint64(32)).astype("<u4")
-                ends = (np.concatenate([cut, [len(doc)]]) * 4).astype(np.int32)
+                tags = full.astype("<u8")
+                ends = (np.concatenate([cut, [len(doc)]]) * 8).astype(np.int32)
                 blob = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32).tobytes()), pa.py_buffer(tags.tobytes())])
                 d = doc[head]
                 yield pa.RecordBatch.from_arrays([pa.array(own_id[d]), pa.array(own_row[d]), pa.nulls(len(d), pa.list_(pa.int32())), pa.array(half[head].view(np.int64)), blob, pa.array(place[head].astype(np.int32))], names=["__id", "__row", "runs", "half", "tags", "place"])
@@ -132,8 +132,8 @@ def removable(docs: DataFrame, size: int = WINDOW) -> DataFrame:
         some = np.zeros(len(h), bool)
         some[order] = np.repeat(i[heads] != i[tails], tails - heads + 1)
         blob = table["tags"].combine_chunks().filter(pa.array(some))
-        sizes = np.asarray(pa.compute.binary_length(blob)) // 4
-        tags = np.frombuffer(b"".join(blob.to_pylist()), "<u4")
+        sizes = np.asarray(pa.compute.binary_length(blob)) // 8
+        tags = np.frombuffer(b"".join(blob.to_pylist()), "<u8")
         which = np.repeat(np.flatnonzero(some), sizes)
         shift = np.arange(len(tags)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         full_id = ids[which]
