@@ -3,7 +3,9 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
+from vellum.operators import fulltext, fusion, vector
 from vellum.plans import library as lib
 from vellum.plans import queries as library
 
@@ -35,3 +37,23 @@ def test_exports_hold_whole_texts(spark, data):
     for t in TEXTS.values():
         body = "".join(f"## {s}\n\n{c}\n\n" for s, c in parts(t) if c)
         assert any(v.endswith(body) for v in got)
+
+
+def test_documents_are_embedded_whole(spark, data, monkeypatch):
+    seen, real = [], vector.embedded
+    monkeypatch.setattr(vector, "embedded", lambda *a, **b: seen.append(real(*a, **b)) or seen[-1])
+    assert library.QUERIES["embed_documents"](spark, data).count() == len(TEXTS)
+    got = {int(r.id): list(r.vector) for r in seen[0].collect()}
+    assert got == {i: vector.embed_words([t])[0] for i, t in TEXTS.items()}
+
+
+def test_hybrid_search_sees_every_line(spark, tmp_path):
+    words = "erth and the ention of onthat"
+    texts = {1: f"x\ny\nz\n{words}", 2: "erth\nb", 3: "erth ention\nq r s", 4: f"k l\nm\nn\no\nand the ention {words}"}
+    spark.createDataFrame([(i, t, "en", "src1", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    lines = [(f"{i}_{k}", str(i), "section", "paragraph", x, vector.embed_words([x])[0]) for i, t in texts.items() for k, x in enumerate(t.split("\n"))]
+    own = spark.createDataFrame(lines, "id string, paper_id string, content_type string, section_type string, chunk_text string, vector array<float>")
+    p, c = lib.papers(spark, str(tmp_path)), lib.chunks(spark, str(tmp_path)).withColumn("path", F.col("content"))
+    want = fusion.hybrid_search(words, fulltext.build(p, ["title", "abstract_text", "keywords"]), p, c, own, k=10)
+    got = library.QUERIES["hybrid_search"](spark, str(tmp_path))
+    assert [(r.paper_id, r.score) for r in got.collect()] == [(r.paper_id, round(r.score, 6)) for r in want.collect()]

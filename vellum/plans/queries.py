@@ -290,10 +290,14 @@ def search_figures(spark, d):
     return found.select("figure_id", "paper_id", F.round("score", 6).alias("score"))
 
 
+def _document_vectors(spark, d):
+    """A vector of every document's whole text."""
+    return vector.embedded(lib.papers(spark, d).select("id", "text"), "text").select("id", "vector")
+
+
 @query()
 def embed_documents(spark, d):
-    p = lib.papers(spark, d).select("id", F.col("title").alias("text"))
-    return vector.embedded(p, "text").select("id", F.size("vector").alias("dimension"))
+    return _document_vectors(spark, d).select("id", F.size("vector").alias("dimension"))
 
 
 SQL["embed_documents"] = lib.with_tables("papers", "SELECT id, CAST(64 AS INTEGER) AS dimension FROM papers")
@@ -401,10 +405,15 @@ for _name, _select in {
     SQL[_name] = f"WITH {lib.CTE['papers']}, {_RANKED} {_select}"
 
 
+def _chunk_vectors(chunks):
+    """A vector of every chunk, so of every line of a document."""
+    return vector.embedded(chunks.select("id", "paper_id", "chunk_type", "content"), "content").select("id", "paper_id", F.lit("section").alias("content_type"), F.col("chunk_type").alias("section_type"), F.col("content").alias("chunk_text"), "vector")
+
+
 @query()
 def hybrid_search(spark, d):
     p, c = lib.papers(spark, d), lib.chunks(spark, d).withColumn("path", F.col("content"))
-    own = vector.embedded(p.select("id", "title"), "title").select("id", F.col("id").alias("paper_id"), F.lit("section").alias("content_type"), F.lit("title").alias("section_type"), F.col("title").alias("chunk_text"), "vector")
+    own = _chunk_vectors(c)
     index = fulltext.build(p, ["title", "abstract_text", "keywords"])
     return fusion.hybrid_search("erth and the ention of onthat", index, p, c, own, k=10).select("paper_id", F.round("score", 6).alias("score"))
 
