@@ -57,3 +57,26 @@ def test_hybrid_search_sees_every_line(spark, tmp_path):
     want = fusion.hybrid_search(words, fulltext.build(p, ["title", "abstract_text", "keywords"]), p, c, own, k=10)
     got = library.QUERIES["hybrid_search"](spark, str(tmp_path))
     assert [(r.paper_id, r.score) for r in got.collect()] == [(r.paper_id, round(r.score, 6)) for r in want.collect()]
+
+
+def test_many_queries_in_blocks_match_brute_force(spark, monkeypatch):
+    for name, size in (("QUERY_BLOCK", 7), ("VECTOR_BLOCK", 11)):
+        monkeypatch.setattr(vector, name, size)
+    made = [(i, [float((i * 7) % 5 - 2), float((i * 3) % 4 - 1), float(i % 3 - 1)]) for i in range(60)]
+    v = spark.createDataFrame(made, "id long, vector array<float>")
+    q = v.where("id % 2 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+    got = [(r.query_id, r["rank"], round(r.score, 9)) for r in vector.search_many(v, q, 5).collect()]
+
+    def cosine(a, b):
+        norm = (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+        return sum(x * y for x, y in zip(a, b)) / norm if norm else 0.0
+
+    want = [(i, n + 1, round(s, 9)) for i, a in made[::2] for n, s in enumerate(sorted((cosine(a, b) for _, b in made), reverse=True)[:5])]
+    assert sorted(got) == sorted(want)
+
+
+def test_more_queries_than_one_block_takes(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, vector array<float>")
+    q = spark.range(10_001).select(F.col("id").alias("query_id"), F.array(F.lit(1.0), F.lit(0.5)).alias("query"))
+    got = vector.search_many(v, q, 1)
+    assert got.count() == 10_001 and got.where("id <> 1").isEmpty()

@@ -1,7 +1,7 @@
 """Exact vector search: cosine over all rows that pass the filters.
 
-A vector's norm is kept beside it.  One query is an array literal in the plan; many queries are a stated query set,
-broadcast after its size was checked, against all rows.
+A vector's norm is kept beside it.  One query is an array literal in the plan; many queries and all rows are dealt into
+blocks, and every block of the ones meets every block of the others.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_RESULTS, MIN_SCORE = 1000, 0.1
-#: Queries that one broadcast may hold.
-MAX_QUERIES = 10_000
+#: Rows of a block, about, when many queries meet all vectors.
+QUERY_BLOCK, VECTOR_BLOCK = 4096, 4096
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -45,30 +45,44 @@ def search(vectors: DataFrame, query: list[float], k: int, min_score: float = MI
     return scored(vectors, query).where(F.col("score") >= min_score).orderBy(F.desc("score"), id_col).limit(min(k, MAX_RESULTS))
 
 
+def _dealt(df: DataFrame, key: str, own: str, n: int, other: str, others: int) -> DataFrame:
+    """df dealt into n blocks by a hash of the key, once for each of the other side's blocks."""
+    return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))))
+
+
+def _best(s: np.ndarray, k: int) -> np.ndarray:
+    """Which k entries of each row are the largest; of equal ones the first."""
+    if s.shape[1] <= k:
+        return np.ones(s.shape, bool)
+    least = np.partition(s, -k, axis=1)[:, -k, None]
+    more, same = s > least, s == least
+    return more | (same & (np.cumsum(same, axis=1) <= k - more.sum(1, keepdims=True)))
+
+
 def search_many(vectors: DataFrame, queries: DataFrame, k: int, min_score: float = -1.0, id_col: str = "id") -> DataFrame:
-    """The k best rows of each query (query_id, query): a block of vectors is multiplied by all queries at once, and only
-    its k best per query leave it."""
-    n = queries.count()
-    if n > MAX_QUERIES:
-        raise ValueError(f"{n} queries; split them into sets of {MAX_QUERIES}")
-    held = queries.orderBy("query_id").collect()
-    names = [r["query_id"] for r in held]
-    q = np.asarray([r["query"] for r in held], np.float64).reshape(n, -1)
-    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+    """The k best rows of each query (query_id, query): every block of vectors is multiplied by every block of queries, and
+    only its k best per query leave it."""
     kind, qkind = dict(vectors.dtypes)[id_col], dict(queries.dtypes)["query_id"]
-
-    def best(blocks):
-        for block in blocks:
-            if not n or block.empty:
-                continue
-            v = np.asarray(block["vector"].tolist(), np.float64)
-            s = q @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)).T
-            order = np.lexsort((np.broadcast_to(np.argsort(np.argsort(block[id_col].to_numpy(), kind="stable")), s.shape), -s), axis=1)[:, :k]
-            rows = np.repeat(np.arange(n), order.shape[1])
-            out = pd.DataFrame({"query_id": [names[i] for i in rows], id_col: block[id_col].to_numpy()[order.ravel()], "score": s[rows, order.ravel()]})
-            yield out[out["score"] >= min_score]
-
-    top = vectors.select(id_col, "vector").mapInPandas(best, f"query_id {qkind}, `{id_col}` {kind}, score double")
+    n, m = (max(1, -(-df.count() // size)) for df, size in ((queries, QUERY_BLOCK), (vectors, VECTOR_BLOCK)))
+    v = _dealt(vectors.select(F.col(id_col).alias("__id"), "vector"), "__id", "__v", m, "__q", n)
+    q = _dealt(queries.select("query_id", "query"), "query_id", "__q", n, "__v", m)
+
+    def unit(rows):
+        x = np.asarray(rows.tolist(), np.float64)
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+    def best(block, asked):
+        if block.empty or asked.empty:
+            return pd.DataFrame({"query_id": asked["query_id"].iloc[:0], id_col: block["__id"].iloc[:0], "score": np.zeros(0)})
+        block = block.sort_values("__id", kind="stable")
+        ids, names, columns, found = block["__id"].to_numpy(), asked["query_id"].to_numpy(), unit(block["vector"]).T, []
+        for at in range(0, len(names), 256):
+            s = unit(asked["query"].iloc[at : at + 256]) @ columns
+            i, j = np.nonzero(_best(s, k) & (s >= min_score))
+            found.append(pd.DataFrame({"query_id": names[at + i], id_col: ids[j], "score": s[i, j]}))
+        return pd.concat(found)
+
+    top = v.groupBy("__v", "__q").cogroup(q.groupBy("__v", "__q")).applyInPandas(best, f"query_id {qkind}, `{id_col}` {kind}, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), id_col))
     return top.withColumn("rank", place).where(F.col("rank") <= k)
 
