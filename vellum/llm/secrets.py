@@ -28,9 +28,11 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CONTEXT = re.compile(
-    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|secret)[_-]?key|credentials?|bearer)["']?[\x20\t]{0,4}(?::=|=>|->|[:=]|(?<=[\x20\t])is(?=[\x20\t]))[\x20\t]{0,4}(?:"([^"\n]{4,})"|'([^'\n]{4,})'|([^\s"',;<>()]{6,}))""",
+    r"""(?:(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|secret)[_-]?key|credentials?|bearer)["']?[\x20\t]*(?::=|=>|->|[:=]|(?<=[\x20\t])is(?=[\x20\t]))|bearer(?=[\x20\t]))[\x20\t]*(?:"([^"\n]{4,})"|'([^'\n]{4,})'|["']?([^\s"'](?:\S*[^\s"',;:.<>()\[\]{}])?))""",
     re.IGNORECASE | re.ASCII,
 )
+#: A value that is no secret may end in the next credential word and its separator, of so many characters at most.
+CONTEXT_CHARS = 16
 # Common passwords and words in order of rank.
 COMMON = """password 123456 qwerty admin welcome letmein login abc123 monkey dragon master shadow sunshine princess football
 baseball superman batman trustno1 iloveyou secret hello freedom whatever ninja mustang michael jordan jennifer hunter
@@ -122,14 +124,17 @@ def find_spans(text: str, threshold: float = GUESS_LOG10) -> list[tuple[str, int
         out += [("access", m.start(), m.end(), None) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     out += [("hex", m.start(), m.end(), None) for m in HEX.finditer(text)]
     base = list(out)
-    for m in CONTEXT.finditer(text):
+    m = CONTEXT.search(text)
+    while m:
         g = m.lastindex
         start, end = m.span(g)
-        if any(a < end and start < b for _, a, b, _ in base):
-            continue
-        cost, _ = guess_cost(m[g])
-        if cost >= threshold:
-            out.append(("guess", start, end, cost))
+        at = max(start, end - CONTEXT_CHARS)
+        if not any(a < end and start < b for _, a, b, _ in base):
+            cost, _ = guess_cost(m[g])
+            if cost >= threshold:
+                out.append(("guess", start, end, cost))
+                at = end
+        m = CONTEXT.search(text, at)
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
