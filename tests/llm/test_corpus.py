@@ -129,6 +129,68 @@ def test_near_duplicates_match_brute_force(docs):
     assert neardup.near_duplicates(empty(docs)).count() == 0
 
 
+def copies(r, base, n, most):
+    """Copies of a text, each with 0 to ``most`` of its words changed."""
+    for _ in range(n):
+        w = list(base)
+        for k in r.sample(range(len(w)), r.randrange(most + 1)):
+            w[k] = f"x{r.randrange(10**6)}"
+        yield " ".join(w)
+
+
+@pytest.mark.parametrize("limits", [(4, 8, 0), (32, 128, 32 << 20)])
+def test_a_hot_group_of_near_copies_matches_brute_force(spark, monkeypatch, limits):
+    for name, value in zip(("COLD", "STAR_ROWS", "BROADCAST_BYTES"), limits, strict=True):
+        monkeypatch.setattr(neardup, name, value)
+    r = random.Random(11)
+    base = [f"w{r.randrange(4000)}" for _ in range(150)]
+    # from all but equal to far apart, and a second text that shares a half with the first
+    ts = [*copies(r, base, 160, 14), *copies(r, base[:75] + [f"v{k}" for k in range(60)], 40, 12), *(" ".join(f"u{r.randrange(9**5)}" for _ in range(90)) for _ in range(10))]
+    r.shuffle(ts)
+    met = []
+    inner = neardup._by_difference
+    monkeypatch.setattr(neardup, "_by_difference", lambda *a: met.append(1) or inner(*a))
+    sizes, roots = brute_components(ts)
+    assert len(set(roots)) > 20
+    df = spark.createDataFrame(list(enumerate(ts)), "doc_id long, text string").repartition(3)
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in neardup.near_duplicates(df, size=2).collect()}
+    assert got == {k: (sizes[k], roots[k], roots[k] == k) for k in range(len(ts))}
+    assert met
+
+
+def test_the_difference_index_loses_no_link(spark):
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    for percent in (80, 90):
+        centre = np.arange(100)
+        # some share a block that the centre lacks: they may be linked with each other and not with it
+        sets = [np.unique(np.concatenate([np.delete(centre, r.choice(100, r.integers(0, 10), replace=False)), r.integers(100, 400, r.integers(0, 6)), np.arange(400, 400 + r.choice([0, 12, 24]))])) for _ in range(150)]
+        rows = []
+        for k, x in enumerate(sets):
+            d = np.setxor1d(x, centre)
+            union = (len(x) + 100 + len(d)) // 2
+            rows.append((k, -1, bool(100 * (union - len(d)) >= percent * union), len(x), 100, d.tolist()))
+        df = spark.createDataFrame(rows, "a long, b long, linked boolean, na long, nb long, d array<long>")
+        got = {(x.b, x.a) for x in neardup._by_difference(df, percent).collect()}
+        want = set()
+        for a, b in itertools.combinations(range(len(sets)), 2):
+            n = len(np.intersect1d(sets[a], sets[b]))
+            if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n) and not (rows[a][2] and rows[b][2]):
+                want.add((a, b))
+        assert want and want <= got and len(got) < 150 * 149 / 4
+
+
+def test_null_and_repeated_ids_are_rows_of_their_own(spark):
+    say = lambda c: " ".join(f"{c}{k}" for k in range(30))
+    rows = [(None, say("a")), (None, say("b")), (3, say("b") + " more"), (5, say("c")), (5, say("d")), (6, say("c")), (6, say("c")), (7, None), (7, None), (8, ""), (None, say("e")), (None, say("e"))]
+    df = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, n long")
+    got = Counter((x.doc_id, x.component_id, x.kept) for x in neardup.near_duplicates(df).collect())
+    assert got == Counter([(None, None, True), (None, 3, False), (3, 3, True), (5, 5, True), (5, 5, True), (6, 5, False), (6, 5, False), (7, 7, True), (7, 7, True), (8, 8, True), (None, None, True), (None, None, True)])
+    left = Counter((x.doc_id, x.text) for x in neardup.drop_duplicates(df).collect())
+    assert left == Counter([(None, say("a")), (3, say("b") + " more"), (5, say("c")), (5, say("d")), (7, None), (7, None), (8, ""), (None, say("e"))])
+
+
 def test_components_of_a_long_path(spark):
     e = spark.range(60).select(((F.col("id") * 37) % 61).alias("a"), (((F.col("id") + 1) * 37) % 61).alias("b"))
     assert {r.root for r in neardup.components(e).collect()} == {0}

@@ -6,8 +6,10 @@ the word's bytes modulo 2**64, then a finalising mix.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -29,10 +31,17 @@ _BASE = 0x9E3779B97F4A7C55
 _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
+_places: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_recorders: list[list[tuple[SparkSession, str]]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset."""
+    """The folder that driver and executors share, spark.checkpoint.dir.  Where it is unset a local master gets a folder
+    of its own; a cluster is an error, as its machines would each write to another disk."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = tempfile.mkdtemp(prefix="vellum-shared-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
@@ -54,9 +63,42 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it again: lineage is cut, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vellum/{name}-{uuid.uuid4().hex}"
+    for made in _recorders:
+        made.append((spark, path))
     with files_cleaned(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _places[out] = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing will read again."""
+    for df in tables:
+        if path := _places.pop(df, None):
+            _delete(df.sparkSession, path)
+
+
+@contextmanager
+def recorded() -> Iterator[list[tuple[SparkSession, str]]]:
+    """The tables that are staged inside, for ``release`` once what reads them is written."""
+    made: list[tuple[SparkSession, str]] = []
+    _recorders.append(made)
+    try:
+        yield made
+    finally:
+        _recorders[:] = [x for x in _recorders if x is not made]
+
+
+def release(made: list[tuple[SparkSession, str]]) -> None:
+    """Deletes recorded tables; those that are gone already are passed over."""
+    while made:
+        _delete(*made.pop())
 
 
 def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
