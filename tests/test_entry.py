@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from vellum.operators import tables
 from vellum.plans import queries as library
+from vellum.schema import normalised
 from vellum.streaming import jobs
 
 DATA = "/root/testdata/sf0.001"
@@ -80,3 +82,26 @@ def test_breaker_and_rate():
     now, slept = [0.0], []
     call = jobs.limited(lambda x: x, 2, lambda: now[0], slept.append)
     assert [call(i) for i in range(3)] == [0, 1, 2] and slept == [60.0]
+    slept.clear()
+    call = jobs.limited(lambda x: x, 99, lambda: now[0], slept.append, 10, lambda x: x)
+    assert [call(i) for i in (4, 6, 1, 50)] == [4, 6, 1, 50] and len(slept) == 3
+
+
+def test_queue_starts_the_oldest(spark):
+    j = spark.createDataFrame([("a", "running", 1), ("b", "queued", 3), ("c", "queued", 2), ("d", "queued", 4), ("e", "done", 0)], "paper_id string, state string, at int")
+    assert [r[0] for r in jobs.to_start(j).collect()] == ["c", "b"] and jobs.to_start(j, paused=True).isEmpty()
+    assert [r[0] for r in jobs.to_start(jobs.requeued(j)).collect()] == ["a", "c", "b"]
+
+
+def test_sync_stream_reconciles_complete_listings(spark, tmp_path):
+    library = tables.Library(spark, f"{tmp_path}/lib").open()
+    first = normalised(spark.createDataFrame([("1", "One", "k1"), ("2", "Two", "k2"), ("3", "Own", None)], "id string, title string, source string"), "papers")
+    library.replace(papers=first)
+    schema = "id string, title string, source string, version long"
+    spark.createDataFrame([("1", "One again", "k1", 5), ("1", "Old", "k1", 4)], schema).write.parquet(f"{tmp_path}/in")
+    remote, seen = spark.createDataFrame([("k1", 5)], "key string, version long"), []
+    for complete in (False, True):
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        jobs.sync_stream(stream, library, "papers", f"{tmp_path}/ck{complete}", True, lambda c=complete: (remote, c)).awaitTermination(180)
+        seen.append(sorted((r.id, r.title) for r in library.table("papers").collect()))
+    assert seen == [[("1", "One again"), ("2", "Two"), ("3", "Own")], [("1", "One again"), ("3", "Own")]]

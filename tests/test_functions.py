@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import query as qy
 from vellum.functions import segments
+from vellum.functions import replies
 from vellum.functions import text as tx
 
 
@@ -69,11 +70,33 @@ def test_split_words(value):
 
 
 def test_model_replies(value):
-    assert value(tx.json_text, 'Sure:\n```json\n{"a": [1, 2,],}\n```') == '{"a": [1, 2]}'
-    assert value(tx.json_text, 'x {"a": 1} y') == '{"a": 1}' and value(tx.json_text, "none") is None
-    text = "﻿---\ntitle: \"A: b\"\ntags: [x, y]\n---\nBody"
-    assert value(lambda c: tx.front_matter(c)["body"], text) == "Body"
-    assert value(lambda c: tx.front_matter_field(tx.front_matter(c)["yaml"], "title"), text) == "A: b"
+    cases = {
+        'Sure:\n```json\n{"a": [1, 2,],}\n```': '{"a":[1,2]}', 'x {"a": 1} y': '{"a":1}', "none": None, 'note [1] then {"a": 1} end': '{"a":1}', '{"a": "x, ]y"}': '{"a":"x, ]y"}',
+        'some {"x": 1} extra {"y": {"z": 2}} text': '{"y":{"z":2}}', "[1, 2, 3,]": "[1,2,3]", '{"items": [{"a": 1,},],}': '{"items":[{"a":1}]}', '```\n[]\n```\n```json\n{"t": "a, }",}\n```': '{"t":"a, }"}', "": None, '{"a": "{[", "b": 2,} and more': '{"a":"{[","b":2}',
+    }
+    for text, want in cases.items():
+        assert value(replies.json_reply, text) == want, text
+    assert value(replies.json_reply, None) is None
+
+
+def test_reply_metadata(value):
+    text = '{"title": " T ", "authors": ["A", "A", " null ", 3, "B"], "genes": ["OsALS", "osals", null, 1, " ", "TP53"], "species": "rice", "year": 2021, "doi": "null", "corresponding_author": "X; Y", "methodology": " m ", "abstract": "", "figures": [{"label": "1", "caption": "c"}, {"label": "2"}, 5], }'
+    got = value(replies.reply_metadata, text)
+    assert (got.title, got.authors, got.genes, got.species, got.published_date, got.doi, got.corresponding_author) == ("T", ["A", "B"], ["OsALS", "TP53"], [], "2021", None, ["X", "Y"])
+    assert [(s.section_type, s.content) for s in got.sections] == [("methodology", "m")] and [tuple(f) for f in got.figures] == [("1", "c")]
+    assert value(replies.reply_metadata, "no reply").json is None
+
+
+def test_front_matter(value):
+    got = value(replies.front_matter, "\ufeff---\ntitle: \"A: b\"\nauthors:\n  - Ann\n  - Bob\ntags: [x, y]\ndate: 2020-01-02\nnested:\n  a: {b: 1}\n---\nBody\n")
+    assert (got.title, got.authors, got.keywords, got.published_date, got.body) == ("A: b", ["Ann", "Bob"], ["x", "y"], "2020-01-02", "Body") and '"b": "1"' in got.json
+    bad = value(replies.front_matter, "---\ntitle: [\n---\nBody")
+    assert (bad.title, bad.authors, bad.body) == (None, [], "Body")
+    assert value(replies.front_matter, "plain --- text").body == "plain --- text" and value(replies.front_matter, None).body == ""
+
+
+def test_images_and_labels(value):
+    assert [value(tx.sanitised_label, x) for x in ("Fig. 1(a)", "__x__y", "S-2", "é")] == ["Fig_1_a", "x_y", "S-2", ""]
     images = value(lambda c: tx.markdown_images(c, F.lit("p")), "![a](b.png) x ![](c.png)")
     assert [tuple(x) for x in images] == [("p_fig1", "a", "b.png"), ("p_fig2", "", "c.png")]
 

@@ -191,16 +191,66 @@ def test_library_versions(spark, tmp_path):
     assert sorted(rows(again.table("papers"), "id")) == [("p1",), ("p2",), ("p3",), ("p4",), ("p9",)] and again.table("papers").where("id = 'p1'").first().title == "New"
     again.delete_papers(spark.createDataFrame([("p1",)], "id string"))
     assert again.table("paper_entities").where("paper_id = 'p1'").count() == 0 and again.table("papers").count() == 4
+    # a change rewrites the buckets it touches, and what no kept pointer names is gone
+    parts = dict(again.parts["papers"])
+    again.upsert("papers", normalised(spark.createDataFrame([("p2", "Two")], "id string, title string"), "papers"))
+    assert sum(again.parts["papers"][b] != part for b, part in parts.items()) == 1 and again.table("papers").count() == 4
+    for k in range(4):
+        again.upsert("papers", normalised(spark.createDataFrame([("p2", f"Two {k}")], "id string, title string"), "papers"))
+    named = {part for v in again._pointers() for part in again._pointer(v)["papers"].values()}
+    assert len(again._pointers()) == tables.KEPT_VERSIONS and {x.name for x in (tmp_path / "papers").iterdir() if x.is_dir()} == named
+    # a crash before the pointer is renamed changes nothing
+    before = tables.Library(spark, str(tmp_path)).open().table("papers").orderBy("id").collect()
+    (tmp_path / "_next-x").write_text("{")
+    assert tables.Library(spark, str(tmp_path)).open().table("papers").orderBy("id").collect() == before
     again.clear()
     assert again.table("papers").count() == 0 and again.table("figures").count() == 0
 
 
+def test_appended_rows_are_numbered_in_order(spark):
+    old = spark.createDataFrame([(7, "z")], "id long, v string")
+    new = spark.range(500).select(F.format_string("%04d", (F.col("id") * 37) % 500).alias("v")).repartition(5)
+    got = tables.append_numbered(old, new, "v").orderBy("id").collect()
+    assert [(r.id, r.v) for r in got] == [(7, "z"), *((8 + k, f"{k:04d}") for k in range(500))]
+
+
+def test_figure_ids_images_and_files(spark):
+    f = spark.createDataFrame([("p", 1, "Fig. 1"), ("p", 2, "Fig 1"), ("p", 3, "?"), ("p", 4, None), ("q", 1, "S2")], "paper_id string, seq int, label string")
+    assert sorted(rows(readers.figure_ids(f), "paper_id", "seq", "id")) == [("p", 1, "p_fig_Fig_1"), ("p", 2, "p_fig_Fig_1_2"), ("p", 3, "p_fig3"), ("p", 4, "p_fig4"), ("q", 1, "q_fig_S2")]
+    i = spark.createDataFrame([("d", 1, 400, 300, 9000, 500_000, "a", 0), ("d", 2, 400, 300, 9000, 500_000, "a", 0), ("d", 1, 800, 600, 9000, 500_000, "b", 1), ("d", 1, 50, 300, 9000, None, "c", 2)], "doc_id string, page int, width int, height int, length int, page_area int, hash string, seq int")
+    assert rows(readers.kept_images(i), "page", "hash") == [(1, "a")]
+    p = spark.createDataFrame([("1", "Genome editing in rice"), ("2", "Nothing here")], "id string, title string")
+    files = spark.createDataFrame([("/x/genome_rice.pdf", "pdf"), ("/x/rice.pdf", "pdf"), ("/x/editing.txt", "plain_text")], "path string, source string")
+    assert rows(readers.files_by_title(p, files), "id", "path") == [("1", "/x/genome_rice.pdf")]
+
+
+def test_a_leg_that_fails_while_it_runs_is_left_out(spark):
+    bad = spark.range(3).select(F.raise_error(F.lit("broken")).cast("string").alias("paper_id"), F.lit(1.0).alias("score"))
+    good = spark.createDataFrame([("a", 2.0), ("b", 1.0)], "paper_id string, score double")
+    assert fusion.attempt(lambda: bad) is None and fusion.attempt(lambda: good).count() == 2
+    assert rows(fusion.hybrid(fusion.attempt(lambda: bad), fusion.attempt(lambda: good), None, 0.5, 5), "paper_id") == [("a",), ("b",)]
+
+
+def test_retrieval_end_to_end(spark):
+    p = normalised(spark.createDataFrame([("p1", "Rice genome"), ("p2", "Mouse brain"), ("p3", "Rice field")], "id string, title string"), "papers")
+    c = spark.createDataFrame([("c1", "p1", None, "section", "Editing", 0), ("c2", "p1", "c1", "paragraph", "rice genome editing works", 1), ("c3", "p2", None, "paragraph", "mouse brain cells", 0)], "id string, paper_id string, parent_id string, chunk_type string, content string, seq int").withColumns({"page_number": F.lit(None).cast("int"), "path": F.lit("Editing")})
+    figures = spark.createDataFrame([], "id string, paper_id string, caption string, description string, page_number int")
+    v = vector.embedded(p.select("id", "title"), "title").select(F.col("id"), F.col("id").alias("paper_id"), F.lit("section").alias("content_type"), F.lit("title").alias("section_type"), F.col("title").alias("chunk_text"), "vector")
+    context, sources = retrieval.retrieve("rice genome", p, c, figures, v, fulltext.build(p, ["title"]), fulltext.build(c, ["content"]), k=6)
+    got = {r.paper_id: r for r in sources.collect()}
+    assert got["p1"].score == 1.0 and got["p1"].citations == ["c2"] and "Section path: Editing" in got["p1"].content
+    assert got["p3"].citations == [] and got["p3"].content.startswith("[")
+    text = context.first().context
+    assert text.startswith("### Source 1: Rice genome\n--- Paper: Rice genome ---\n") and "Source 2: Rice field" in text
+
+
 def test_annotations_and_duplicates(spark):
     r = spark.createDataFrame([("a", 4)], "paper_id string, rating int")
     c = spark.createDataFrame([("b",), ("b",)], "paper_id string")
     assert sorted(rows(listing.annotation_summary(r, c), "paper_id", "rating", "comment_count"), key=str) == [("a", 4, 0), ("b", None, 2)]
     p = normalised(spark.createDataFrame([("1", "A  b!", None), ("2", "a B", ""), ("3", "z", "h"), ("4", "q", "h")], "id string, title string, file_hash string"), "papers")
-    assert sorted(r.ids for r in aggregates.duplicate_groups(p).collect()) == [["1", "2"], ["3", "4"]]
+    assert sorted(rows(aggregates.duplicate_groups(p), "n", "first_id")) == [(2, "1"), (2, "3")]
+    assert sorted(rows(aggregates.duplicate_members(p), "first_id", "id")) == [("1", "1"), ("1", "2"), ("3", "3"), ("3", "4")]
 
 
 def test_partial_listing_removes_nothing(spark):
@@ -221,8 +271,12 @@ def test_exports(spark, tmp_path):
     writers.write_json(writers.paper_records(p, s), f"{tmp_path}/json")
     assert spark.read.json(f"{tmp_path}/json").first().sections[0].section_type == "abstract"
     md = writers.markdown(p, s, listing.resolved_abstracts(p, s)).first()
-    assert md.name == "Zebrafish_Glycosylation_Pathways.md" and md.value.startswith("# Zebrafish") and "## methods" not in md.value
-    writers.write_markdown(writers.markdown(p, s, listing.resolved_abstracts(p, s)), f"{tmp_path}/md")
+    assert md.name == "Zebrafish_Glycosylation_Pathways_p1.md" and md.value.startswith("# Zebrafish") and "## methods" not in md.value
+    twice = p.unionByName(p.withColumn("id", F.lit("p7")))
+    writers.write_markdown(writers.markdown(twice, s, listing.resolved_abstracts(twice, s)), f"{tmp_path}/md")
+    assert writers.unpack_markdown(spark, f"{tmp_path}/md", f"{tmp_path}/files") == 2
+    assert sorted(x.name for x in (tmp_path / "files").iterdir()) == ["Zebrafish_Glycosylation_Pathways_p1.md", "Zebrafish_Glycosylation_Pathways_p7.md"]
+    assert (tmp_path / "files" / md.name).read_text() == md.value
     assert "Sections: abstract" in writers.summaries(p, s, listing.resolved_abstracts(p, s)).first().summary
 
 

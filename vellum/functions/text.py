@@ -31,7 +31,8 @@ def _lit(x):
 
 def squeezed(text: Column) -> Column:
     """Without white space at its ends."""
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
+    # possessive, and from the start of a run alone, so that runs inside the text are passed over once
+    return F.regexp_replace(text, rf"^{SPACE}++|(?<!{SPACE}){SPACE}++$", "")
 
 
 def whitespace_words(text: Column) -> Column:
@@ -86,24 +87,31 @@ def without_watermarks(text: Column) -> Column:
 
 
 def quality(text: Column, min_bytes: int = 50, min_words: int = 10, min_lines: int = 2, min_alnum: float = 0.40, reject: int = 30, warn: int = 70) -> dict[str, Column]:
-    """``score, issues, action`` of an extracted text; its length is measured in bytes."""
-    t = squeezed(text)
-    lines = F.size(F.split(F.regexp_replace(t, "\n$", ""), "\n"))
-    lines = F.when(t == "", 0).otherwise(lines)
-    alnum = F.regexp_count(t, F.lit(r"[\p{L}\p{N}]|" + CJK))
-    checks = [
-        ("too_short", 30, F.octet_length(t) < min_bytes),
-        ("too_few_words", 20, estimated_words(t) < min_words),
-        ("too_few_lines", 20, lines < min_lines),
-        ("low_alphanumeric_ratio", 40, alnum / F.greatest(F.char_length(t), F.lit(1)) < min_alnum),
-    ]
-    score = F.lit(100)
-    for _, points, hit in checks:
-        score = score - F.when(hit, points).otherwise(0)
-    score = F.greatest(score, F.lit(0))
-    issues = F.array_compact(F.array(*(F.when(hit, F.lit(name)) for name, _, hit in checks)))
-    action = F.when(score < reject, "reject").when(score < warn, "index_with_warning").otherwise("index")
-    return {"score": score, "issues": issues, "action": action}
+    """``score, issues, action`` of an extracted text; its length is measured in bytes.
+
+    The text is trimmed and counted once: a lambda over an array of one element binds what an expression would repeat
+    wherever it is named."""
+    def measured(t: Column) -> Column:
+        lines = F.when(t == "", 0).otherwise(F.size(F.split(F.regexp_replace(t, "\n$", ""), "\n")))
+        alnum = F.regexp_count(t, F.lit(r"[\p{L}\p{N}]|" + CJK))
+        # fixed values: the issues and the points that each costs
+        return F.filter(
+            F.array(
+                F.struct(F.lit("too_short").alias("issue"), F.lit(30).alias("points"), (F.octet_length(t) < min_bytes).alias("hit")),
+                F.struct(F.lit("too_few_words").alias("issue"), F.lit(20).alias("points"), (estimated_words(t) < min_words).alias("hit")),
+                F.struct(F.lit("too_few_lines").alias("issue"), F.lit(20).alias("points"), (lines < min_lines).alias("hit")),
+                F.struct(F.lit("low_alphanumeric_ratio").alias("issue"), F.lit(40).alias("points"), (alnum / F.greatest(F.char_length(t), F.lit(1)) < min_alnum).alias("hit")),
+            ),
+            lambda x: x["hit"],
+        )
+
+    def verdict(found: Column) -> Column:
+        score = F.greatest(F.lit(100) - F.aggregate(found, F.lit(0), lambda a, x: a + x["points"]), F.lit(0))
+        action = F.when(score < reject, "reject").when(score < warn, "index_with_warning").otherwise("index")
+        return F.struct(score.alias("score"), F.transform(found, lambda x: x["issue"]).alias("issues"), action.alias("action"))
+
+    once = F.transform(F.transform(F.transform(F.array(text), squeezed), measured), verdict)
+    return {k: once[0][k] for k in ("score", "issues", "action")}
 
 
 def deduplicated(values: Column) -> Column:
@@ -126,6 +134,7 @@ def normalised(text: Column) -> Column:
 
 def stripped_figure_prefix(caption: Column) -> Column:
     """A caption without its leading figure label."""
+    # fixed value: the words of a figure label
     return F.regexp_replace(F.ltrim(caption), r"(?i)^(?:supplementary figure |figure |fig\. )[a-z0-9_]+[.: ]*", "")
 
 
@@ -145,7 +154,8 @@ def ngrams(text: Column, n: int = 4) -> Column:
 def containment(needle: Column, hay: Column, n: int = 4) -> Column:
     """Share of needle's n-grams that hay has; of fewer than three words, whether hay contains it."""
     a = ngrams(needle, n)
-    share = F.size(F.array_intersect(a, ngrams(hay, n))) / F.size(a)
+    # a text has an n-gram exactly if it contains it, so the n-grams of a long text are never made
+    share = F.size(F.filter(a, lambda g: hay.contains(g))) / F.size(a)
     short = F.size(F.split(F.trim(needle), r"\s+")) < 3
     return F.when(short | (F.size(a) == 0), F.when(hay.contains(needle) & (needle != ""), 1.0).otherwise(0.0)).otherwise(share)
 
@@ -164,12 +174,12 @@ def _neighbours(words: Column, test) -> Column:
 
 
 def artifacts_likely(text: Column) -> Column:
-    """Traces of spaces inside words: a lone lower-case letter that is no symbol beside its companion, or a short fragment
-    beside a longer lower-case word."""
+    """Traces of spaces inside words: a lone lower-case letter that is no symbol beside its companion, or a fragment of two
+    or three bytes beside a longer lower-case word."""
     w = F.split(squeezed(text), f"{SPACE}+")
     companion = lambda y: y.rlike(r"^[=<>0-9]") | F.lower(F.regexp_replace(y, r"\p{Punct}+$", "")).isin(COMPANIONS)
     lone = lambda x: x.rlike("^[b-hj-z]$")
-    fragment = lambda x, y: x.rlike(r"^\p{L}{2,3}$") & ~F.lower(x).isin(SHORT_WORDS) & y.rlike(r"^\p{Ll}\p{L}{4,}$")
+    fragment = lambda x, y: x.rlike(r"^\p{L}+$") & F.octet_length(x).between(2, 3) & ~F.lower(x).isin(SHORT_WORDS) & y.rlike(r"^\p{Ll}\p{L}{4,}$")
     last = lone(F.element_at(w, -1))
     return last | _neighbours(w, lambda x, y: (lone(x) & ~companion(y)) | fragment(x, y) | fragment(y, x))
 
@@ -189,26 +199,19 @@ def same_but_spaces(a: Column, b: Column) -> Column:
     return F.regexp_replace(a, SPACE, "") == F.regexp_replace(b, SPACE, "")
 
 
+def sanitised_label(label: Column) -> Column:
+    """A figure label for file names and ids: runs of other characters than letters, digits and hyphens as one underscore,
+    none at the ends."""
+    return F.btrim(F.regexp_replace(label, "[^A-Za-z0-9-]+", "_"), F.lit("_"))
+
+
 def markdown_images(text: Column, paper_id: Column) -> Column:
     """Images of a Markdown text in order: (id, caption, path)."""
+    # fixed value: what an image looks like in Markdown
     pattern = F.lit(r"!\[(.*?)\]\((.*?)\)")
     return F.transform(F.arrays_zip(F.regexp_extract_all(text, pattern, 1).alias("caption"), F.regexp_extract_all(text, pattern, 2).alias("path")), lambda x, i: F.struct(F.concat(paper_id, F.lit("_fig"), (i + 1).cast("string")).alias("id"), x["caption"].alias("caption"), x["path"].alias("path")))
 
 
-def front_matter(text: Column) -> dict[str, Column]:
-    """``body`` and ``yaml`` of a Markdown text; the block is cut whether or not it is valid."""
-    t = F.regexp_replace(text, "^﻿", "")
-    block = r"(?s)^---\n(.*?)\n---[^\n]*\n?"
-    has = t.rlike(block)
-    return {"yaml": F.when(has, F.regexp_extract(t, block, 1)), "body": F.when(has, F.regexp_replace(t, block, "")).otherwise(t)}
-
-
-def front_matter_field(yaml: Column, key: str) -> Column:
-    """A scalar or flow-list field of a front matter block as text, without quotes; null if absent."""
-    value = F.trim(F.regexp_extract(yaml, rf"(?m)^{key}:[ \t]*(.*)$", 1))
-    return F.nullif(F.regexp_replace(value, r"^[\[\"']+|[\]\"']+$", ""), F.lit(""))
-
-
 def safe_paper_id(value: Column) -> Column:
     """An id that cannot leave its folder."""
     return value.rlike(r"^[A-Za-z0-9._-]+$") & ~value.contains("..") & (F.char_length(value) <= 255)
@@ -234,13 +237,6 @@ def valid_partial_date(date: Column) -> Column:
     return date.rlike(r"^\d{4}$") | date.rlike(r"^\d{4}-(0[1-9]|1[0-2])$") | (date.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_timestamp(date, F.lit("yyyy-MM-dd")).isNotNull())
 
 
-def json_text(value: Column) -> Column:
-    """The JSON of a model's reply: a fenced block, else from the first bracket to the last, without trailing commas."""
-    fenced = F.regexp_extract(value, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    body = F.when(fenced != "", fenced).otherwise(F.regexp_extract(value, r"(?s)([\[{].*[\]}])", 1))
-    return F.nullif(F.regexp_replace(squeezed(body), r",\s*([\]}])", "$1"), F.lit(""))
-
-
 def image_verdict(n_bytes: Column, width: Column, height: Column, min_bytes: int = 5000, min_short: int = 100, min_long: int = 200) -> Column:
     """Why an image is too poor to keep; null if it is not."""
     short, long_ = F.least(width, height), F.greatest(width, height)

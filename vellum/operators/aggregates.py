@@ -23,14 +23,25 @@ def call_metrics(calls: DataFrame, since: Column | None = None) -> DataFrame:
     return calls.groupBy("kind", "model").agg(F.count(F.lit(1)).alias("calls"), F.sum(F.when(F.col("success"), 0).otherwise(1)).cast("long").alias("failures"), total("prompt_tokens"), total("completion_tokens"), F.avg("latency_ms").alias("avg_latency_ms")).orderBy("kind", "model")
 
 
-def duplicate_groups(papers: DataFrame) -> DataFrame:
-    """Groups of papers with one file hash, or else one normalised title, authors and date; the largest first."""
+def duplicate_key(papers: DataFrame) -> DataFrame:
+    """``key, id``: a paper's file hash, or else its normalised title, authors and date."""
     meta = F.concat_ws("|", tx.normalised(F.col("title")), F.array_join(F.transform("authors", F.lower), ","), F.coalesce("published_date", F.lit("")))
-    key = F.coalesce(F.nullif("file_hash", F.lit("")), meta)
-    groups = papers.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("id")).alias("ids"))
+    return papers.select(F.coalesce(F.nullif("file_hash", F.lit("")), meta).alias("key"), "id")
+
+
+def duplicate_groups(papers: DataFrame) -> DataFrame:
+    """``key, n, first_id`` of keys that several papers have, the largest group first.  Members are rows, not a list, as a
+    group has no bound: ``duplicate_members``."""
+    groups = duplicate_key(papers).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
     return groups.where("n > 1").orderBy(F.desc("n"), "key")
 
 
+def duplicate_members(papers: DataFrame) -> DataFrame:
+    """``first_id, id`` of every paper in a group of duplicates; first_id names the group."""
+    keyed = duplicate_key(papers)
+    return keyed.join(duplicate_groups(papers).select("key", "first_id"), "key").select("first_id", "id")
+
+
 def paper_issues(papers: DataFrame, sections: DataFrame, min_title: int = 5) -> DataFrame:
     """``id, title, issues`` of papers that break a rule; lengths of sections are in bytes."""
     content, kind = F.col("content"), F.col("section_type") == "abstract"

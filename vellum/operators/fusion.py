@@ -71,14 +71,15 @@ def hybrid(semantic: DataFrame | None, full_text: DataFrame | None, path: DataFr
     return normalised(fuse(lists, {leg: w for leg, (_, w) in have.items()}).limit(k))
 
 
-def attempt(leg: Callable[[], DataFrame]) -> DataFrame | None:
-    """A leg's DataFrame, None if it cannot be planned."""
+def attempt(leg: Callable[[], DataFrame], most: int = 2 * vector.MAX_RESULTS) -> DataFrame | None:
+    """A leg's rows, at most ``most``; None if it fails, whether it is planned or run.  A leg is a list of the best few,
+    so that it is run here once and its rows go on."""
     try:
         df = leg()
-        _ = df.schema
+        rows = df.limit(most).collect()
     except Exception:  # a leg may fail in any way; the others answer
         return None
-    return df
+    return df.sparkSession.createDataFrame(rows, df.schema)
 
 
 def hybrid_search(text: str, index: fulltext.Index, papers: DataFrame, chunks: DataFrame, vectors: DataFrame, embed: Callable[[list[str]], list[list[float]]] = vector.embed_words, k: int = 20, min_score: float = vector.MIN_SCORE, profile: Profile | None = None) -> DataFrame:

@@ -1,7 +1,9 @@
 """The relatedness graph: papers that share keywords, keyword tokens or entities.
 
-A positive weight needs something shared, so candidates come from an equi-join on shared features, never from all
-pairs; a feature that most papers have is split by adaptive execution.
+A positive weight needs something shared, so candidates come from an equi-join on shared features, not from all
+pairs.  A feature that most papers have relates most pairs all the same, and each such pair is an edge: the result
+itself grows with the square of the papers.  So the graph is one of the latest papers, as many as its limit (1000 at
+most), and one paper is compared with the whole library by ``focus_edges``, which is linear.
 """
 
 from __future__ import annotations
@@ -120,6 +122,11 @@ def capped(edge_rows: DataFrame, cap: int) -> DataFrame:
     return edge_rows.join(kept, ["source", "target"], "left_semi")
 
 
+def degrees(edge_rows: DataFrame) -> DataFrame:
+    """``id, degree`` of every paper with an edge."""
+    return edge_rows.select(F.explode(F.array("source", "target")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+
+
 def nodes(papers: DataFrame) -> DataFrame:
     return papers.select("id", "title", "venue", tx.publication_year(F.col("published_date")).alias("year"), "published_date", "keywords")
 

@@ -62,6 +62,16 @@ def by_ids(df: DataFrame, ids: DataFrame, column: str = "id") -> DataFrame:
     return df.join(ids.select(F.col("id").alias("__id")), F.col(column) == F.col("__id"), "left_semi")
 
 
+def ids_by_entity(entities: DataFrame, kind: str, value: str) -> DataFrame:
+    """``paper_id`` of papers with an entity, each once."""
+    return entities.where((F.col("kind") == kind) & (F.col("value") == value)).select("paper_id").distinct()
+
+
+def ids_by_type(papers: DataFrame, paper_type: str) -> DataFrame:
+    """``paper_id`` of papers of a type."""
+    return papers.where(F.col("paper_type") == paper_type).select(F.col("id").alias("paper_id"))
+
+
 def retryable(papers: DataFrame, status: str = "failed", max_retries: int = 3) -> DataFrame:
     """Papers of a status that were tried fewer times, latest first."""
     return papers.where((F.col("status") == status) & (F.col("retry_count") < max_retries)).orderBy(F.desc("updated_at"), "id")
@@ -136,7 +146,7 @@ def ancestors(chunks: DataFrame, ids: DataFrame, most: int = 50) -> DataFrame:
     step = ids.select("id").join(parents, F.col("id") == F.col("__c")).select("id", F.col("__p").alias("ancestor_id"), F.lit(1).alias("steps"), F.array("id", "__p").alias("seen"))
     found = []
     for _ in range(most):
-        step = step.persist()
+        step = step.checkpoint() if step.sparkSession.sparkContext.getCheckpointDir() else step.persist()
         if step.isEmpty():
             break
         found.append(step)
@@ -156,7 +166,8 @@ def descendants(collections: DataFrame, roots: DataFrame) -> DataFrame:
     seen = roots.select("key").distinct()
     front = seen
     while True:
-        front = links.join(front.select(F.col("key").alias("parent")), "parent", "left_semi").select("key").distinct().join(seen, "key", "left_anti").persist()
+        front = links.join(front.select(F.col("key").alias("parent")), "parent", "left_semi").select("key").distinct().join(seen, "key", "left_anti")
+        front = front.checkpoint() if front.sparkSession.sparkContext.getCheckpointDir() else front.persist()
         if front.isEmpty():
             return seen
         seen = seen.unionByName(front)

@@ -17,6 +17,7 @@ from vellum.functions import text as tx
 from vellum.functions.query import Profile
 from vellum.operators import fulltext, fusion, listing, vector
 
+# The metadata fields in order, the budgets, and the labels in contexts below.
 FIELDS = ("title", "authors", "published_date", "venue", "affiliations", "emails", "doi", "keywords", "extra")
 DEFAULT_FIELDS = FIELDS[:4]
 TOTAL, PER_PAPER, SINGLE_PAPER, TOP_K = 24_000, 4_000, 8_000, 12
@@ -75,21 +76,22 @@ def chunk_contexts(hits: DataFrame, chunks: DataFrame, figures: DataFrame, paper
     return out.withColumn("content", tx.without_watermarks(F.col("content"))).orderBy(F.desc("score"), "id")
 
 
-def compact_context(contexts: DataFrame, papers: DataFrame, most: int, fields: tuple[str, ...] = DEFAULT_FIELDS) -> DataFrame:
-    """One row ``context``: papers in order of their best chunk, a header each, their chunks, up to ``most`` characters.
+def compact_contexts(contexts: DataFrame, papers: DataFrame, most: int, fields: tuple[str, ...] = DEFAULT_FIELDS, by: tuple[str, ...] = ("paper_id",)) -> DataFrame:
+    """``context`` for each of the groups ``by``: papers in order of their best chunk, a header each, their chunks, up to
+    ``most`` characters.
 
     Blocks are laid out in order and a running sum of their lengths decides; the first that does not fit ends the text,
-    and of a chunk what fits stays if that is more than a few characters."""
+    and of a chunk what fits stays if that is more than a few characters.  The chunks are those of a search, so few."""
     best = Window.partitionBy("paper_id")
-    rows = contexts.withColumn("top", F.max("score").over(best)).withColumn("first", F.min(F.struct((-F.col("score")).alias("k"), "id")).over(best))
+    rows = contexts.withColumn("first", F.min(F.struct((-F.col("score")).alias("k"), "id")).over(best))
     head = F.array_join(meta_parts(fields, F.concat(F.lit("Paper: "), "title")), " ")
     headers = papers.select(F.col("id").alias("paper_id"), F.concat(F.lit("--- "), head, F.lit(" ---\n")).alias("header"), (head != "").alias("named")).where("named").drop("named")
     block = F.concat(F.coalesce(F.concat(F.lit("Section path: "), "heading_path", F.lit("\n")), F.lit("")), F.coalesce(F.concat(F.lit("[Page "), F.col("page_number").cast("string"), F.lit("] ")), F.lit("")), "content", F.coalesce(F.concat(F.lit("\n"), "referenced_context"), F.lit("")), F.lit("\n\n"))
     rows = rows.join(headers, "paper_id")
     opens = F.row_number().over(best.orderBy(F.desc("score"), "id")) == 1
-    pieces = rows.withColumn("opens", opens).select("first", F.col("score"), "id", F.explode(F.array_compact(F.array(F.when(F.col("opens"), F.struct(F.lit(0).alias("kind"), F.col("header").alias("text"))), F.struct(F.lit(1).alias("kind"), block.alias("text"))))).alias("p"))
+    pieces = rows.withColumn("opens", opens).select(*by, "first", F.col("score"), "id", F.explode(F.array_compact(F.array(F.when(F.col("opens"), F.struct(F.lit(0).alias("kind"), F.col("header").alias("text"))), F.struct(F.lit(1).alias("kind"), block.alias("text"))))).alias("p"))
     order = F.struct("first", (-F.col("score")).alias("s"), "id", F.col("p.kind").alias("kind"), F.col("p.text").alias("text"))
-    listed = pieces.agg(F.sort_array(F.collect_list(order)).alias("all"))
+    listed = pieces.groupBy(*by).agg(F.sort_array(F.collect_list(order)).alias("all"))
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("n"), F.lit(False).alias("cut"))
 
     def step(a, x):
@@ -98,7 +100,12 @@ def compact_context(contexts: DataFrame, papers: DataFrame, most: int, fields: t
         return F.when(a["cut"], a).when(size <= room, F.struct(F.concat(a["out"], x["text"]).alias("out"), (a["n"] + size).alias("n"), F.lit(False).alias("cut"))).otherwise(F.struct(F.concat(a["out"], tail).alias("out"), (a["n"] + F.char_length(tail)).alias("n"), F.lit(True).alias("cut")))
 
     folded = F.aggregate("all", start, step)
-    return listed.select(folded.alias("f")).select(F.concat("f.out", F.when(F.col("f.cut"), CUT_MARK).otherwise("")).alias("context"))
+    return listed.select(*by, folded.alias("f")).select(*by, F.concat("f.out", F.when(F.col("f.cut"), CUT_MARK).otherwise("")).alias("context"))
+
+
+def compact_context(contexts: DataFrame, papers: DataFrame, most: int, fields: tuple[str, ...] = DEFAULT_FIELDS) -> DataFrame:
+    """One row ``context`` of all chunks."""
+    return compact_contexts(contexts, papers, most, fields, ())
 
 
 def merged_sources(sources: DataFrame) -> DataFrame:
@@ -155,8 +162,34 @@ def enhancer(chat: Callable[[str], dict], size: int = 64) -> Callable[[str], tup
     return run
 
 
-def retrieve(question: str, papers: DataFrame, chunks: DataFrame, figures: DataFrame, sections: DataFrame, vectors: DataFrame, index: fulltext.Index, chunk_index: fulltext.Index, embed=vector.embed_words, enhance=None, k: int = TOP_K, fields: tuple[str, ...] = DEFAULT_FIELDS) -> DataFrame:
-    """The context for a question: papers from up to three searches fused, then their best chunks, or their sections."""
+def section_snippets(found: DataFrame) -> DataFrame:
+    """``paper_id, content``: the sections that a search matched, as labelled snippets."""
+    lines = F.transform("matched_sections", lambda x: F.concat(F.lit("["), x["section_type"], F.lit("] "), x["content_snippet"]))
+    return found.select("paper_id", F.array_join(lines, "\n\n").alias("content"))
+
+
+def sources_of(found: DataFrame, question: str, papers: DataFrame, chunks: DataFrame, figures: DataFrame, chunk_index: fulltext.Index, k: int = TOP_K, fields: tuple[str, ...] = DEFAULT_FIELDS) -> DataFrame:
+    """Sources (paper_id, seq, score, content, citations) of found papers (paper_id, score, matched_sections), best first.
+
+    A paper's content are its best chunks within its budget, which papers with chunks share, else the sections that
+    the search matched; citations are the ids of its chunks."""
+    best = Window.partitionBy()
+    ranked = found.withColumn("score", F.when(F.max("score").over(best) > 0, F.col("score") / F.max("score").over(best)).otherwise(F.col("score")))
+    ranked = ranked.withColumn("seq", F.row_number().over(best.orderBy(F.desc("score"), "paper_id")))
+    hits = fulltext.search_chunks(chunk_index, chunks, question, 3 * k, found.select("paper_id")).select("doc_id", "score")
+    contexts = chunk_contexts(hits, chunks, figures, papers)
+    contexts = contexts.sparkSession.createDataFrame(contexts.collect(), contexts.schema)  # 3k rows at most
+    each = compact_contexts(contexts, papers, paper_budget(contexts.select("paper_id").distinct().count()), fields)
+    cited = contexts.groupBy("paper_id").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))), lambda x: x["id"]).alias("citations"))
+    joined = ranked.join(each, "paper_id", "left").join(cited, "paper_id", "left").join(section_snippets(found), "paper_id", "left")
+    has = F.coalesce(F.col("context"), F.lit("")) != ""
+    none = F.array().cast("array<string>")
+    return joined.select("paper_id", "seq", "score", F.when(has, F.col("context")).otherwise(F.coalesce("content", F.lit(""))).alias("content"), F.when(has, F.col("citations")).otherwise(none).alias("citations"))
+
+
+def retrieve(question: str, papers: DataFrame, chunks: DataFrame, figures: DataFrame, vectors: DataFrame, index: fulltext.Index, chunk_index: fulltext.Index, embed=vector.embed_words, enhance=None, k: int = TOP_K, fields: tuple[str, ...] = DEFAULT_FIELDS) -> tuple[DataFrame, DataFrame]:
+    """(context, sources) for a question: up to three searches fused and scored against the best paper, each paper's chunks
+    within its budget, sources of one paper merged, and the numbered whole within the total."""
     profile = Profile.of(question)
     k = profile.top_k(k)
     search = lambda q, method="hybrid": fusion.search_papers(method, q, index, papers, chunks, vectors, embed, k)
@@ -167,12 +200,9 @@ def retrieve(question: str, papers: DataFrame, chunks: DataFrame, figures: DataF
             lists.append(search(rewritten))
         if document:
             lists.append(search(document, "semantic"))
-    found = fusion.fuse_lists(lists).limit(k).select("paper_id", "score")
-    hits = fulltext.search_chunks(chunk_index, chunks, question, 3 * k, found.select("paper_id")).select("doc_id", "score")
-    if not hits.isEmpty():
-        return compact_context(chunk_contexts(hits, chunks, figures, papers), papers, TOTAL, fields)
-    rows = found.join(section_context(sections), "paper_id").withColumn("seq", F.row_number().over(Window.orderBy(F.desc("score"), "paper_id")))
-    return source_context(rows, papers, TOTAL, fields)
+    found = fusion.fuse_lists(lists).limit(k).select("paper_id", "score", "matched_sections")
+    sources = merged_sources(sources_of(found, question, papers, chunks, figures, chunk_index, k, fields))
+    return source_context(sources, papers, TOTAL, fields), sources
 
 
 def ask(question: str, chat: Callable[[str, str], str], prompts: DataFrame, context: DataFrame, prompt_id: str | None = None) -> str:

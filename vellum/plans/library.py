@@ -30,15 +30,6 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first three lines: abstract, methods and results; every ninth document has none.  For the queries whose SQL
-    says the same; the others take ``whole_sections``."""
-    d = read(spark, sf_dir, "documents").where("doc_id % 9 <> 0")
-    names = F.array(*(F.lit(x) for x in ("abstract", "methods", "results")))
-    lines = d.select(F.col("doc_id").cast("string").alias("paper_id"), "doc_id", F.posexplode(F.slice(F.split("text", "\n"), 1, 3)).alias("k", "content"))
-    return lines.select((F.col("doc_id") * 3 + F.col("k")).alias("id"), "paper_id", F.element_at(names, F.col("k") + 1).alias("section_type"), "content")
-
-
-def whole_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All lines of every document: the first is its abstract, the second its methods, the others its results."""
     d = read(spark, sf_dir, "documents")
     names = F.array(*(F.lit(x) for x in ("abstract", "methods", "results")))
@@ -90,9 +81,9 @@ CTE = {
         CASE doc_id % 10 WHEN 0 THEN 'failed' WHEN 1 THEN 'processing' ELSE 'indexed' END AS status, CASE WHEN doc_id % 20 = 0 THEN 'timed out' END AS error_message,
         CAST(doc_id % 4 AS INTEGER) AS retry_count, CAST(2000 + doc_id % 25 AS VARCHAR) || CASE WHEN doc_id % 3 = 0 THEN '-05-01' ELSE '' END AS published_date,
         TIMESTAMP '2024-01-01' + to_minutes(doc_id) AS updated_at, sha256(text) AS file_hash, text FROM documents)""",
-    "sections": """lines3 AS (SELECT doc_id, list_slice(string_split(text, chr(10)), 1, 3) AS ls FROM documents WHERE doc_id % 9 <> 0),
-        sections AS (SELECT doc_id * 3 + k - 1 AS id, CAST(doc_id AS VARCHAR) AS paper_id, ['abstract', 'methods', 'results'][k] AS section_type, ls[k] AS content
-        FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS k FROM lines3))""",
+    "sections": """section_lines AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+        sections AS (SELECT doc_id * 3 + k - 1 AS id, CAST(doc_id AS VARCHAR) AS paper_id, ['abstract', 'methods', 'results'][k] AS section_type, CASE WHEN k < 3 THEN ls[k] ELSE array_to_string(ls[3:], chr(10)) END AS content
+        FROM (SELECT doc_id, ls, unnest(range(1, least(len(ls), 3) + 1)) AS k FROM section_lines))""",
     "chunks": """all_lines AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
         chunks AS (SELECT CAST(doc_id AS VARCHAR) || '_c' || CAST(k AS VARCHAR) AS id, CAST(doc_id AS VARCHAR) AS paper_id, CASE WHEN k > 0 THEN CAST(doc_id AS VARCHAR) || '_c0' END AS parent_id, ls[k + 1] AS content, k AS seq
         FROM (SELECT doc_id, ls, unnest(range(0, len(ls))) AS k FROM all_lines))""",

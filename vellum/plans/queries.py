@@ -126,9 +126,9 @@ def without_vectors(spark, d):
     return listing.without_vectors(lib.papers(spark, d), lib.vectors(spark, d)).select("id")
 
 
-@query("papers comments", "SELECT DISTINCT paper_id FROM comments WHERE paper_id NOT IN (SELECT id FROM papers)")
+@query("papers comments", "SELECT DISTINCT paper_id FROM comments WHERE paper_id NOT IN (SELECT id FROM papers WHERE status = 'indexed')")
 def orphan_anti_join(spark, d):
-    return listing.orphans(lib.comments(spark, d), lib.papers(spark, d))
+    return listing.orphans(lib.comments(spark, d), listing.filtered(lib.papers(spark, d), "indexed"))
 
 
 @query("", """WITH RECURSIVE up(id, ancestor_id, steps) AS (SELECT n_nationkey, n_nationkey // 2, 1 FROM nation WHERE n_nationkey > 0
@@ -168,9 +168,14 @@ def metrics_last_24h(spark, d):
     return aggregates.call_metrics(calls, since).withColumn("avg_latency_ms", F.round("avg_latency_ms", 6))
 
 
-@query("papers", "SELECT file_hash AS key, count(*) AS n, array_to_string(list_sort(list(id)), ',') AS ids FROM papers GROUP BY 1 HAVING count(*) > 1")
+@query("papers", "SELECT file_hash AS key, count(*) AS n, min(id) AS first_id FROM papers GROUP BY 1 HAVING count(*) > 1")
 def duplicate_groups(spark, d):
-    return aggregates.duplicate_groups(lib.papers(spark, d)).withColumn("ids", F.array_join("ids", ","))
+    return aggregates.duplicate_groups(lib.papers(spark, d))
+
+
+@query("papers", "SELECT first_id, id FROM (SELECT id, count(*) OVER w AS n, min(id) OVER w AS first_id FROM papers WINDOW w AS (PARTITION BY file_hash)) WHERE n > 1")
+def duplicate_members(spark, d):
+    return aggregates.duplicate_members(lib.papers(spark, d))
 
 
 _ISSUES = """SELECT p.id, array_to_string(list_filter([
@@ -297,10 +302,8 @@ def _document_vectors(spark, d):
 
 @query()
 def embed_documents(spark, d):
-    return _document_vectors(spark, d).select("id", F.size("vector").alias("dimension"))
-
-
-SQL["embed_documents"] = lib.with_tables("papers", "SELECT id, CAST(64 AS INTEGER) AS dimension FROM papers")
+    weighed = F.aggregate(F.transform("vector", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return _document_vectors(spark, d).select("id", F.size("vector").alias("dimension"), F.round(weighed, 4).alias("checksum"))
 
 # full text
 
@@ -351,8 +354,9 @@ def path_overlap(spark, d):
     (SELECT count(*) AS n, avg(len(ts)) AS a FROM (SELECT {_TERMS.replace('COLUMN', 'content')} AS ts FROM chunks) WHERE len(ts) > 0) GROUP BY 1, 2) ORDER BY round(score, 9) DESC, doc_id LIMIT 30""")
 def search_passages(spark, d):
     c = lib.chunks(spark, d)
-    hits = fulltext.bm25(fulltext.build(c, ["content"]), ["erth"]).withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "doc_id").limit(30)
-    return hits.join(c.select(F.col("id").alias("doc_id"), "paper_id"), "doc_id").select("doc_id", "paper_id", F.round("score", 6).alias("score"))
+    # the operator's own limit is wide, so that scores are rounded before they are ordered, as in the SQL
+    hits = fulltext.passages(fulltext.build(c, ["content"]), c, lib.papers(spark, d), "erth", 1 << 30).withColumn("score", F.round("score", 9))
+    return hits.orderBy(F.desc("score"), "doc_id").limit(30).select("doc_id", "paper_id", F.round("score", 6).alias("score"))
 
 
 @query("papers", "SELECT id, regexp_replace(title, '(^|[^0-9A-Za-zÀ-ɏ])(the)([^0-9A-Za-zÀ-ɏ]|$)', '\\1<mark>\\2</mark>\\3', 'i') AS first_marked FROM papers WHERE regexp_matches(title, '(^|[^0-9A-Za-zÀ-ɏ])the([^0-9A-Za-zÀ-ɏ]|$)', 'i')")
@@ -464,11 +468,11 @@ def normalised_titles(spark, d):
     return lib.papers(spark, d).select("id", tx.normalised(F.col("title")).alias("t"))
 
 
-@query("papers", """SELECT id, round(CASE WHEN len(string_split(x, ' ')) < 3 OR length(x) < 4 THEN CASE WHEN x <> '' AND contains(y, x) THEN 1.0 ELSE 0.0 END ELSE len(list_intersect(a, b)) / len(a) END, 6) AS share FROM
-    (SELECT id, x, y, list_distinct([substring(x, i, 4) for i in range(1, length(x) - 2)]) AS a, list_distinct([substring(y, i, 4) for i in range(1, length(y) - 2)]) AS b FROM
-    (SELECT id, regexp_replace(trim(lower(title)), ' +', ' ', 'g') AS x, lower(abstract_text) AS y FROM papers WHERE abstract_text IS NOT NULL))""")
+@query("papers", """SELECT id, round(CASE WHEN len(string_split(x, ' ')) < 3 OR length(x) < 4 THEN CASE WHEN x <> '' AND contains(y, x) THEN 1.0 ELSE 0.0 END ELSE len(list_filter(a, lambda g: contains(y, g))) / len(a) END, 6) AS share FROM
+    (SELECT id, x, y, list_distinct([substring(x, i, 4) for i in range(1, length(x) - 2)]) AS a FROM
+    (SELECT id, regexp_replace(trim(lower(title)), ' +', ' ', 'g') AS x, substring(lower(text), length(title) + 2) AS y FROM papers))""")
 def ngram_containment(spark, d):
-    p = lib.papers(spark, d).where("abstract_text is not null").select("id", F.regexp_replace(F.trim(F.lower("title")), " +", " ").alias("x"), F.lower("abstract_text").alias("y"))
+    p = lib.papers(spark, d).select("id", F.regexp_replace(F.trim(F.lower("title")), " +", " ").alias("x"), F.substring(F.lower("text"), F.length("title") + 2, F.length("text")).alias("y"))
     return p.select("id", F.round(tx.containment(F.col("x"), F.col("y")), 6).alias("share"))
 
 
@@ -611,16 +615,19 @@ def export_section_lines(spark, d):
 
 @query()
 def export_section_records(spark, d):
-    return writers.section_records(lib.papers(spark, d), lib.whole_sections(spark, d).withColumn("content_hash", F.sha2("content", 256)))
+    return writers.section_records(lib.papers(spark, d), lib.sections(spark, d).withColumn("content_hash", F.sha2("content", 256)))
 
 
 @query()
 def export_markdown(spark, d):
     p = lib.papers(spark, d).withColumns({"venue": F.lit(None).cast("string"), "doi": F.lit(None).cast("string"), "urls": F.array().cast("array<string>")})
-    s = lib.whole_sections(spark, d)
+    s = lib.sections(spark, d)
     return writers.markdown(p, s, listing.resolved_abstracts(p, s))
 
 
 @query("papers sections", "SELECT (SELECT count(*) FROM papers) AS papers, (SELECT count(*) FROM sections) AS sections")
 def export_counts(spark, d):
     return writers.export_counts(lib.papers(spark, d), lib.sections(spark, d))
+
+
+from vellum.plans import further  # noqa: E402, F401 - registers more queries here

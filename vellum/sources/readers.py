@@ -13,9 +13,10 @@ from functools import reduce
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vellum.functions import replies
 from vellum.functions import text as tx
 
 # Formats by extension.
@@ -63,11 +64,8 @@ def read_plain(spark: SparkSession, folder: str, kind: str = "plain_text") -> Da
 
 def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
     """Markdown with title, authors, keywords and DOI from its front matter."""
-    parts = tx.front_matter(F.decode("content", "UTF-8"))
-    df = _files(spark, folder, "markdown").select("path", parts["yaml"].alias("yaml"), parts["body"].alias("body"))
-    field = lambda k: tx.front_matter_field(F.col("yaml"), k)
-    many = lambda *ks: F.coalesce(F.transform(tx.string_or_array(F.coalesce(*(field(k) for k in ks))), lambda x: F.btrim(x, F.lit("\"' "))), F.array().cast("array<string>"))
-    return _row(df, "markdown", title=F.coalesce(field("title"), stem(F.col("path"))), text=F.col("body"), structured=F.lit(True), authors=many("authors", "author"), keywords=many("keywords", "tags"), doi=field("doi"), error=_checked(F.col("body")))
+    df = _files(spark, folder, "markdown").select("path", replies.front_matter(F.decode("content", "UTF-8")).alias("m"))
+    return _row(df, "markdown", title=F.coalesce("m.title", stem(F.col("path"))), text=F.col("m.body"), structured=F.lit(True), authors=F.col("m.authors"), keywords=F.col("m.keywords"), doi=F.col("m.doi"), error=_checked(F.col("m.body")))
 
 
 def docx_text(content: bytes) -> str:
@@ -139,10 +137,55 @@ def page_index(pages: DataFrame) -> DataFrame:
     return pages.select("doc_id", "page", F.col("text").alias("raw_text"), tx.normalised(F.col("text")).alias("text"), F.char_length("text").alias("chars"), (F.col("n_images") > 0).alias("has_image"))
 
 
-def figure_pages(figures: DataFrame, pages: DataFrame, sure: float = 0.8, near_image: float = 0.5, short: int = 300) -> DataFrame:
-    """``id, page`` of figures (id, doc_id, caption) by their caption on a page: enough of its 4-grams, or fewer beside an
-    image; a page of few characters needs an image."""
-    needles = figures.select("id", "doc_id", tx.caption_needle(F.col("caption")).alias("needle")).where("needle <> ''")
+def _label_number(label: Column) -> Column:
+    return F.regexp_extract(label, r"(?i)(s?\d+[a-z]?)\s*$", 1)
+
+
+def figure_pages(figures: DataFrame, pages: DataFrame, sure: float = 0.8, near_image: float = 0.5, short: int = 300, prefix: int = 40) -> DataFrame:
+    """``id, page`` of figures (id, doc_id, caption, label perhaps), by the first of these that finds a page:
+
+    1. the caption's label stands at the start of a line, and the caption's first words follow it;
+    2. enough of the caption's 4-grams are on the page, or fewer beside an image; a page of few characters needs one;
+    3. the first ``prefix`` characters of the normalised caption are on the page.
+
+    Of equal pages the one with an image, then the larger share, then the first."""
+    label = F.col("label") if "label" in figures.columns else F.regexp_extract("caption", r"(?i)^\s*((?:supplementary\s+)?(?:figure|fig\.?)\s*s?\d+[a-z]?)", 1)
+    needles = figures.select("id", "doc_id", tx.caption_needle(F.col("caption")).alias("needle"), F.lower(_label_number(label)).alias("number")).where("needle <> ''")
     shares = needles.join(page_index(pages), "doc_id").withColumn("share", tx.containment(F.col("needle"), F.col("text")))
-    good = shares.where(((F.col("share") >= sure) & ((F.col("chars") >= short) | F.col("has_image"))) | ((F.col("share") >= near_image) & F.col("has_image")))
-    return good.groupBy("id").agg(F.min_by("page", F.struct((-F.col("share")).alias("s"), "page")).alias("page"))
+    head = F.array_join(F.slice(F.split("needle", " "), 1, 3), " ")
+    lines = F.transform(F.split("raw_text", "\n"), lambda x: F.struct(F.lower(F.regexp_extract(x, r"(?i)^\W*(?:supplementary\s+)?(?:figure|fig\.?)\s*(s?\d+[a-z]?)\b", 1)).alias("n"), tx.normalised(x).alias("t")))
+    anchored = (F.col("number") != "") & F.exists(lines, lambda x: (x["n"] == F.col("number")) & x["t"].contains(head))
+    contained = ((F.col("share") >= sure) & ((F.col("chars") >= short) | F.col("has_image"))) | ((F.col("share") >= near_image) & F.col("has_image"))
+    begun = (F.char_length("needle") >= prefix) & F.col("text").contains(F.substring("needle", 1, prefix))
+    tier = F.when(anchored, 1).when(contained, 2).when(begun, 3)
+    good = shares.withColumn("tier", tier).where("tier is not null")
+    return good.groupBy("id").agg(F.min_by("page", F.struct("tier", (~F.col("has_image")).alias("i"), (-F.col("share")).alias("s"), "page")).alias("page"))
+
+
+def figure_ids(figures: DataFrame) -> DataFrame:
+    """figures (paper_id, seq, label) with ``id``: the paper and the sanitised label, with a suffix from the second of a label
+    on; a figure without a usable label is numbered by its place among the paper's figures, after the labels."""
+    label = tx.sanitised_label(F.coalesce("label", F.lit("")))
+    named = figures.withColumn("__l", label)
+    again = F.row_number().over(Window.partitionBy("paper_id", "__l").orderBy("seq"))
+    place = F.row_number().over(Window.partitionBy("paper_id").orderBy("seq"))
+    suffix = F.when(again > 1, F.concat(F.lit("_"), again.cast("string"))).otherwise(F.lit(""))
+    name = F.when(F.col("__l") == "", F.concat(F.lit("_fig"), place.cast("string"))).otherwise(F.concat(F.lit("_fig_"), F.col("__l"), suffix))
+    return named.withColumn("id", F.concat("paper_id", name)).drop("__l")
+
+
+def kept_images(images: DataFrame, max_share: float = 0.9) -> DataFrame:
+    """Images (doc_id, page, width, height, length, page_area, hash, seq) that are good enough to be figures: large enough,
+    not the whole page, and of equal ones in a document the first."""
+    good = images.where(tx.image_verdict(F.col("length"), F.col("width"), F.col("height")).isNull()).where(F.col("page_area").isNull() | (F.col("width") * F.col("height") <= max_share * F.col("page_area")))
+    first = Window.partitionBy("doc_id", "hash").orderBy("page", "seq")
+    return good.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+
+
+def files_by_title(papers: DataFrame, files: DataFrame, kind: str = "pdf") -> DataFrame:
+    """``id, path`` of papers (id, title) for which a file of a listing (path, source) has one of the title's longer words in
+    its name: the file with most of them, then the first.  Words meet names by an equi-join on words, never all pairs."""
+    terms = papers.select("id", F.explode(tx.file_search_terms(F.col("title"))).alias("term"))
+    names = files.where(F.col("source") == kind).select("path", F.explode(F.array_distinct(F.split(tx.normalised(F.regexp_replace(stem(F.col("path")), "[_.-]+", " ")), " "))).alias("term"))
+    hits = terms.join(names, "term").groupBy("id", "path").agg(F.count(F.lit(1)).alias("n"))
+    return hits.groupBy("id").agg(F.min_by("path", F.struct((-F.col("n")).alias("k"), "path")).alias("path"))

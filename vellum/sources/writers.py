@@ -70,14 +70,14 @@ def summaries(papers: DataFrame, sections: DataFrame, abstracts: DataFrame) -> D
 
 
 def markdown(papers: DataFrame, sections: DataFrame, abstracts: DataFrame) -> DataFrame:
-    """``name, value``: each paper as a Markdown document and its file name."""
+    """``name, value``: each paper as a Markdown document and its file name, which has the id too, as titles repeat."""
     rows = _sections_of(papers, sections, "section_type", "content").join(abstracts, "id", "left")
     parts = [
         _line("# ", F.coalesce("title", F.lit("")), "\n\n"), _line("**Authors**: ", F.array_join("authors", ", "), "\n\n"), _line("**Date**: ", F.col("published_date"), "\n\n"), _line("**Venue**: ", F.col("venue"), "\n\n"),
         _line("**DOI**: ", F.col("doi"), "\n\n"), _line("## Abstract\n\n", F.col("abstract"), "\n\n"), _line("**Keywords**: ", _joined("keywords"), "\n\n"), _line("**URLs**: ", _joined("urls"), "\n\n"),
         F.array_join(F.transform(F.filter("sections", lambda s: s["content"] != ""), lambda s: F.concat(F.lit("## "), s["section_type"], F.lit("\n\n"), s["content"], F.lit("\n\n"))), ""),
     ]
-    return rows.select(F.concat(tx.safe_file_name(F.coalesce("title", "id")), F.lit(".md")).alias("name"), F.concat_ws("", *parts).alias("value"))
+    return rows.select(F.concat(tx.safe_file_name(F.coalesce("title", "id")), F.lit("_"), tx.safe_file_name(F.col("id")), F.lit(".md")).alias("name"), F.concat_ws("", *parts).alias("value"))
 
 
 def yaml_header(title: Column, authors: Column, doi: Column) -> Column:
@@ -87,8 +87,29 @@ def yaml_header(title: Column, authors: Column, doi: Column) -> Column:
 
 
 def write_markdown(documents: DataFrame, folder: str) -> None:
-    """A folder per document name, written by Spark, so any file system will do."""
-    documents.withColumn("document", F.col("name")).select("document", "value").write.mode("overwrite").partitionBy("document").text(folder)
+    """A JSON line of name and value per document; ``unpack_markdown`` makes files of them."""
+    documents.select("name", "value").write.mode("overwrite").json(folder)
+
+
+def unpack_markdown(spark, packed: str, folder: str) -> int:
+    """A file for each document of a written export, made by the executors in a folder that all of them see; their number.
+    A file is written under a hidden name and renamed, so a task that is run again leaves whole files."""
+
+    def write(rows):
+        import os
+        import uuid
+
+        n = 0
+        os.makedirs(folder, exist_ok=True)
+        for r in rows:
+            hidden = os.path.join(folder, f".{uuid.uuid4().hex}")
+            with open(hidden, "w", encoding="utf-8") as out:
+                out.write(r["value"])
+            os.replace(hidden, os.path.join(folder, r["name"]))
+            n += 1
+        yield n
+
+    return sum(spark.read.schema("name string, value string").json(packed).rdd.mapPartitions(write).collect())
 
 
 def export_counts(papers: DataFrame, sections: DataFrame) -> DataFrame:

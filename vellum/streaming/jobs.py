@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from vellum.operators import tables, vector
+from vellum.operators import sync, tables, vector
 
 BATCH_TEXTS, FLUSH = 40, "200 milliseconds"
 MAX_RETRIES, RETRY_AFTER_MS = 3, 10_000
 MAX_FAILURES = 5
+CONCURRENCY = 3
 
 
 def embed_stream(texts: DataFrame, folder: str, checkpoint: str, embed=vector.embed_words, dimension: int = 64, available_now: bool = False) -> StreamingQuery:
@@ -31,17 +32,44 @@ def embed_stream(texts: DataFrame, folder: str, checkpoint: str, embed=vector.em
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=FLUSH)).start()
 
 
-def sync_stream(items: DataFrame, library: tables.Library, table: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """Changed items upserted by key; of an item that changed twice in a batch the newest version counts."""
+def reconciled(library: tables.Library, listing: DataFrame, complete: bool) -> int:
+    """Deletes papers that came from a remote library and that its listing (key, version) no longer has, with all that
+    belongs to them; an incomplete listing deletes nothing.  The number of papers deleted."""
+    local = library.table("papers").where("source is not null").select("id", F.col("source").alias("key"), F.lit(0).cast("long").alias("version"))
+    gone = sync.sync_plan(listing, local, complete).where("action = 'remove'").join(local.select("key", "id"), "key").select("id")
+    n = gone.count()
+    if n:
+        library.delete_papers(gone)
+    return n
+
+
+def sync_stream(items: DataFrame, library: tables.Library, table: str, checkpoint: str, available_now: bool = False, listing: Callable[[], tuple[DataFrame, bool]] | None = None) -> StreamingQuery:
+    """Changed items upserted by key; of an item that changed twice in a batch the newest version counts.  After each batch
+    what the remote listing (its rows, and whether it is complete) no longer has is deleted."""
 
     def write(batch: DataFrame, epoch: int) -> None:
         newest = batch.groupBy("id").agg(F.max_by(F.struct(*batch.columns), "version").alias("r")).select("r.*")
         library.upsert(table, newest.drop("version"))
+        if listing is not None:
+            reconciled(library, *listing())
 
     writer = items.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def requeued(jobs: DataFrame) -> DataFrame:
+    """Jobs (paper_id, state, at) as a restart finds them: what was running is queued again, in its old place."""
+    return jobs.withColumn("state", F.when(F.col("state") == "running", "queued").otherwise(F.col("state")))
+
+
+def to_start(jobs: DataFrame, concurrency: int = CONCURRENCY, paused: bool = False) -> DataFrame:
+    """``paper_id`` of the queued jobs that may start now: the oldest, up to ``concurrency`` with those that run; none while
+    the queue is paused."""
+    running = jobs.where("state = 'running'").limit(concurrency).count()
+    free = 0 if paused else max(0, concurrency - running)
+    return jobs.where("state = 'queued'").orderBy("at", "paper_id").limit(free).select("paper_id")
+
+
 JOB_STATE = "attempts int, in_flight boolean"
 JOB_OUT = "paper_id string, action string, attempts int"
 
@@ -103,19 +131,24 @@ class Breaker:
         return self.failures < self.limit
 
 
-def limited(call: Callable, per_minute: int, clock: Callable[[], float], sleep: Callable[[float], None]) -> Callable:
-    """A callable that keeps to a rate over any 60 seconds; for use inside one partition's function."""
+def limited(call: Callable, per_minute: int, clock: Callable[[], float], sleep: Callable[[float], None], tokens_per_minute: int | None = None, cost: Callable[..., int] = lambda *args: 1) -> Callable:
+    """A callable that keeps to a rate of calls, and of tokens if given, over any 60 seconds; for use inside one partition's
+    function, where one call runs at a time.  A call that costs more than a minute's tokens waits for an empty minute."""
     from collections import deque
 
-    seen: deque[float] = deque()
+    seen: deque[tuple[float, int]] = deque()
 
     def run(*args):
-        while seen and clock() - seen[0] >= 60:
-            seen.popleft()
-        if len(seen) >= per_minute:
-            sleep(60 - (clock() - seen[0]))
+        n = cost(*args) if tokens_per_minute else 0
+        while True:
+            while seen and clock() - seen[0][0] >= 60:
+                seen.popleft()
+            spent = sum(k for _, k in seen)
+            if len(seen) < per_minute and (not tokens_per_minute or not seen or spent + n <= tokens_per_minute):
+                break
+            sleep(60 - (clock() - seen[0][0]))
             seen.popleft()
-        seen.append(clock())
+        seen.append((clock(), n))
         return call(*args)
 
     return run
