@@ -1,7 +1,7 @@
 """Secrets, media, token counts, language ID and the pipeline, against brute force, round trips and held-out rows."""
 
 import hashlib
-import json
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -50,18 +50,63 @@ def test_guess_costs_order_values():
         assert [a for _, a, _ in parts] == [0, *(b for _, _, b in parts)][:-1] and (not parts or parts[-1][2] == len(v))
 
 
+def least_cost(v, words):
+    """The least cost over all segmentations, each edge tried by its definition."""
+    low, best = v.lower(), [0.0]
+    for e in range(1, len(v) + 1):
+        found = [best[e - 1] + secrets._single(low[e - 1])]
+        for s in range(e):
+            x, n = low[s:e], e - s
+            for p in range(1, 5):
+                if n >= (3 if p == 1 else 2 * p) and all(x[k] == x[k - p] for k in range(p, n)):
+                    found.append(best[s] + sum(map(secrets._single, x[:p])) + math.log10(n / p))
+            if n >= 3 and all(pair in secrets.NEXT for pair in pairwise(x)):
+                found.append(best[s] + math.log10(74 * n))
+            if secrets.DATE.fullmatch(x):
+                found.append(best[s] + (secrets.YEARS if re.fullmatch("(19|20)[0-9]{2}", x) else secrets.DAYS))
+            for form, more in ((x, 0.0), (x.translate(secrets.UNLEET), 0.6)):
+                for known in (secrets.ranks(), words):
+                    if form in known and n <= secrets.LONGEST:
+                        up = sum(c.isupper() for c in v[s:e])
+                        case = 0 if not up else 0.3 if up == n or up == 1 and v[s].isupper() else math.log10(math.comb(n, up) + 1)
+                        found.append(best[s] + known[form] + case + more)
+        best.append(min(found))
+    return best[-1]
+
+
 def test_guess_cost_is_the_least_over_all_segmentations():
-    def least(v):
-        words = min((secrets.RANK[v]) for _ in (0,)) if v in secrets.RANK else None
-        options = [words] if words is not None else []
-        if len(v) == 1:
-            options.append(secrets._single(v))
-        for k in range(1, len(v)):
-            options.append(least(v[:k]) + least(v[k:]))
-        return min(options)
+    import random
+
+    r = random.Random(8)
+    parts = ["password", "dddd", "monkey", "yyyy", "2001011", "2001-01-01", "1111", "qwert", "poiuy", "abcabcabc", "xyxy", "12121212", "Dragon", "p4ssw0rd", "x", "#", "9", "é", "zorblax", "www", "222222", "19", "asdfdsa", "ZZz"]
+    values = ["passwordddd", "monkeyyyy", "2001011x", "", *("".join(r.choice(parts) for _ in range(r.randrange(1, 6))) for _ in range(150)), *("".join(r.choice("ab12qw") for _ in range(r.randrange(1, 25))) for _ in range(150))]
+    words = {"zorblax": 1.5, "xyx": 0.7, "yyy": 0.2}
+    for v in values:
+        assert abs(secrets.guess_cost(v, words)[0] - least_cost(v, words)) < 1e-9, v
+    assert abs(secrets.guess_cost("passwordddd")[0] - 2.193) < 0.01
+
+
+def test_prose_after_a_credential_word_is_no_secret():
+    for text in ("token -> documentation", 'pwd: "please remember to change it"', "the secret is elephant", "password: letmein2001", "bearer of the documentation"):
+        assert [k for k, *_ in secrets.find_spans(text) if k == "guess"] == [], text
+    assert [k for k, *_ in secrets.find_spans("the secret is vornalixup mebrotasqi")] == ["guess"]
+    assert secrets.find_spans("the secret is vornalixup mebrotasqi", words={"vornalixup": 3.0}) == []
+
+
+def test_corpus_words_are_counted_over_documents(spark):
+    rows = [(f"Alpha, beta gamma{k} alpha alpha qRtZm abc1 {'delta' if k < 6 else 'rare'}",) for k in range(9)] + [(None,), ("",)]
+    got = secrets.corpus_words(spark.createDataFrame(rows, "text string"))
+    assert list(got) == ["alpha", "beta", "delta"] and got["alpha"] < got["beta"] < got["delta"]
+    # words of one count enter together or not at all
+    assert list(secrets.corpus_words(spark.createDataFrame(rows, "text string"), words=2)) == ["alpha", "beta"]
+    assert list(secrets.corpus_words(spark.createDataFrame(rows, "text string"), words=1)) == []
+    assert 10 ** got["delta"] == pytest.approx(4)
+    assert secrets.corpus_words(spark.createDataFrame([], "text string")) == {}
+
 
-    for v in ("fox", "catstar", "xmoony", "thesun"):
-        assert abs(secrets.guess_cost(v)[0] - least(v)) < 1e-9
+@pytest.mark.parametrize("before, value, after", [("password:      ", "q8$Zk!vT2#mWx9@Lr", ""), ("password: ", "q8,Zk!vT2#mWx9@Lr", ", and"), ("passwd = ", "x(7Kq)9!vT&2mW", "."), ("Authorization: Bearer ", "q8$Zk!vT2#mWx9@Lr", "\n"), ("password: token: ", "q8$Zk!vT2#mWx9@Lr", " x")])
+def test_every_value_after_a_credential_word_is_scored(before, value, after):
+    assert [(k, a, b) for k, a, b, _ in secrets.find_spans(before + value + after)] == [("guess", len(before), len(before + value))]
 
 
 def test_redaction_leaves_no_secret(docs, spark):
@@ -162,6 +207,45 @@ def test_evidence_is_fused(spark):
     assert langid.identify_pages(df.where("page_id < 0"), model).count() == 0
 
 
+def test_posteriors_match_brute_force(spark):
+    model = langid.train(spark.read.parquet(f"{DATA}/documents.parquet"))
+    langs, n = model.langs, len(model.langs)
+    pages = spark.read.parquet(f"{DATA}/pages.parquet").limit(120).collect()
+    rows = [(k, f"http://h{k % 7}.{('com', 'fr', 'de')[k % 3]}/x" if k % 11 else None, r.html if k % 13 else None) for k, r in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    host = langid.host_of(F.col("url"))
+    facts = df.select("page_id", host.alias("h"), langid.suffix_of(host).alias("s"), langid.declared_in(F.col("html")).alias("d"), "html")
+    facts = {r.page_id: r for r in langid.likelihoods(facts, model, "html", markup=True).collect()}
+    guess = {i: max(range(n), key=lambda k: (r["__ll"][k], -k)) for i, r in facts.items() if r["__ll"]}
+    count = lambda ids: [sum(guess[i] == k for i in ids) for k in range(n)]
+    every = count(guess)
+    base = [(x + langid.ALL_ROWS / n) / (sum(every) + langid.ALL_ROWS) for x in every]
+    for r in langid.identify_pages(df, model).collect():
+        i, f = r.page_id, facts[r.page_id]
+        if i not in guess:
+            assert (r.lang, r.posterior, r.accepted) == ("und", 0.0, False)
+            continue
+        up, own = base, [0] * n
+        if f.h:
+            of_suffix = count([j for j in guess if facts[j].s == f.s])
+            up = [(x + langid.SUFFIX_ROWS * p) / (sum(of_suffix) + langid.SUFFIX_ROWS) for x, p in zip(of_suffix, base, strict=True)]
+            own = count([j for j in guess if facts[j].h == f.h and j != i])
+        score = [ll + math.log((x + langid.HOST_ROWS * p) / (sum(own) + langid.HOST_ROWS)) for ll, x, p in zip(f["__ll"], own, up, strict=True)]
+        if f.d in langs[:-1]:
+            score = [x + math.log(langid.DECLARED_RIGHT if lang == f.d else (1 - langid.DECLARED_RIGHT) / (n - 1)) for x, lang in zip(score, langs, strict=True)]
+        best = max(range(n), key=lambda k: (score[k], -k))
+        share = 1 / sum(math.exp(x - score[best]) for x in score)
+        assert (r.lang, r.text_lang) == (langs[best], langs[guess[i]]) and abs(r.posterior - share) < 1e-5
+        assert r.accepted == (langs[best] != "und" and share >= langid.MIN_POSTERIOR)
+
+
+def test_the_training_sample_is_bounded_and_takes_equal_rows_once(spark):
+    rows = [(1, "the of and " * 20, "en")] * 500 + [(2, "le de la " * 20, "fr"), (3, "x" * (langid.SAMPLE_TEXT + 1), "xx"), (4, None, "en"), (5, "text", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.train(df).langs == ("en", "fr", "und") and len(langid.train(df, rows=1).langs) == 2
+    assert langid.train(df.limit(0)).langs == ("und",)
+
+
 def test_pages_agree_with_their_declarations(spark):
     model = langid.train(spark.read.parquet(f"{DATA}/documents.parquet"))
     rows = langid.identify_pages(spark.read.parquet(f"{DATA}/pages.parquet"), model).collect()
@@ -210,3 +294,30 @@ def test_stages_take_awkward_tables(spark):
                 assert out.columns == df.columns and all(r[c] == "clash" for r in out.collect() for c in named)
             if name == "near_duplicates" and df.columns[-1] == "taken":
                 assert n == 5 and sorted(r.doc_id or 0 for r in out.collect()) == [0, 1, 2, 3, 4]
+
+
+def test_stages_lose_no_text_to_shared_or_missing_ids(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    stages = dict(corpus_pipeline.STAGES)
+    schema = spark.read.parquet(f"{DATA}/documents.parquet").schema
+    texts = [" ".join(f"{c}{k}" for k in range(20)) for c in "abcde"]
+    ids = [None, None, 5, 5, 6]
+    df = spark.createDataFrame([(i, t, "en", f"s{k % 2}", len(t)) for k, (i, t) in enumerate(zip(ids, texts, strict=True))], schema)
+    left = stages["near_duplicates"](spark, df, "").collect()
+    assert Counter((r.doc_id, r.text) for r in left) == Counter(zip(ids, texts, strict=True))
+    # two sources of 60 and 40 words share 150 words as 3 to 1: 110 and 40
+    taken = stages["source_weights"](spark, df, "").collect()
+    words = Counter()
+    for r in taken:
+        assert any(t == r.text or t.startswith(r.text + " ") for t in texts) and r.n_chars == len(r.text)
+        words[r.source] += len(r.text.split())
+    assert words == Counter({"s0": 113, "s1": 37}) or abs(words["s0"] - 112.5) <= 1 and abs(words["s1"] - 37.5) <= 1
+
+
+def test_a_part_of_a_document_keeps_its_white_space(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    schema = spark.read.parquet(f"{DATA}/documents.parquet").schema
+    text = "\n one\ttwo\n\nthree  four\x0bfive six "
+    df = spark.createDataFrame([(1, text, "en", "a", len(text))], schema)
+    got = sorted(r.text for r in dict(corpus_pipeline.STAGES)["source_weights"](spark, df, "").collect())
+    assert got == sorted([text, "\n one\ttwo\n\nthree"])
