@@ -334,3 +334,12 @@ def test_paths_and_replies(spark):
     assert [tuple(r) for r in got] == [("/r/a/b", "/x y", ["study", "rice", "genomes"]), (None, "/a b", [])]
     raw = spark.createDataFrame([(libraries.reply_of(md_content="# x", images={"a": "b"}),), (libraries.reply_of(data={"markdown": "y"}),)], "raw string")
     assert [r[0].markdown for r in raw.select(libraries.conversion_reply(F.col("raw"))).collect()] == ["# x", "y"]
+
+
+def test_scan_is_bm25_without_an_index(spark):
+    p = papers(spark)
+    for text in ("zebrafish glycosylation", "Pathways", "zebrafish glycosylation pathways crispr rice genome editing study", "nothing", "the"):
+        for fields in (["title"], ["title", "keywords"]):
+            want = fulltext.bm25(fulltext.build(p, fields), sanitise(text)) if sanitise(text).terms else None
+            got = {r.doc_id: round(r.score, 9) for r in fulltext.scan(p, fields, text).collect()}
+            assert got == ({} if want is None else {r.doc_id: round(r.score, 9) for r in want.collect()}), (text, fields)

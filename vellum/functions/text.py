@@ -29,10 +29,13 @@ def _lit(x):
     return x if isinstance(x, Column) else F.lit(x)
 
 
+#: The characters of SPACE.
+_SPACES = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def squeezed(text: Column) -> Column:
     """Without white space at its ends."""
-    # possessive, and from the start of a run alone, so that runs inside the text are passed over once
-    return F.regexp_replace(text, rf"^{SPACE}++|(?<!{SPACE}){SPACE}++$", "")
+    return F.btrim(text, F.lit(_SPACES))
 
 
 def whitespace_words(text: Column) -> Column:
@@ -40,8 +43,17 @@ def whitespace_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(SPACE.replace("[", "[^", 1) + "+"))
 
 
+def _ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.char_length(text)
+
+
 def cjk_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(CJK))
+    return F.when(_ascii(text), 0).otherwise(F.regexp_count(text, F.lit(CJK)))
+
+
+def alphanumerics(text: Column) -> Column:
+    """Letters, digits and CJK characters."""
+    return F.when(_ascii(text), F.regexp_count(text, F.lit("[0-9A-Za-z]"))).otherwise(F.regexp_count(text, F.lit(r"[\p{L}\p{N}" + CJK[1:])))
 
 
 def truncated(text: Column, n: int) -> Column:
@@ -86,14 +98,14 @@ def without_watermarks(text: Column) -> Column:
     return F.when(text.rlike(WATERMARK_LINE) | text.rlike(WATERMARK_INLINE), t).otherwise(text)
 
 
-def quality(text: Column, min_bytes: int = 50, min_words: int = 10, min_lines: int = 2, min_alnum: float = 0.40, reject: int = 30, warn: int = 70) -> dict[str, Column]:
-    """``score, issues, action`` of an extracted text; its length is measured in bytes.
+def quality_rows(text: Column, min_bytes: int = 50, min_words: int = 10, min_lines: int = 2, min_alnum: float = 0.40, reject: int = 30, warn: int = 70) -> Column:
+    """An array of one (score, issues, action) of an extracted text, for ``inline``; its length is measured in bytes.
 
     The text is trimmed and counted once: a lambda over an array of one element binds what an expression would repeat
     wherever it is named."""
     def measured(t: Column) -> Column:
         lines = F.when(t == "", 0).otherwise(F.size(F.split(F.regexp_replace(t, "\n$", ""), "\n")))
-        alnum = F.regexp_count(t, F.lit(r"[\p{L}\p{N}]|" + CJK))
+        alnum = alphanumerics(t)
         # fixed values: the issues and the points that each costs
         return F.filter(
             F.array(
@@ -110,7 +122,12 @@ def quality(text: Column, min_bytes: int = 50, min_words: int = 10, min_lines: i
         action = F.when(score < reject, "reject").when(score < warn, "index_with_warning").otherwise("index")
         return F.struct(score.alias("score"), F.transform(found, lambda x: x["issue"]).alias("issues"), action.alias("action"))
 
-    once = F.transform(F.transform(F.transform(F.array(text), squeezed), measured), verdict)
+    return F.transform(F.transform(F.transform(F.array(text), squeezed), measured), verdict)
+
+
+def quality(text: Column, **limits) -> dict[str, Column]:
+    """``score, issues, action`` as columns; who takes several takes ``quality_rows`` inline, which measures a text once."""
+    once = quality_rows(text, **limits)
     return {k: once[0][k] for k in ("score", "issues", "action")}
 
 
@@ -163,7 +180,7 @@ def containment(needle: Column, hay: Column, n: int = 4) -> Column:
 def plausible_title(title: Column, least: int = 5) -> Column:
     """Long enough, with at least two letters or digits that make up a tenth of it."""
     t = F.trim(title)
-    meaningful = F.regexp_count(t, F.lit(r"[\p{L}\p{N}]|" + CJK))
+    meaningful = alphanumerics(t)
     return (F.char_length(t) >= least) & (meaningful >= 2) & (meaningful * 10 >= F.char_length(t))
 
 

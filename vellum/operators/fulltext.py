@@ -71,6 +71,30 @@ def bm25(index: Index, query: TextQuery | list[str], fields: list[str] | None =
     return (out.where(F.col("matched") == len(terms)) if query.every else out).drop("matched")
 
 
+def scan(df: DataFrame, fields: list[str], text: str, id_col: str = "id") -> DataFrame:
+    """``doc_id, score`` of every match, as ``bm25`` over an index of df, for a table that has none: texts are tokenised and
+    the query's terms counted in place, and a row per field joins them; nothing is exploded by term or shuffled."""
+    query, kinds = sanitise(text), dict(df.dtypes)
+    terms = sorted({t for w in query.terms for t in index_terms(w)})
+    if not terms:
+        return df.select(F.col(id_col).alias("doc_id"), F.lit(0.0).alias("score")).where(F.lit(False))
+    words = lambda c: terms_of(F.array_join(c, " ") if kinds[c].startswith("array") else F.col(c))
+    is_ = lambda t: lambda w: w == t
+    # a lambda over one element binds the words, which an expression would compute for each term
+    counted = lambda c: F.transform(F.array(words(c)), lambda ws: F.struct(F.lit(c).alias("field"), F.size(ws).alias("len"), F.array(*(F.size(F.filter(ws, is_(t))) for t in terms)).alias("tf")))[0]
+    each = df.select(F.col(id_col).alias("doc_id"), F.explode(F.array(*(counted(c) for c in fields))).alias("f")).select("doc_id", "f.*").where("len > 0")
+    held = F.array(*(F.sum((F.col("tf")[k] > 0).cast("long")) for k in range(len(terms))))
+    corpus = each.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"), held.alias("df"))
+    found = each.where(F.exists("tf", lambda x: x > 0)).join(F.broadcast(corpus), "field")
+    parts = [
+        F.when(F.col("tf")[k] > 0, F.log(1 + (F.col("n_docs") - F.col("df")[k] + 0.5) / (F.col("df")[k] + 0.5)) * F.col("tf")[k] * (K1 + 1) / (F.col("tf")[k] + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))).otherwise(0.0)
+        for k in range(len(terms))
+    ]
+    matched = F.size(F.filter(F.array(*(F.max(F.col("tf")[k]) for k in range(len(terms)))), lambda x: x > 0))
+    out = found.groupBy("doc_id").agg(F.sum(reduce(lambda a, b: a + b, parts)).alias("score"), matched.alias("matched"))
+    return (out.where(F.col("matched") == len(terms)) if query.every else out).drop("matched")
+
+
 def search(index: Index, text: str, k: int, fields: list[str] | None = None, within: DataFrame | None = None) -> DataFrame:
     """The k best documents for a search text, of those in ``within`` (doc_id) if given."""
     query = sanitise(text)

@@ -321,7 +321,7 @@ def _index(spark, d):
 
 @query("", f"WITH {_BM25.replace('WANTED', _TEXT_WORDS)} SELECT doc_id, round(score, 6) AS score FROM bm25")
 def bm25_documents(spark, d):
-    return fulltext.bm25(_index(spark, d), qy.sanitise(_TEXT_QUERY)).withColumn("score", F.round("score", 6))
+    return fulltext.scan(lib.read(spark, d, "documents"), ["text"], _TEXT_QUERY, "doc_id").withColumn("score", F.round("score", 6))
 
 
 @query("", f"WITH {_BM25.replace('WANTED', _TEXT_WORDS)} SELECT doc_id, round(score, 6) AS score FROM bm25 ORDER BY round(score, 9) DESC, doc_id LIMIT 25")
@@ -454,8 +454,7 @@ _QUALITY = r"""(SELECT doc_id, t, 100 - CASE WHEN strlen(t) < 50 THEN 30 ELSE 0
 
 @query("", f"SELECT doc_id, CAST(greatest(score, 0) AS INTEGER) AS score, CASE WHEN score < 30 THEN 'reject' WHEN score < 70 THEN 'index_with_warning' ELSE 'index' END AS action FROM {_QUALITY}")
 def quality_score(spark, d):
-    q = tx.quality(F.col("text"))
-    return lib.read(spark, d, "documents").select("doc_id", q["score"].alias("score"), q["action"].alias("action"))
+    return lib.read(spark, d, "documents").select("doc_id", F.inline(tx.quality_rows(F.col("text")))).select("doc_id", "score", "action")
 
 
 @query("", r"SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(text, '[\t ]+', ' ', 'g'), '\n{4,}', chr(10) || chr(10) || chr(10), 'g'), ' ' || chr(10))) AS digest FROM documents")
