@@ -84,6 +84,13 @@ def discard(*tables: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
+def moved(table: DataFrame, view: DataFrame) -> DataFrame:
+    """A view of a staged table that stands for it from now on."""
+    if path := _places.pop(table, None):
+        _places[view] = path
+    return view
+
+
 @contextmanager
 def recorded() -> Iterator[list[tuple[SparkSession, str]]]:
     """The tables that are staged inside, for ``release`` once what reads them is written."""

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm._support import by_bytes, discard, encoded, id_order, map_arrow, mix, span_hashes, staged, words
+from vellum.llm._support import by_bytes, discard, encoded, id_order, map_arrow, mix, moved, span_hashes, staged, words
 
 ROWS, BANDS = 7, 64
 #: Bits of a sketch, and how many may differ; at similarity 0.8 a tenth does on average, with a deviation of 6.4.
@@ -152,7 +152,7 @@ def _met(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, perce
     dealt = found.select("cid", F.explode("es").alias("e"), "set").select("cid", "e.*", "set")
 
     def check(batches):
-        centre, key = None, None
+        centre, key, last = None, None, None
         for batch in batches:
             ids, bs, salts, flags, blobs = (batch.column(i).to_pylist() for i in range(5))
             out = []
@@ -160,42 +160,45 @@ def _met(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, perce
                 x = np.frombuffer(blob, np.uint64)
                 if flag:
                     centre, key = x, (b, salt)
-                elif key == (b, salt):
+                elif key == (b, salt) and last != (i, key):
+                    # a class that several tasks sent stands in a row
+                    last = (i, key)
                     d = np.setxor1d(x, centre, assume_unique=True)
                     union = (len(x) + len(centre) + len(d)) // 2
                     out.append((i, b, 100 * (union - len(d)) >= percent * union, len(x), len(centre), d.view(np.int64) if differ else None))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())))], names=["a", "b", "linked", "na", "nb", "d"])
 
-    dealt = dealt.select("cid", "b", "salt", "centre", "set").repartition("b", "salt").sortWithinPartitions("b", "salt", F.desc("centre"))
-    out = staged(map_arrow(dealt, check, "a long, b long, linked boolean, na long, nb long, d array<long>").dropDuplicates(["a", "b"]), "near-met")
+    dealt = dealt.select("cid", "b", "salt", "centre", "set").repartition("b", "salt").sortWithinPartitions("b", "salt", F.desc("centre"), "cid")
+    out = staged(map_arrow(dealt, check, "a long, b long, linked boolean, na long, nb long, d array<long>"), "near-met")
     discard(centres, wanted)
     return out
 
 
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
-    """``node, root`` of every node of the edges (a, b): root is the least node reachable."""
+    """``node, root`` of every node of the edges (a, b) that is not the least one reachable, which is its root."""
     e = staged(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
     while True:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = staged(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}-least")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct()
         large = staged(large, f"{name}-large")
-        discard(least, e)
-        low = staged(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-low")
+        discard(e)
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct()
         e = staged(small, f"{name}-small")
-        discard(large, low)
-        # a forest of stars: no node is both a centre and a leaf, and every leaf has one centre
-        if e.groupBy("u").count().where("count > 1").isEmpty() and e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).transform(lambda x: staged(x, f"{name}-roots"))
+        discard(large)
+        # until it is a forest of stars: no node is both a centre and a leaf, and every leaf has one centre
+        several = e.groupBy("u").count().where("count > 1").select("u")
+        if several.unionByName(e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").select("u")).isEmpty():
+            return moved(e, e.select(F.col("u").alias("node"), F.col("v").alias("root")))
 
 
 def _rooted(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose classes lie in different components."""
+    """The pairs (a, b) whose classes lie in different components, with the roots ra and rb."""
     for side in ("a", "b"):
         pairs = pairs.join(found.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side, "left")
-    return pairs.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    return pairs.select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")).where("ra <> rb")
 
 
 def _alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -252,24 +255,26 @@ def linked(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFra
     stars = staged(_alike(members.where("cid <> centre").select(F.col("cid").alias("a"), F.col("centre").alias("b")).distinct(), slim, percent), "near-stars")
     popular = stars.groupBy("b").agg(F.count(F.lit(1)).alias("c"))
     first = staged(stars.join(popular, "b").groupBy("a").agg(F.max_by("b", F.struct(F.col("c"), -F.col("b"))).alias("b")), "near-first")
-    met = _met(docs, slim, first, size, percent)
-    links = staged(met.where("linked").select("a", "b"), "near-links")
-    found = components(links)
-    discard(met)
-
-    def confirm(pairs: DataFrame) -> None:
-        nonlocal links, found
-        met = _met(docs, slim, pairs, size, percent)
-        join(met.where("linked").select("a", "b"))
-        discard(met)
+    links = found = None
 
     def join(more: DataFrame) -> None:
+        """More links: what they connect are the components so far."""
         nonlocal links, found
-        before = links, found
-        links = staged(links.unionByName(more), "near-links")
-        found = components(links)
-        discard(*before)
+        if found is None:
+            links, found = more, components(more)
+            return
+        links = links.unionByName(more)
+        over = components(_rooted(more, found).select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+        up = over.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        before, found = found, staged(found.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root")).unionByName(over), "near-found")
+        discard(before, over)
+
+    def confirm(pairs: DataFrame) -> None:
+        met = _met(docs, slim, pairs.select("a", "b"), size, percent)
+        join(staged(met.where("linked").select("a", "b"), "near-links"))
+        discard(met)
 
+    confirm(first)
     rest = staged(_rooted(stars.join(first, ["a", "b"], "left_anti"), found), "near-rest")
     if not rest.isEmpty():
         confirm(rest)
@@ -295,7 +300,7 @@ def linked(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFra
     if not against.isEmpty():
         met = _met(docs, slim, against, size, percent, differ=True)
         candidates = cold.unionByName(_by_difference(met, percent)).distinct()
-        join(met.where("linked").select("a", "b"))
+        join(staged(met.where("linked").select("a", "b"), "near-links"))
         discard(met)
     tried = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     rest = staged(_rooted(_alike(candidates.join(tried, ["a", "b"], "left_anti"), slim, percent), found), "near-rest")
@@ -306,7 +311,7 @@ def linked(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFra
     rooted = staged(fps.join(found.withColumnRenamed("node", "cid"), "cid", "left").select("fp", F.coalesce("root", "cid").alias("root"), "o", "h"), "near-rooted")
     firsts = rooted.groupBy("root").agg(F.min(F.struct("o", "h")).alias("f"))
     out = staged(rooted.join(firsts, "root").select("fp", "root", F.col("f.o").alias("first_o"), F.col("f.h").alias("first_h")), "near-of-class")
-    discard(classes, slim, links, found, rooted)
+    discard(classes, slim, found, rooted)
     return rows, out
 
 
