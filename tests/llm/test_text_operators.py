@@ -207,6 +207,20 @@ def test_evidence_is_fused(spark):
     assert langid.identify_pages(df.where("page_id < 0"), model).count() == 0
 
 
+def test_counts_do_not_depend_on_what_is_remembered(docs, monkeypatch):
+    want = sorted(unigram.token_counts(docs).collect())
+    monkeypatch.setattr(unigram, "REMEMBERED", 2)
+    assert sorted(unigram.token_counts(docs).collect()) == want
+
+
+def test_many_hosts_are_joined_by_a_shuffle(spark, monkeypatch):
+    model = langid.train(spark.read.parquet(f"{DATA}/documents.parquet"))
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    want = sorted(langid.identify_pages(pages, model).collect(), key=str)
+    monkeypatch.setattr(langid, "BROADCAST_HOSTS", 0)
+    assert sorted(langid.identify_pages(pages, model).collect(), key=str) == want
+
+
 def test_posteriors_match_brute_force(spark):
     model = langid.train(spark.read.parquet(f"{DATA}/documents.parquet"))
     langs, n = model.langs, len(model.langs)

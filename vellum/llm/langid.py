@@ -6,7 +6,9 @@ all its rows by grouped aggregation, smoothed by that of its address suffix, and
 a row's own count is taken out of its host's.  Text that no language explains better than chance is ``und``.
 
 Null and empty texts give no likelihood and are ``und``.  Null hosts, suffixes and declarations give no evidence.
-Repeated rows are counted as rows.  Texts are read whole.  Empty tables give empty results.
+Repeated rows are counted as rows, rows with null ids like others.  Of equal scores the language first in order is
+taken.  Texts are read whole, those of the training sample too.  Empty tables give empty results.  Columns of the input
+may have any name that does not begin with two underscores.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 from vellum.llm._support import by_bytes, encoded, map_arrow, staged
 
 UNKNOWN = "und"
-#: Labelled rows to train on: those with the least hash of their id.
-SAMPLE_ROWS = 2000
+#: Labelled rows to train on: those with the least hash of id and text, among texts of SAMPLE_TEXT bytes at most.
+SAMPLE_ROWS, SAMPLE_TEXT = 2000, 16 << 10
 BUCKETS = 1 << 15
 #: Share of trigrams that are chance in any text.
 CHANCE = 0.2
@@ -65,10 +67,20 @@ def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> Model:
-    """A model of the languages in a sample of at most ``rows`` labelled rows."""
-    labelled = df.where(F.col(lang_col).isNotNull() & (F.length(F.trim(text_col)) > 0))
-    ids = [r[0] for r in labelled.select(F.col(id_col), F.xxhash64(id_col).alias("h")).orderBy("h", id_col).limit(rows).collect()]
-    found = labelled.where(F.col(id_col).isin(ids)).select(F.col(lang_col), F.col(text_col)).collect() if ids else []
+    """A model of the languages in a sample of at most ``rows`` labelled rows, and so of ``rows`` * SAMPLE_TEXT bytes.
+    Equal rows are one."""
+    text = F.col(text_col)
+    labelled = df.where(F.col(lang_col).isNotNull() & (F.length(F.trim(text)) > 0) & (F.octet_length(text) <= SAMPLE_TEXT))
+    held = labelled.select(F.xxhash64(id_col, text_col).alias("h"), F.col(lang_col).alias("l"), text.alias("t"))
+    # hashes are uniform: those under a bound that leaves some multiple of the rows wanted; all, if equal rows leave too few
+    n, low = held.count(), -(1 << 63)
+    bound = min((1 << 63) - 1, low + int((1 << 64) * 16 * rows / max(1, n)))
+    for most in (bound, (1 << 63) - 1):
+        least = held.select("h").where(F.col("h") <= most).groupBy("h").agg(F.lit(1)).orderBy("h").limit(rows)
+        got, last = least.agg(F.count(F.lit(1)), F.max("h")).first()
+        if got == rows:
+            break
+    found = held.where(F.col("h") <= last).dropDuplicates(["h", "l"]).orderBy("h", "l").limit(rows).select("l", "t").collect() if last is not None else []
     langs = tuple(sorted({r[0] for r in found}))
     table = np.full((len(langs) + 1, BUCKETS), -np.log(BUCKETS), np.float32)
     for k, lang in enumerate(langs):
@@ -176,8 +188,10 @@ def identify_pages(pages: DataFrame, model: Model, id_col: str = "page_id", url_
     return fuse(scored, model).select(F.col("__id").alias(id_col), F.col("__host").alias("host"), F.col("__declared").alias("declared"), "__found.text_lang", "__found.lang", F.round("__found.posterior", 6).alias("posterior"), "__found.accepted")
 
 
-def filter_documents(docs: DataFrame, model: Model, text_col: str = "text", host_col: str = "source", declared_col: str = "lang") -> DataFrame:
-    """The rows of docs whose language is accepted, with the columns of docs; a source stands for a host, its label for
-    a declaration.  The texts are read twice and not shuffled."""
-    tagged = docs.withColumns({"__host": F.col(host_col), "__suffix": F.lit(None).cast("string"), "__declared": F.lower(F.col(declared_col))})
+def filter_documents(docs: DataFrame, model: Model, text_col: str = "text", host_col: str = "source", declared_col: str | None = None) -> DataFrame:
+    """The rows of docs whose language is accepted, with the columns of docs; a source stands for a host.  A label is
+    evidence only where ``declared_col`` names it: a model that was trained on the same labels must not meet them again.
+    The texts are read twice and not shuffled."""
+    declared = F.lower(F.col(declared_col)) if declared_col else F.lit(None).cast("string")
+    tagged = docs.withColumns({"__host": F.col(host_col), "__suffix": F.lit(None).cast("string"), "__declared": declared})
     return fuse(likelihoods(tagged, model, text_col), model).where("__found.accepted").select(*docs.columns)
