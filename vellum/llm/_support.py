@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step looks at; a longer document is a step of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Rows per Arrow batch handed to Python, so that a batch of long texts stays small.
 ARROW_ROWS = 1000
 #: Java and DuckDB pattern of a separator run.
@@ -109,7 +109,7 @@ def release(made: list[tuple[SparkSession, str]]) -> None:
 
 
 def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow with small batches."""
+    """mapInArrow with small batches.  Plans are lazy and read the size when they run, so it stays set on the session."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return df.mapInArrow(function, schema)
 

@@ -1,14 +1,15 @@
 """Shards by a k-d tree over metadata: nodes split at distributed weighted medians along their widest dimension.
 
-The points are groups of rows with equal texts (a group stays in one shard unless it weighs more than half of a
-shard, when it is cut by id into parts of at most a quarter).  A coordinate is a 63-bit integer: 31 bits of the
+The points are groups of rows with equal texts: a group stays in one shard, unless it weighs more than a shard, when no
+shard could hold it and it is cut by id into parts of about a quarter of one.  A coordinate is a 63-bit integer: 31 bits of the
 dimension's place between its least and largest value, then 32 bits of a hash, so that no two points tie.  A
 median is found for all nodes of a level at once: a histogram of 8192 bins per node, narrowed to the bin with
 the median until that bin weighs next to nothing.  Points heavier than 1/64 of their node are dealt to the
 lighter side first, and the cut among the others makes up the difference.
 
 Null texts are one group of size 1 a row; null dimension values lie at the low end, categories at a hashed place.
-Repeated rows are separate members of a group.  Empty tables give empty results.
+Repeated rows are separate members of a group; rows with null ids count as the largest id.  Texts are weighed whole, and
+one of over a shard's bytes is a shard's only large point.  Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -107,7 +108,7 @@ def kd_shards(df: DataFrame, leaves: int | None = None, target_bytes: int | None
         leaves = 1 << max(0, math.ceil(math.log2(max(1, (weight or 1) / (target_bytes or 256 << 20)))))
     depth = max(0, math.ceil(math.log2(leaves)))
     leaf = max(1.0, (weight or 1) / leaves)
-    # only groups of over half a leaf are cut: fewer than twice the leaves
+    # only groups of over a leaf are cut: fewer than the leaves
     large = rows.groupBy("__g").agg(F.sum("__z").alias("__w")).where(F.col("__w") > leaf).select("__g", F.ceil(F.col("__w") / (leaf / 4)).alias("__parts"))
     large = staged(large, "kd-large")
     rows = rows if large.isEmpty() else rows.join(F.broadcast(large) if leaves <= 1 << 14 else large, "__g", "left")

@@ -196,8 +196,10 @@ def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = df.sparkSession
     listed = staged(lists(df, id_col, text_col), "media-lists")
     name = save_store(df, text_col)
-    read = staged(read_back(listed.select("media", "chunks").dropDuplicates(["media"]), spark.table(name)), "media-read")
-    spark.sql(f"DROP TABLE {name}")
+    try:
+        read = staged(read_back(listed.select("media", "chunks").dropDuplicates(["media"]), spark.table(name)), "media-read")
+    finally:
+        spark.sql(f"DROP TABLE {name}")
     joined = listed.select("__id", "n_bytes", "media", F.size("chunks").alias("n_chunks")).join(read, "media")
     hexed = lambda c: F.lower(F.hex(c))
     return joined.select(F.col("__id").alias(id_col), "n_bytes", "payload_bytes", hexed("payload_sha256").alias("payload_sha256"), "tail_crc32", "media_bytes", hexed("media").alias("media_sha256"), "feature", "n_chunks")

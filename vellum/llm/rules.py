@@ -5,7 +5,7 @@ rule.  A policy is a version, the mask of the rules that reject under it; ``appl
 ``ablations`` work on the stored bits and never look at a text again.
 
 Null and empty texts have no words and fail ``few_words``.  Repeated rows are judged one by one; an
-empty table gives an empty ledger; columns of the input other than the id and the text are ignored
+empty table gives an empty ledger; texts are measured whole, however long; columns of the input other than the id and the text are ignored
 unless named in ``keep``.
 """
 
