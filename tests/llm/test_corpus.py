@@ -93,6 +93,13 @@ def test_mix_reaches_targets(docs):
     assert mixing.mix(empty(sized)).count() == 0
 
 
+def test_many_sources_are_joined_by_a_shuffle(docs, monkeypatch):
+    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    want = sorted(mixing.mix(sized).collect())
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(mixing.mix(sized).collect()) == want
+
+
 def test_mix_splits_a_large_source(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BUCKET_ROWS", 8)
     df = spark.range(1000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, F.lit("a")).otherwise(F.lit("b")).alias("source"), (F.col("id") % 11).alias("size"))
@@ -208,9 +215,13 @@ def brute_removed(ts, size):
         yield len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("chunk", [2000, 4 << 20])
-def test_repeats_match_brute_force(docs, monkeypatch, chunk):
+@pytest.mark.parametrize("chunk, hot, rows", [(2000, 2, 7), (2000, 100_000, 10_000), (4 << 20, 100_000, 10_000)])
+def test_repeats_match_brute_force(docs, monkeypatch, chunk, hot, rows):
     monkeypatch.setattr(substring, "LOCAL_BYTES", chunk)
+    monkeypatch.setattr(substring, "HOT_ROWS", hot)
+    inner = substring._met
+    # batches of a few rows, so that a half goes on from one to the next
+    monkeypatch.setattr(substring, "_met", lambda batches: inner(b.slice(k, rows) for b in batches for k in range(0, b.num_rows, rows)))
     rows = {r.doc_id: r for r in substring.remove_repeats(docs).collect()}
     for i, want in enumerate(brute_removed(texts(), 13)):
         assert (rows[i].n_words, rows[i].n_removed, rows[i].kept_sha256) == want, i
@@ -225,6 +236,18 @@ def test_windows_under_one_half_compare_by_64_bits(spark):
     assert [r.n_removed for r in substring.remove_repeats(df).collect()] == [0, 0]
 
 
+def test_a_phrase_of_many_documents_is_no_repeat(spark, monkeypatch):
+    monkeypatch.setattr(substring, "HOT_ROWS", 50)
+    r = random.Random(3)
+    phrase = " ".join(f"p{k}" for k in range(7))
+    ts = [" ".join([*(f"a{r.randrange(10**9)}" for _ in range(9)), phrase, *(f"b{r.randrange(10**9)}" for _ in range(9))]) for _ in range(3000)]
+    ts += [f"{ts[5]} end", f"begin {ts[5]}", None]
+    rows = [(None if k % 3 == 0 else k, t) for k, t in enumerate(ts)]
+    got = {r.doc_id: r.n_removed for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect() if r.doc_id}
+    # documents 5, 3000 (no id) and 3001 hold one text of 25 words
+    assert {k: n for k, n in got.items() if n} == {3001: 25}
+
+
 def test_repeat_lengths_double_until_none_survives(docs):
     got = {r.length: r.windows for r in substring.repeat_lengths(docs).collect()}
     length = 13
@@ -275,6 +298,26 @@ def test_pieces_are_the_tokenizers_ids(docs):
     assert packing.pack(packing.pieces(empty(docs))).count() == 0
 
 
+def test_ids_of_a_whole_table_are_the_tokenizers_ids(spark):
+    import zlib
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = table.collect()
+    want = {}
+    for r, e in zip(rows, t.encode_batch([r.text or "" for r in rows], add_special_tokens=False), strict=True):
+        ids, at = np.asarray([*e.ids, 2], "<u4"), 0
+        for piece in range(-(-len(ids) // 1024)):
+            n = (len(ids) - 1) % 1024 + 1 if piece == 0 else 1024
+            want[r.doc_id, piece] = (at, n, zlib.crc32(ids[at : at + n].tobytes()))
+            at += n
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in packing.pieces(table).collect()} == want
+
+
 def test_packing_exchanges_until_near_its_bound(spark):
     import numpy as np
 
@@ -314,7 +357,34 @@ def test_shards_have_near_equal_bytes(docs, spark):
     assert shard[0] == shard[1] and kdshard.kd_shards(empty(docs), leaves=4).count() == 0
 
 
+def test_slots_are_numbered_in_several_groups(docs, monkeypatch):
+    monkeypatch.setattr(kdshard, "SLOT_ROWS", 3)
+    slots = defaultdict(list)
+    for r in kdshard.kd_shards(docs, leaves=2).collect():
+        slots[r.shard].append(r.slot)
+    assert len(slots) == 2 and all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
 def test_a_hot_group_is_cut(spark):
     df = spark.range(400).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 200, F.lit("same text")).otherwise(F.concat(F.lit("text "), F.col("id").cast("string"))).alias("text"))
     load = Counter(r.shard for r in kdshard.kd_shards(df, leaves=8).collect())
     assert len(load) == 8 and max(load.values()) < 70
+
+
+def test_null_and_repeated_ids_and_long_texts_are_rows_like_others(spark):
+    r = random.Random(6)
+    say = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    ts = [say(20) for _ in range(8)] + [None, "", say(30_000)]
+    ids = [None, None, 1, 1, 2, 2, None, 3, None, 4, None]
+    ts[5] = ts[4]
+    df = spark.createDataFrame([(i, t, f"s{k % 2}", "en", len(t or ""), "clash") for k, (i, t) in enumerate(zip(ids, ts, strict=True))], "doc_id long, text string, source string, lang string, n_chars long, size string").repartition(3)
+    n = Counter((i, len(words(t))) for i, t in zip(ids, ts, strict=True))
+    assert Counter((x.doc_id, x.n_words) for x in rules.ledger(df).collect()) == n
+    mixed = mixing.mix(df.select("doc_id", "source", n_words(F.col("text")).alias("size"), "text"), draw=("text",)).collect()
+    assert Counter((x.doc_id, x.size) for x in mixed) == n and abs(sum(x.taken for x in mixed) - sum({x.source_size: x.target for x in mixed}.values())) <= 2
+    assert Counter((x.doc_id, x.n_words, x.n_removed) for x in substring.remove_repeats(df).collect()) == Counter((i, w, 0) for i, w in n.elements())
+    packed = packing.pack(packing.pieces(df)).collect()
+    assert Counter(x.doc_id for x in packed if x.piece == 0) == Counter(ids) and max(x.piece for x in packed) > 50
+    assert len({(x.sequence_id, x.offset) for x in packed}) == len(packed)
+    shards = kdshard.kd_shards(df, leaves=4).collect()
+    assert Counter((x.doc_id, x.size) for x in shards) == Counter((i, len((t or "").encode()) + 1) for i, t in zip(ids, ts, strict=True))

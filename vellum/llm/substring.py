@@ -1,17 +1,22 @@
 """Removing word windows that repeat across documents, by level-wise doubling.
 
-Windows of half the length are the first level.  They are sampled without loss: of all half-windows inside a full
-window the one with the least hash stands for it, so equal full windows are met under equal half-windows.  Half-
-windows that one document alone holds end there; those that repeat are extended to the full length, and full windows
-are compared among the documents that share the half.  ``repeat_lengths`` goes on to 2, 4, ... times the length
-until no candidate survives.
+1. The first level are windows of half the length.  They are sampled without loss: of all half-windows inside a full
+   window the one with the least hash stands for it, so equal full windows are met under equal half-windows.  Half-
+   windows that documents with one id alone hold end here.
+2. Those that survive are extended: documents with such a half are read again, and the full windows around it are met
+   under it.  A window of which a smaller id holds an equal one is lost.
 
-What a task can decide by itself is not shuffled: in a chunk of documents, only the smallest id that holds a window
-is sent on; any larger id loses the window at once.  A window in a third of all documents so sends a row per chunk.
+``repeat_lengths`` goes on to 2, 4, ... times the length until no candidate survives.
 
-Windows are compared by the 64-bit hash of the full window, under the 64-bit hash of the half.  Null texts have no words.
-Repeated rows have one id and take nothing from each other.  A null id is larger than any other.  Texts shorter than
-a window stay whole.  Empty tables give empty results.
+What a task can decide by itself is not shuffled: in a chunk of documents, only the smallest id that holds a window
+is sent on; any larger id loses the window at once.  A window in a third of all documents so sends a row per chunk.  A
+half that several ids of a chunk hold survives without asking, and two rows of the chunk bear witness to the others.
+The windows around a half of very many documents are dealt to tasks by their own hashes.
+
+Windows compare by the 64-bit hash of the half and the 64-bit hash of the full window together.  Null texts have no words.
+Repeated rows have one id and take nothing from each other, nor do rows without an id.  A null id is larger than any
+other; rows that share an id are told apart by a 64-bit hash of the text.  Texts shorter than a window stay whole.  Empty
+tables give empty results.  Only the id and the text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -22,14 +27,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm._support import by_bytes, encoded, id_order, map_arrow, mix, span_hashes, staged, words
+from vellum.llm._support import by_bytes, discard, encoded, id_order, map_arrow, mix, span_hashes, staged, words
 
 WINDOW = 13
 #: Bytes of text whose windows are resolved together before anything is shuffled.
 LOCAL_BYTES = 4 << 20
+#: Documents that hold one half before its windows are dealt to several tasks, by their hashes.
+HOT_ROWS = 100_000
+#: Consecutive windows under one half that travel in one row.
+RUN_TAGS = 64
 
 
 def _rolling(h: np.ndarray, size: int) -> np.ndarray:
@@ -57,8 +66,8 @@ def windows(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.n
     return doc[: len(full)][inside], place[: len(full)][inside], full[inside], least[: len(full)][inside]
 
 
-def _run_rows(ids: np.ndarray, rows: np.ndarray, places: np.ndarray, whole: bool) -> pa.RecordBatch:
-    """Runs of consecutive places, as first and last place: a row per document (``whole``) or per run."""
+def _run_rows(ids: np.ndarray, rows: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+    """Runs of consecutive places, as first and last place: a row per document."""
     order = np.lexsort((places, rows, ids))
     ids, rows, places = ids[order], rows[order], places[order]
     other = np.ones(len(ids), bool)
@@ -68,7 +77,7 @@ def _run_rows(ids: np.ndarray, rows: np.ndarray, places: np.ndarray, whole: bool
     head = np.flatnonzero(new)
     tail = np.append(head[1:], len(ids))[: len(head)] - 1
     runs = np.stack([places[head], places[tail]], 1).astype(np.int32).ravel()
-    at = np.flatnonzero(other[head]) if whole else np.arange(len(head))
+    at = np.flatnonzero(other[head])
     lists = pa.ListArray.from_arrays(pa.array(np.append(2 * at, len(runs)).astype(np.int32)), pa.array(runs))
     return pa.RecordBatch.from_arrays([pa.array(ids[head[at]]), pa.array(rows[head[at]]), lists], names=["__id", "__row", "runs"])
 
@@ -86,66 +95,125 @@ def _smallest(key: tuple[np.ndarray, ...], ids: np.ndarray) -> np.ndarray:
     return out
 
 
+def _first_level(batches, size: int, chunk: int):
+    """Rows (__id, __row, runs, half, state) of batches of (__id, __row, text).
+
+    state 0: windows that a smaller id in the chunk holds, as runs; 1: a half that several ids of the chunk hold, so that
+    it survives; 2: a half that one id of the chunk holds; 3: the least and the greatest id of a half in state 1."""
+    names = ["__id", "__row", "runs", "half", "state"]
+
+    def rows(ids, own, half, state):
+        n = len(ids)
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(own), pa.nulls(n, pa.list_(pa.int32())), pa.array(half.view(np.int64)), pa.array(np.full(n, state, np.int32))], names=names)
+
+    for batch in batches:
+        ids, own = (np.asarray(batch.column(i)) for i in (0, 1))
+        texts = encoded(batch.column(2))
+        for at, to in by_bytes(texts, chunk):
+            doc, place, full, half = windows(texts[at:to], size)
+            own_id, own_row = ids[at:to], own[at:to]
+            lost = _smallest((full,), own_id[doc]) < own_id[doc]
+            done = _run_rows(own_id[doc[lost]], own_row[doc[lost]], place[lost])
+            yield pa.RecordBatch.from_arrays([*done.columns, pa.nulls(done.num_rows, pa.int64()), pa.array(np.zeros(done.num_rows, np.int32))], names=names)
+            # of the others, each half of a document once, in order of halves and ids
+            order = np.lexsort((doc[~lost], own_id[doc[~lost]], half[~lost]))
+            doc, half = doc[~lost][order], half[~lost][order]
+            new = np.ones(len(doc), bool)
+            new[1:] = (np.diff(doc) != 0) | (np.diff(half) != 0)
+            doc, half = doc[new], half[new]
+            i, r = own_id[doc], own_row[doc]
+            heads = np.flatnonzero(np.concatenate([[True], np.diff(half) != 0])) if len(half) else np.zeros(0, np.int64)
+            tails = np.append(heads[1:], len(half))[: len(heads)] - 1
+            several = i[heads] != i[tails]
+            live = np.repeat(several, tails - heads + 1)
+            yield rows(i[live], r[live], half[live], 1)
+            yield rows(i[~live], r[~live], half[~live], 2)
+            ends = np.concatenate([heads[several], tails[several]])
+            yield rows(i[ends], r[ends], half[ends], 3)
+
+
+def _second_level(batches, size: int):
+    """Rows (half, salt, __id, __row, place, tags) of batches of (__id, __row, text, live): the windows around each live
+    half of a text, as the hashes of consecutive ones; of a half with several salts a row per window, which goes by its
+    hash."""
+    for batch in batches:
+        ids, own, live = np.asarray(batch.column(0)), np.asarray(batch.column(1)), batch.column(3)
+        texts = encoded(batch.column(2))
+        for at, to in by_bytes(texts):
+            doc, place, full, half = windows(texts[at:to], size)
+            lists = live.slice(at, to - at)
+            entries = lists.flatten()
+            of = np.repeat(np.arange(to - at), np.asarray(pa.compute.list_value_length(lists)))
+            salts = np.asarray(entries.field("salts"))
+            # a document's halves stand together: a multiple of a constant sets documents apart
+            mark = lambda d, h: mix(h + d.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            known = mark(of, np.asarray(entries.field("half")).view(np.uint64))
+            order = np.argsort(known)
+            found = np.minimum(np.searchsorted(known[order], asked := mark(doc, half)), len(known) - 1)
+            on = known[order][found] == asked
+            doc, place, full, half, n = doc[on], place[on], full[on], half[on], salts[order][found][on]
+            if not len(doc):
+                continue
+            # a row has RUN_TAGS hashes at most, so that batches of rows are bounded
+            cut = (np.diff(half) != 0) | (np.diff(place) != 1) | (np.diff(doc) != 0) | (n[1:] > 1) | (place[1:] % RUN_TAGS == 0)
+            head = np.concatenate([[0], np.flatnonzero(cut) + 1])
+            ends = (np.append(head[1:], len(doc)) * 8).astype(np.int32)
+            tags = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32).tobytes()), pa.py_buffer(full.astype("<u8").tobytes())])
+            d, salt = doc[head], np.where(n[head] > 1, (mix(full[head]) % n[head].astype(np.uint64)).astype(np.int64), 0)
+            yield pa.RecordBatch.from_arrays([pa.array(half[head].view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(ids[at + d]), pa.array(own[at + d]), pa.array(place[head].astype(np.int32)), tags], names=["half", "salt", "__id", "__row", "place", "tags"])
+
+
+def _met(batches):
+    """Rows (__id, __row, runs) from rows in order of (half, salt, __id): windows that stood with a smaller id before.
+
+    A batch is settled at once; of the half that goes on into the next batch the hashes so far are kept with their
+    least ids, so a task holds one batch and the different windows under one half and salt."""
+    last, seen = None, {}
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        half, salt, ids, own, place = (np.asarray(batch.column(k)) for k in range(5))
+        sizes = np.asarray(pa.compute.binary_length(batch.column(5))) // 8
+        tags = np.frombuffer(b"".join(batch.column(5).to_pylist()), "<u8")
+        row = np.repeat(np.arange(len(half)), sizes)
+        at = place[row] + np.arange(len(tags)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        least = _smallest((tags, salt[row], half[row]), ids[row])
+        if last == (half[0], salt[0]):
+            same = (half[row] == last[0]) & (salt[row] == last[1])
+            for k in np.flatnonzero(same).tolist():
+                least[k] = min(least[k], seen.get(int(tags[k]), least[k]))
+        key = (half[-1], salt[-1])
+        if key != last:
+            last, seen = key, {}
+        for k in np.flatnonzero((half[row] == key[0]) & (salt[row] == key[1])).tolist():
+            seen.setdefault(int(tags[k]), int(least[k]))
+        lost = least < ids[row]
+        yield _run_rows(ids[row][lost], own[row][lost], at[lost].astype(np.int64))
+
+
 def removable(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """``__id, __row, runs`` for documents of (__id, __row, __t) that hold a window of a smaller id; runs are flat pairs
     of first and last window start, possibly in several rows a document."""
-    rows_type = "__id long, __row long, runs array<int>, half long, tags binary, place int"
-
-    def local(batches):
-        for batch in batches:
-            ids, rows = (np.asarray(batch.column(i)) for i in (0, 1))
-            texts = encoded(batch.column(2))
-            for at, to in by_bytes(texts, LOCAL_BYTES):
-                doc, place, full, half = windows(texts[at:to], size)
-                own_id, own_row = ids[at:to], rows[at:to]
-                lost = _smallest((full,), own_id[doc]) < own_id[doc]
-                done = _run_rows(own_id[doc[lost]], own_row[doc[lost]], place[lost], whole=True)
-                k = done.num_rows
-                yield pa.RecordBatch.from_arrays([*done.columns, done.column(1), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int32())], names=["__id", "__row", "runs", "half", "tags", "place"])
-                # the others, a row for consecutive windows under one half
-                doc, place, full, half = (x[~lost] for x in (doc, place, full, half))
-                if not len(doc):
-                    continue
-                cut = np.flatnonzero((np.diff(half) != 0) | (np.diff(place) != 1) | (np.diff(doc) != 0)) + 1
-                head = np.concatenate([[0], cut])
-                tags = full.astype("<u8")
-                ends = (np.concatenate([cut, [len(doc)]]) * 8).astype(np.int32)
-                blob = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32).tobytes()), pa.py_buffer(tags.tobytes())])
-                d = doc[head]
-                yield pa.RecordBatch.from_arrays([pa.array(own_id[d]), pa.array(own_row[d]), pa.nulls(len(d), pa.list_(pa.int32())), pa.array(half[head].view(np.int64)), blob, pa.array(place[head].astype(np.int32))], names=["__id", "__row", "runs", "half", "tags", "place"])
-
-    def meet(batches):
-        waiting = []
-        for batch in batches:
-            settled = batch.column(2).is_valid()
-            yield batch.filter(settled).select(["__id", "__row", "runs"])
-            waiting.append(batch.filter(pa.compute.invert(settled)).select(["__id", "__row", "half", "tags", "place"]))
-        if not sum(x.num_rows for x in waiting):
-            return
-        table = pa.Table.from_batches(waiting).combine_chunks()
-        ids, rows, half, place = (np.asarray(table[c]) for c in ("__id", "__row", "half", "place"))
-        # first level: halves that one document alone holds are not extended
-        order = np.lexsort((ids, half))
-        h, i = half[order], ids[order]
-        heads = np.concatenate([[0], np.flatnonzero(np.diff(h)) + 1])
-        tails = np.concatenate([heads[1:], [len(h)]]) - 1
-        some = np.zeros(len(h), bool)
-        some[order] = np.repeat(i[heads] != i[tails], tails - heads + 1)
-        blob = table["tags"].combine_chunks().filter(pa.array(some))
-        sizes = np.asarray(pa.compute.binary_length(blob)) // 8
-        tags = np.frombuffer(b"".join(blob.to_pylist()), "<u8")
-        which = np.repeat(np.flatnonzero(some), sizes)
-        shift = np.arange(len(tags)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        full_id = ids[which]
-        lost = _smallest((tags, half[which]), full_id) < full_id
-        # a row per run: their number follows the input, however many partitions a document's windows are dealt to
-        out = _run_rows(full_id[lost], rows[which[lost]], (place[which] + shift)[lost].astype(np.int64), whole=False)
-        for at in range(0, out.num_rows, 10_000):
-            yield out.slice(at, 10_000)
-
-    # rows that are decided already travel by their row's hash
-    found = map_arrow(docs.select("__id", "__row", "__t"), local, rows_type).repartition("half")
-    return map_arrow(found, meet, "__id long, __row long, runs array<int>")
+    docs, chunk = docs.select("__id", "__row", "__t"), LOCAL_BYTES
+    first = staged(map_arrow(docs, lambda b: _first_level(b, size, chunk), "__id long, __row long, runs array<int>, half long, state int"), "sub-first")
+    decided = staged(first.where("state = 0").select("__id", "__row", "runs"), "sub-decided")
+    # first level: a half that one id alone holds is not extended
+    each = Window.partitionBy("half")
+    held = first.where("state > 1").select("half", "__id", "__row", "state").withColumns({"lo": F.min("__id").over(each), "hi": F.max("__id").over(each)})
+    live = first.where("state = 1").select("half", "__id", "__row").unionByName(held.where("state = 2 and lo < hi").select("half", "__id", "__row"))
+    live = staged(live, "sub-live")
+    discard(first)
+    crowded = live.groupBy("half").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT_ROWS).select("half", F.ceil(F.col("c") / HOT_ROWS).cast("int").alias("salts"))
+    crowded = staged(crowded, "sub-crowded")
+    salted = live.join(crowded, "half", "left").select("__id", "__row", F.struct("half", F.coalesce("salts", F.lit(1)).alias("salts")).alias("l"))
+    wanted = staged(salted.groupBy("__id", "__row").agg(F.collect_list("l").alias("live")), "sub-wanted")
+    discard(live, crowded)
+    # second level: the windows around what survived
+    around = map_arrow(docs.join(wanted, ["__id", "__row"]).select("__id", "__row", "__t", "live"), lambda b: _second_level(b, size), "half long, salt int, __id long, __row long, place int, tags binary")
+    dealt = around.repartition("half", "salt").sortWithinPartitions("half", "salt", "__id")
+    out = staged(map_arrow(dealt, _met, "__id long, __row long, runs array<int>").unionByName(decided), "sub-removable")
+    discard(decided, wanted)
+    return out
 
 
 def covered(runs: list[int], n: int, size: int) -> np.ndarray:
@@ -161,8 +229,9 @@ def remove_repeats(df: DataFrame, size: int = WINDOW, id_col: str = "doc_id", te
     """``id, n_words, n_removed, kept_sha256`` per row of df, and ``kept_text`` if asked for: the words left, joined by
     one space."""
     docs = df.select(F.col(id_col).alias("__own"), id_order(F.col(id_col)).alias("__id"), F.xxhash64(text_col).alias("__row"), F.col(text_col).cast("binary").alias("__t"))
-    runs = removable(docs, size).groupBy("__id", "__row").agg(F.flatten(F.collect_list("runs")).alias("runs"))
-    runs = staged(runs, "sub-runs")
+    found = removable(docs, size)
+    runs = staged(found.groupBy("__id", "__row").agg(F.flatten(F.collect_list("runs")).alias("runs")), "sub-runs")
+    discard(found)
     joined = docs.join(runs, ["__id", "__row"], "left").select("__own", "__t", "runs")
 
     def cut(batches):
