@@ -343,3 +343,22 @@ def test_scan_is_bm25_without_an_index(spark):
             want = fulltext.bm25(fulltext.build(p, fields), sanitise(text)) if sanitise(text).terms else None
             got = {r.doc_id: round(r.score, 9) for r in fulltext.scan(p, fields, text).collect()}
             assert got == ({} if want is None else {r.doc_id: round(r.score, 9) for r in want.collect()}), (text, fields)
+
+
+def test_figures_are_embedded_by_image_or_text(spark):
+    df = spark.createDataFrame([(1, b"good", "t"), (2, b"bad", "words here"), (3, b"short", None), (4, None, "x"), (5, None, None)], "id int, image binary, text string")
+
+    def model(image):
+        if image == b"bad":
+            raise ValueError("no image")
+        return [1.0] * (64 if image == b"good" else 3)
+
+    got = {r.id: r for r in vector.embedded_figures(df, model).collect()}
+    assert [got[k].embedded_as for k in range(1, 6)] == ["image", "text", None, "text", None]
+    assert list(got[1].vector) == [1.0] * 64 and got[5].vector is None and got[2].image == b"bad"
+
+
+def test_head_hashes(spark):
+    df = spark.createDataFrame([(b"a" * 8192 + b"b",), (b"a" * 8192 + b"c",), (b"x",)], "c binary")
+    a, b, c = (r[0] for r in df.select(tx.head_hash(F.col("c"))).collect())
+    assert a == b != c

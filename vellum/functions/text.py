@@ -249,6 +249,27 @@ def publication_year(date: Column) -> Column:
     return F.when(date.rlike(r"^[0-9]{4}"), F.substring(date, 1, 4).cast("int"))
 
 
+def formatted_date(date: Column) -> Column:
+    """A year, or a year with one or two more numbers, as it stands; null if it is none."""
+    t = squeezed(date)
+    return F.when(t.rlike(r"^[0-9]{4}(-[0-9]+){0,2}$"), t)
+
+
+def year_string(date: Column) -> Column:
+    """What stands before the first hyphen of a date; null if that is empty."""
+    return F.nullif(F.split_part(squeezed(date), F.lit("-"), F.lit(1)), F.lit(""))
+
+
+def short_authors(authors: Column, n: int = 3) -> Column:
+    """The first names and, of more, an abbreviation."""
+    return F.array_join(F.concat(F.slice(authors, 1, n), F.when(F.size(authors) > n, F.array(F.lit("et al."))).otherwise(F.array().cast("array<string>"))), ", ")
+
+
+def head_hash(content: Column, n: int = 8192) -> Column:
+    """SHA-256 of the first bytes of a file: a cheap sign that two may be equal, before all of them are compared."""
+    return F.sha2(F.substring(content.cast("binary"), 1, n), 256)
+
+
 def valid_partial_date(date: Column) -> Column:
     """A year, a month or a day that exists."""
     return date.rlike(r"^\d{4}$") | date.rlike(r"^\d{4}-(0[1-9]|1[0-2])$") | (date.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_timestamp(date, F.lit("yyyy-MM-dd")).isNotNull())

@@ -157,6 +157,29 @@ def embedded(df: DataFrame, text_col: str, embed: Callable[[list[str]], list[lis
     return df.withColumn("vector", run(F.col(text_col)))
 
 
+def embedded_figures(figures: DataFrame, embed_image: Callable[[bytes], list[float] | None], embed: Callable[[list[str]], list[list[float]]] = embed_words, dimension: int = 64, image_col: str = "image", text_col: str = "text") -> DataFrame:
+    """figures with ``vector`` and ``embedded_as``: of the image, where a model of images gives a vector of the dimension, else
+    of the text; a figure with neither has no vector."""
+
+    @F.pandas_udf("vector array<float>, embedded_as string")
+    def run(images: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        out: list = []
+        for image, text in zip(images, texts, strict=True):
+            try:
+                found = embed_image(bytes(image)) if image is not None else None
+            except Exception:  # a model that fails on an image leaves the text
+                found = None
+            if found is not None and len(found) == dimension:
+                out.append((found, "image"))
+            elif text and text.strip():
+                out.append((embed([text])[0], "text"))
+            else:
+                out.append((None, None))
+        return pd.DataFrame(out, columns=["vector", "embedded_as"])
+
+    return figures.withColumn("__e", run(F.col(image_col), F.col(text_col))).withColumns({"vector": F.col("__e.vector"), "embedded_as": F.col("__e.embedded_as")}).drop("__e")
+
+
 def must_rebuild(meta: dict[str, str], fingerprint: str | None, dimension: int | None) -> bool:
     """Whether vectors of another model or dimension have to go; a model that does not answer changes nothing."""
     if fingerprint is None or dimension is None:

@@ -342,6 +342,16 @@ def joined_paths(spark, d):
     return lib.read(spark, d, "pages").select("page_id", tx.safe_join(F.lit("/r/"), part).alias("path"))
 
 
+@query("papers", "SELECT id, published_date AS shown, split_part(published_date, '-', 1) AS year, CASE WHEN regexp_full_match(title, '[0-9]{4}(-[0-9]+){0,2}') THEN title END AS of_title FROM papers")
+def formatted_dates(spark, d):
+    return lib.papers(spark, d).select("id", tx.formatted_date(F.col("published_date")).alias("shown"), tx.year_string(F.col("published_date")).alias("year"), tx.formatted_date(F.col("title")).alias("of_title"))
+
+
+@query("papers", "SELECT id, array_to_string(list_concat(ws[1:3], CASE WHEN len(ws) > 3 THEN ['et al.'] ELSE CAST([] AS VARCHAR[]) END), ', ') AS names FROM (SELECT id, string_split(title, ' ') AS ws FROM papers)")
+def short_authors(spark, d):
+    return lib.papers(spark, d).select("id", tx.short_authors(F.split("title", " ")).alias("names"))
+
+
 # graph
 
 _FOCUS = """, f AS (SELECT id, keywords, list_distinct(list_filter([lower(trim(k)) for k in keywords], lambda x: x <> '')) AS kw, [lower(paper_type), lower(source)] AS ent,
