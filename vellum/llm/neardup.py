@@ -253,8 +253,10 @@ def linked(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFra
     fps = slim.select("cid", "fp", "o", "h")
 
     stars = staged(_alike(members.where("cid <> centre").select(F.col("cid").alias("a"), F.col("centre").alias("b")).distinct(), slim, percent), "near-stars")
-    popular = stars.groupBy("b").agg(F.count(F.lit(1)).alias("c"))
+    # what is counted by a key is staged before it is joined by that key, so that adaptive execution can split a hot one
+    popular = staged(stars.groupBy("b").agg(F.count(F.lit(1)).alias("c")), "near-popular")
     first = staged(stars.join(popular, "b").groupBy("a").agg(F.max_by("b", F.struct(F.col("c"), -F.col("b"))).alias("b")), "near-first")
+    discard(popular)
     links = found = None
 
     def join(more: DataFrame) -> None:
@@ -282,9 +284,9 @@ def linked(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFra
     # what the stars left apart
     tagged = members.join(found.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", "m", F.coalesce("root", "cid").alias("root"))
     tagged = staged(tagged, "near-tagged")
-    apart = tagged.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    apart = staged(tagged.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key"), "near-apart")
     live = staged(tagged.join(apart, "key"), "near-live")
-    discard(members, tagged)
+    discard(members, tagged, apart)
     cold = live.where(F.col("m") <= COLD).groupBy("key").agg(F.collect_list(F.struct("cid", "root")).alias("es"))
     pair = lambda x: F.transform(F.filter("es", lambda y: (y["cid"] < x["cid"]) & (y["root"] != x["root"])), lambda y: F.struct(x["cid"].alias("a"), y["cid"].alias("b")))
     cold = staged(cold.select(F.explode(F.flatten(F.transform("es", pair))).alias("p")).select("p.*").distinct(), "near-cold")
@@ -293,9 +295,9 @@ def linked(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFra
     votes = hot.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("root", F.struct(F.col("c"), -F.col("root"))).alias("root"))
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("c"))
     hubs = ends.join(found, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.max_by("node", F.struct(F.col("c"), -F.col("node"))).alias("hub"))
-    referred = votes.join(hubs, "root", "left").select("key", F.coalesce("hub", "root").alias("b"))
+    referred = staged(votes.join(hubs, "root", "left").select("key", F.coalesce("hub", "root").alias("b")), "near-referred")
     against = staged(hot.join(referred, "key").where("cid <> b").select(F.col("cid").alias("a"), "b").distinct(), "near-against")
-    discard(live)
+    discard(live, referred)
     candidates = cold
     if not against.isEmpty():
         met = _met(docs, slim, against, size, percent, differ=True)
@@ -309,9 +311,9 @@ def linked(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFra
         confirm(rest)
     discard(rest, stars)
     rooted = staged(fps.join(found.withColumnRenamed("node", "cid"), "cid", "left").select("fp", F.coalesce("root", "cid").alias("root"), "o", "h"), "near-rooted")
-    firsts = rooted.groupBy("root").agg(F.min(F.struct("o", "h")).alias("f"))
+    firsts = staged(rooted.groupBy("root").agg(F.min(F.struct("o", "h")).alias("f")), "near-firsts")
     out = staged(rooted.join(firsts, "root").select("fp", "root", F.col("f.o").alias("first_o"), F.col("f.h").alias("first_h")), "near-of-class")
-    discard(classes, slim, found, rooted)
+    discard(classes, slim, found, rooted, firsts)
     return rows, out
 
 
