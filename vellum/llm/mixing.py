@@ -92,5 +92,7 @@ def mix(df: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), budget_shar
 
     Sources in code point order weigh ``weights`` in turn.  The sum of ``taken`` over a source is its target, rounded;
     ``taken`` is at most ceil(max_epochs) times a document's size."""
+    # staged, so that sizes are computed once
+    df = staged(df.select(*dict.fromkeys((id_col, source_col, size_col, *draw))), "mix-rows")
     found = mixed(df, weights, budget_share, max_epochs, seed, source_col, size_col, (id_col, *draw))
     return found.select(F.col(f"__row.`{id_col}`").alias(id_col), F.col("__z").alias("size"), "source_size", "target", "taken")
