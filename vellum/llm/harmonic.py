@@ -1,7 +1,7 @@
 """Harmonic packing of whole documents, with the gaps filled by documents that are cut.
 
-A text becomes ids by its white-space segments: each distinct segment of a step is encoded once, and a task keeps the
-ids of the segments it has met.
+A text becomes ids by parts that the tokenizer's pattern never joins: each distinct part of a step is encoded once, and
+a worker keeps the ids of the parts it has met.
 
 Harmonic classes: an item of length n, capacity C / (k + 1) < n <= C / k, belongs to class k, whose bins take k items
 each; items shorter than C / ``CLASSES`` share bins that are closed when the next one does not fit.  A bin knows
@@ -34,58 +34,98 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm._support import by_bytes, encoded, map_arrow, span_hashes, words
+from vellum.llm._support import by_bytes, encoded, map_arrow, span_hashes
 
 CAPACITY = 4096
 END_ID = 2
 CLASSES = 64
 #: Bins with gaps that wait; beyond them the least gaps are filled first.
 WAITING = 200
-#: Segments whose ids a task keeps; beyond it the memory starts anew.
+#: Parts whose ids a worker keeps; beyond it the memory starts anew.
 KNOWN = 400_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _NAMES = [x.split()[0] for x in PIECES.split(", ")]
 _TYPES = pa.schema([(n, pa.int64()) for n in _NAMES])
 
 
-@lru_cache(2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
+#: Kinds of bytes: white space, letters, digits, the rest; and those by which a segment is not taken apart: an apostrophe,
+#: and what is not ASCII but for the letters of U+00C0-U+00FF.
+_SPACES, _LETTER, _DIGIT, _OTHER, _ODD, _WHOLE = range(6)
+_KIND = np.full(256, _ODD, np.uint8)
+_KIND[:128] = _OTHER
+_KIND[[9, 10, 11, 12, 13, 32]] = _SPACES
+_KIND[48:58], _KIND[65:91], _KIND[97:123], _KIND[39] = _DIGIT, _LETTER, _LETTER, _ODD
+
+
+def parts(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """(data, starts, ends, first) of the parts of texts that the tokenizer never joins, those of text i at
+    first[i]:first[i + 1]: runs of letters, with A-Z lower-cased, single digits, runs of other characters.  Segments
+    between white space with odd bytes, or with what may be a special token, are one part and unchanged."""
+    raw = b"\n".join([b"", *texts, b""])
+    data, low = np.frombuffer(raw, np.uint8), np.frombuffer(raw.lower(), np.uint8)
+    kind = _KIND[data]
+    two = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7))
+    kind[two] = kind[two + 1] = _LETTER
+    kind[:-1][(data[:-1] == 60) & (data[1:] == 124)] = _ODD
+    if (odd := np.flatnonzero(kind == _ODD)).size:
+        edges = np.flatnonzero(np.diff(kind == _SPACES)) + 1
+        begins, stops = edges[::2], edges[1::2]
+        among = np.unique(np.searchsorted(begins, odd, "right") - 1)
+        sizes = (stops - begins)[among]
+        at = np.repeat(begins[among] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        kind[at], low = _WHOLE, low.copy()
+        low[at] = data[at]
+    bounds = np.flatnonzero((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)) + 1
+    inside = np.flatnonzero(kind[bounds] != _SPACES)
+    starts, ends = bounds[inside], bounds[inside + 1] if inside.size else bounds[:0]
+    places = np.cumsum([1, *(len(t) + 1 for t in texts)])
+    return low, starts, ends, np.searchsorted(starts, places)
 
 
 class Segments:
-    """Ids of texts through those of their segments."""
+    """Ids of texts through those of their parts, which a worker keeps."""
 
     def __init__(self, path: str):
-        self.coder, self.place, self.flat = _tokenizer(path), {}, []
+        from tokenizers import Tokenizer
+
+        self.coder, self.known, self.flat = Tokenizer.from_file(path), {}, np.zeros(0, np.uint32)
+        self.begin = self.count = np.zeros(0, np.int64)
 
-    def _learn(self, segments: list[bytes]) -> list[np.ndarray]:
-        if len(self.place) + len(segments) > KNOWN:
-            self.place, self.flat = {}, []
-        new = [s for s in segments if s not in self.place]
-        for s, e in zip(new, self.coder.encode_batch_fast([s.decode() for s in new], add_special_tokens=False), strict=True):
-            self.place[s] = len(self.flat)
-            self.flat.append(np.asarray(e.ids, np.uint32))
-        return [self.flat[self.place[s]] for s in segments]
+    def _learn(self, new: list[bytes]) -> None:
+        # a batch of its own for each part would cost more than the part
+        found = self.coder.encode_batch_fast([s.decode() for s in new], add_special_tokens=False)
+        ids = [e.ids for e in found]
+        counts = np.asarray([len(x) for x in ids], np.int64)
+        self.known.update(zip(new, range(len(self.begin), len(self.begin) + len(new)), strict=True))
+        self.begin = np.append(self.begin, len(self.flat) + np.cumsum(counts) - counts)
+        self.count = np.append(self.count, counts)
+        self.flat = np.append(self.flat, np.asarray([i for x in ids for i in x], np.uint32))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends): ids of all texts one after another, and where each text's end."""
-        data, starts, ends, first = words(texts)
+        data, starts, ends, first = parts(texts)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
         _, place, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
         joined = data.tobytes()
-        ids = self._learn([joined[a:b] for a, b in zip(starts[place].tolist(), ends[place].tolist(), strict=True)])
-        counts = np.asarray([len(x) for x in ids])
-        begin = np.cumsum(counts) - counts
-        lengths = counts[which]
+        distinct = [joined[a:b] for a, b in zip(starts[place].tolist(), ends[place].tolist(), strict=True)]
+        if len(self.known) > KNOWN:
+            self.known, self.flat, self.begin, self.count = {}, self.flat[:0], self.begin[:0], self.count[:0]
+        if new := [s for s in distinct if s not in self.known]:
+            self._learn(new)
+        at = np.asarray([self.known[s] for s in distinct])[which]
+        lengths = self.count[at]
         out = np.cumsum(lengths)
-        flat = np.concatenate(ids)[np.repeat(begin[which] - (out - lengths), lengths) + np.arange(out[-1])]
+        flat = self.flat[np.repeat(self.begin[at] - (out - lengths), lengths) + np.arange(out[-1])]
         return flat, np.append(0, out)[first[1:]]
 
 
+@lru_cache(2)
+def segments(path: str) -> Segments:
+    """The segments that this worker has met."""
+    return Segments(path)
+
+
 class Packer:
     """The bins of one task.  An item is (doc_id, start, ids as bytes, ids of its document)."""
 
@@ -184,11 +224,11 @@ def packer(path: str | None, capacity: int, end_id: int) -> Callable[[Iterator[p
             import public_tokenizers
 
             where = public_tokenizers.path("word_bpe_49k.json")
-        segments, bins = Segments(where), Packer(capacity, TaskContext.get().partitionId() << 40)
+        coder, bins = segments(where), Packer(capacity, TaskContext.get().partitionId() << 40)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), encoded(batch.column(1))
             for at, to in by_bytes(texts):
-                flat, ends = segments.encode(texts[at:to])
+                flat, ends = coder.encode(texts[at:to])
                 got = memoryview(np.insert(flat, ends, end_id).astype("<u4").tobytes())
                 items, begin = [], 0
                 for doc_id, stop in zip(ids[at:to], (ends + np.arange(1, len(ends) + 1)).tolist(), strict=True):
