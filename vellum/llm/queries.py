@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import harmonic, kdshard, langid, media, mixing, neardup, packing, rules, secrets, substring, unigram
+from vellum.llm import harmonic, kdshard, langid, media, mixing, neardup, packing, rules, secrets, spelling, substring, unigram
 from vellum.llm._support import n_words
 
 
@@ -66,6 +66,10 @@ def op12_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harmonic.harmonic_pack(_documents(spark, sf_dir))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_documents(spark, sf_dir))
+
+
 def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1's counts of its patterns' matches, which SQL can state."""
     return secrets.digest(secrets.scan(_documents(spark, sf_dir))).select("doc_id", "n_assign", "n_access", "n_hex")
@@ -158,7 +162,7 @@ SELECT doc_id, n::BIGINT AS n_bytes, (n + pad)::BIGINT AS payload_bytes, sha256(
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries opN_, and those that show the part of an operator's result which SQL can state."""
-    ops = (op1_guess_cost_secrets, op2_rule_ledger, op3_source_mix, op4_trie_unigram_counts, op5_min_max_hash, op6_substring_repeats, op7_best_fit_packing, op8_chunked_media, op9_language_evidence, op10_kd_shards, op12_harmonic_packing)
+    ops = (op1_guess_cost_secrets, op2_rule_ledger, op3_source_mix, op4_trie_unigram_counts, op5_min_max_hash, op6_substring_repeats, op7_best_fit_packing, op8_chunked_media, op9_language_evidence, op10_kd_shards, op12_harmonic_packing, op13_spelling_variants)
     return {f.__name__: f for f in (*ops, rule_ablations, secret_counts, mix_targets, media_sizes, shard_sizes)}
 
 
