@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import harmonic, kdshard, langid, media, mixing, neardup, packing, rules, secrets, spelling, substring, unigram
+from vellum.llm import harmonic, kdshard, langid, media, mixing, neardup, packing, pointintime, rules, secrets, spelling, substring, unigram
 from vellum.llm._support import n_words
 
 
@@ -62,6 +62,10 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_persistent_tree_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pointintime.shop_features(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("clicks", "sales", "sale_lines")))
+
+
 def op12_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harmonic.harmonic_pack(_documents(spark, sf_dir))
 
@@ -119,7 +123,31 @@ ledger AS (SELECT *, list_sum(list_transform(range(1, 11), lambda i: CASE WHEN b
 """
 _POLICY = rules.POLICIES[rules.DEFAULT_POLICY]
 
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a text of ASCII, a bit at a time."""
+    bits = f"flatten(list_transform(string_split({text}, ''), lambda x: [ascii(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))"
+    return f"xor(4294967295, list_reduce({bits}, lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1)), 4294967295::BIGINT))"
+
+
+_KNOWN = "epoch_us({0}.arrived_at) + 14400000000 <= q.t"
+_WITHIN = "epoch_us({0}) > q.t - q.d * 86400000000 AND epoch_us({0}) <= q.t"
+_CENTS = "coalesce(sum(floor(100 * {0} + 0.5)), 0)::BIGINT"
+
 SQL = {
+    "op11_persistent_tree_features": f"""
+WITH s AS (SELECT *, epoch_us(sold_at) + {_crc32("sale_id::VARCHAR")} % 259200 * 1000000 AS t FROM sales WHERE client_id IS NOT NULL AND sold_at IS NOT NULL),
+q AS (SELECT sale_id, client_id, t, unnest([2, 14]) AS d FROM s),
+c AS (SELECT q.sale_id, q.d, count(*) AS n, count(*) FILTER (c.kind = 'purchase') AS p, {_CENTS.format("c.value")} AS v, max({{'a': c.ts, 'b': c.click_id}}).b AS last
+  FROM q JOIN (SELECT DISTINCT * FROM clicks) c ON c.client_id = q.client_id AND {_WITHIN.format("c.ts")} AND {_KNOWN.format("c")} GROUP BY 1, 2),
+o AS (SELECT q.sale_id, q.d, q.t, s.sale_id AS sale, s.total FROM q JOIN s ON s.client_id = q.client_id AND {_WITHIN.format("s.sold_at")} AND {_KNOWN.format("s")}),
+n AS (SELECT sale_id, d, count(*) AS n, {_CENTS.format("total")} AS v FROM o GROUP BY 1, 2),
+l AS (SELECT o.sale_id, o.d, count(*) AS n, count(DISTINCT item_id) AS i, {_CENTS.format("amount")} AS v FROM o JOIN sale_lines l ON l.sale_id = o.sale AND epoch_us(l.shipped_at) <= o.t GROUP BY 1, 2),
+f AS (SELECT DISTINCT q.sale_id FROM q JOIN s ON s.client_id = q.client_id AND epoch_us(s.sold_at) > q.t AND epoch_us(s.sold_at) <= q.t + 604800000000)
+SELECT q.sale_id, q.d::INTEGER AS d, q.t AS t_us, f.sale_id IS NOT NULL AS label, coalesce(c.n, 0) AS n_clicks, coalesce(c.p, 0) AS n_purchases, coalesce(c.v, 0) AS click_cents, c.last AS last_click_id,
+ coalesce(n.n, 0) AS n_sales, coalesce(n.v, 0) AS sale_cents, coalesce(l.n, 0) AS n_lines, coalesce(l.i, 0) AS n_items, coalesce(l.v, 0) AS line_cents
+FROM q LEFT JOIN c USING (sale_id, d) LEFT JOIN n USING (sale_id, d) LEFT JOIN l USING (sale_id, d) LEFT JOIN f ON f.sale_id = q.sale_id""",
     "op2_rule_ledger": f"""{_LEDGER} SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
  n_repeat_words::BIGINT AS n_repeat_words, failures & {rules.mask("base")} <> 0 AS base_failed, failures & {rules.mask(rules.DEFAULT_POLICY)} = 0 AS kept, failures FROM ledger""",
     "rule_ablations": f"""{_LEDGER}, f AS (SELECT failures & {rules.mask(rules.DEFAULT_POLICY)} AS f FROM ledger),
@@ -162,7 +190,7 @@ SELECT doc_id, n::BIGINT AS n_bytes, (n + pad)::BIGINT AS payload_bytes, sha256(
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries opN_, and those that show the part of an operator's result which SQL can state."""
-    ops = (op1_guess_cost_secrets, op2_rule_ledger, op3_source_mix, op4_trie_unigram_counts, op5_min_max_hash, op6_substring_repeats, op7_best_fit_packing, op8_chunked_media, op9_language_evidence, op10_kd_shards, op12_harmonic_packing, op13_spelling_variants)
+    ops = (op1_guess_cost_secrets, op2_rule_ledger, op3_source_mix, op4_trie_unigram_counts, op5_min_max_hash, op6_substring_repeats, op7_best_fit_packing, op8_chunked_media, op9_language_evidence, op10_kd_shards, op11_persistent_tree_features, op12_harmonic_packing, op13_spelling_variants)
     return {f.__name__: f for f in (*ops, rule_ablations, secret_counts, mix_targets, media_sizes, shard_sizes)}
 
 
