@@ -179,11 +179,19 @@ def _answered(rows: DataFrame, windows: tuple[int, ...], weights: list[str], sha
     return map_arrow(rows.select(*numbers), answer, ", ".join(f"{c} long" for c in out_names))
 
 
+def _matched(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with what a table has under their keys, a row at most.  Both sides are sorted: a table that grows with the input
+    is not broadcast, and adaptive execution splits the rows of a hot key."""
+    return rows.join(table.hint("merge"), keys, "left")
+
+
 def _widths(ticks: DataFrame, cap: int) -> DataFrame:
     """``client, width`` of clients with more than ``cap`` ticks (client, at): that of their slices."""
-    many = staged(ticks.groupBy("client").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap).select("client"), "pit-many")
-    minutes = staged(ticks.join(many, "client", "left_semi").groupBy("client", F.floor(F.col("at") / GRID).alias("g")).agg(F.count(F.lit(1)).alias("n")), "pit-minutes")
-    levels = minutes.select("client", "n", "g", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("k"))
+    many = staged(ticks.groupBy("client").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap).select("client", F.lit(True).alias("cut")), "pit-many")
+    # the ticks of other clients are counted together
+    minute = F.when(F.col("cut"), F.floor(F.col("at") / GRID)).alias("g")
+    minutes = staged(_matched(ticks, many, ["client"]).groupBy("client", minute).agg(F.count(F.lit(1)).alias("n")), "pit-minutes")
+    levels = minutes.where("g is not null").select("client", "n", "g", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("k"))
     fullest = levels.groupBy("client", "k", F.expr("shiftright(g, k)").alias("g")).agg(F.sum("n").alias("n")).groupBy("client", "k").agg(F.max("n").alias("n"))
     out = staged(fullest.groupBy("client").agg(F.coalesce(F.max(F.when(F.col("n") <= cap, F.col("k"))), F.lit(0)).alias("k")).select("client", (F.lit(GRID) * F.expr("shiftleft(1L, k)")).alias("width")), "pit-widths")
     discard(many, minutes)
@@ -201,7 +209,7 @@ def _over_slices(slices: DataFrame, keys: list[str], exprs: dict[str, tuple], ba
     blocks = blocked.groupBy(*keys, "block").agg(*(f(c).alias(f"t_{n}") for n, (f, c, _) in exprs.items()))
     blocks = blocks.select(*keys, "block", *(f(f"t_{n}").over(outer).alias(f"b_{n}") for n, (f, _, _) in exprs.items()))
     own = blocked.select("*", *(f(c).over(inner).alias(f"i_{n}") for n, (f, c, _) in exprs.items()))
-    return own.join(blocks, [*keys, "block"]).select(*slices.columns, *(join(F.col(f"b_{n}"), F.col(f"i_{n}")).alias(n) for n, (_, _, join) in exprs.items()))
+    return own.join(blocks.hint("merge"), [*keys, "block"]).select(*slices.columns, *(join(F.col(f"b_{n}"), F.col(f"i_{n}")).alias(n) for n, (_, _, join) in exprs.items()))
 
 
 def _slice(at: Column) -> Column:
@@ -211,22 +219,24 @@ def _slice(at: Column) -> Column:
 def latest_known(occurrences: DataFrame, widths: DataFrame) -> DataFrame:
     """``client, e, a, n``: points that count the distinct values of occurrences (client, value, e, a), from the latest
     known occurrence of each: one more where it is known, one less where the next is."""
-    seen = occurrences.groupBy("client", "value", "e").agg(F.min("a").alias("a")).join(widths, "client", "left").withColumn("slice", _slice(F.col("a")))
-    own = Window.partitionBy("client", "slice", "value")
-    later = F.max("e").over(own.orderBy("a", F.desc("e")).rowsBetween(Window.unboundedPreceding, -1))
-    local = seen.withColumn("before", later).where(F.col("before").isNull() | (F.col("e") > F.col("before"))).drop("before")
-    following = F.lead("a").over(own.orderBy("a", F.desc("e")))
-    cold = local.where("width is null").withColumn("next", following)
-    hot = staged(local.where("width is not null"), "pit-local")
-    made = [cold.select("client", "e", "a", "next")]
-    if not hot.isEmpty():
+    keys, shard = ["client", "value"], ["client", "slice", "value"]
+    seen = _matched(occurrences.groupBy("client", "value", "e").agg(F.min("a").alias("a")), widths, ["client"]).withColumn("slice", _slice(F.col("a")))
+    own = Window.partitionBy(*shard).orderBy("a", F.desc("e"))
+    before = F.max("e").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    local = seen.withColumn("before", before).where(F.col("before").isNull() | (F.col("e") > F.col("before"))).drop("before")
+    if widths.isEmpty():
+        both = local.withColumn("next", F.lead("a").over(own))
+    else:
         # the latest of the slices before, and the first of those after
-        keys = ["client", "value"]
-        top = _over_slices(hot.groupBy(*keys, "slice").agg(F.max("e").alias("m")), keys, {"before": (F.max, "m", F.greatest)}).select(*keys, "slice", "before")
-        kept = staged(hot.join(top, [*keys, "slice"]).where(F.col("before").isNull() | (F.col("e") > F.col("before"))), "pit-kept")
-        first = _over_slices(kept.groupBy(*keys, "slice").agg(F.min("a").alias("m")), keys, {"after": (F.min, "m", F.least)}, backwards=True).select(*keys, "slice", "after")
-        made.append(kept.withColumn("next", following).join(first, [*keys, "slice"]).select("client", "e", "a", F.coalesce("next", "after").alias("next")))
-    both = made[0] if len(made) == 1 else made[0].unionByName(made[1])
+        local = staged(local, "pit-local")
+        sliced = local.where("width is not null").groupBy(*keys, "slice").agg(F.max("e").alias("m"))
+        top = staged(_over_slices(sliced, keys, {"earlier": (F.max, "m", F.greatest)}).select(*shard, "earlier"), "pit-earlier")
+        kept = _matched(local, top, shard).where(F.col("earlier").isNull() | (F.col("e") > F.col("earlier")))
+        kept = staged(kept.withColumn("following", F.lead("a").over(own)), "pit-kept")
+        discard(local, top)
+        sliced = kept.where("width is not null").groupBy(*keys, "slice").agg(F.min("a").alias("m"))
+        first = staged(_over_slices(sliced, keys, {"after": (F.min, "m", F.least)}, backwards=True).select(*shard, "after"), "pit-after")
+        both = _matched(kept, first, shard).withColumn("next", F.coalesce("following", "after"))
     steps = F.array(F.struct(F.col("a"), F.lit(1).cast("long").alias("n")), F.struct(F.col("next").alias("a"), F.lit(-1).cast("long").alias("n")))
     return both.select("client", "e", F.explode(steps).alias("s")).select("client", "e", "s.a", "s.n").where("a is not null")
 
@@ -241,8 +251,8 @@ def window_features(points: DataFrame, queries: DataFrame, widths: DataFrame, wi
 
     points: client, e, a, the weights and tie, which is null for points that are no last event.  last is the tie of the
     last event known in the window, or -1.  Weights in ``shared`` are summed in the first window for all."""
-    points = staged(points.where(F.col("a") < F.col("e") + max(windows) * DAY).join(widths, "client", "left"), "pit-points")
-    queries = staged(queries.join(widths, "client", "left"), "pit-queries")
+    points = _matched(points.where(F.col("a") < F.col("e") + max(windows) * DAY), widths, ["client"])
+    queries = _matched(queries, widths, ["client"])
     leaving = [F.when(F.col("a") < F.col("e") + d * DAY, _slice(F.col("e") + d * DAY)) for d in windows]
     slices = F.array_distinct(F.filter(F.array(_slice(F.col("a")), *leaving), lambda x: x.isNotNull() & (x >= _slice(F.col("a")))))
     zero = F.lit(0).cast("long")
@@ -251,12 +261,13 @@ def window_features(points: DataFrame, queries: DataFrame, widths: DataFrame, wi
     rows = rows.select("client", "slice", "width", F.lit(_POINT).cast("long").alias("kind"), zero.alias("d"), "e", "a", F.coalesce("tie", F.lit(-1)).alias("tie"), zero.alias("row"), zero.alias("key"), *weights)
     asked = queries.select("client", _slice(F.col("t")).alias("slice"), "width", F.lit(_QUERY).cast("long").alias("kind"), zero.alias("d"), F.col("t").alias("e"), F.col("t").alias("a"), F.lit(-1).cast("long").alias("tie"), "row", "key", *(zero.alias(c) for c in weights))
     rows = rows.select(*base).unionAll(asked.select(*base))
-    sliced = not widths.isEmpty()
-    if sliced:
-        rows = rows.unionAll(_carried(points, queries, windows, weights).select(*base))
-    start = F.coalesce(F.col("slice") * F.col("width"), F.lit(-(1 << 62))).alias("from")
-    rows = rows.withColumn("from", start)
-    rows, dense = _dealt(rows, cap) if sliced else (rows.withColumn("part", zero), False)
+    dense = False
+    if widths.isEmpty():
+        rows = rows.withColumn("part", zero)
+    else:
+        rows = staged(rows, "pit-rows")
+        rows, dense = _dealt(rows.unionAll(_carried(rows, windows, weights).select(*base)), cap)
+    rows = rows.withColumn("from", F.coalesce(F.col("slice") * F.col("width"), F.lit(-(1 << 62))))
     sorted_rows = rows.repartition("client", "slice", "part").sortWithinPartitions("client", "slice", "part")
     out = _answered(sorted_rows, windows, weights, shared)
     if dense:
@@ -265,38 +276,35 @@ def window_features(points: DataFrame, queries: DataFrame, widths: DataFrame, wi
     return out.select("row", "key", "t", "d", *weights, "last")
 
 
-def _carried(points: DataFrame, queries: DataFrame, windows: tuple[int, ...], weights: list[str]) -> DataFrame:
-    """For the slices of clients that have several: the sums of the points that are active when the slice begins."""
-    cut = points.where("width is not null")
-    deltas = []
+def _carried(rows: DataFrame, windows: tuple[int, ...], weights: list[str]) -> DataFrame:
+    """For each slice of the clients that have several: the sums of the points that are active when it begins."""
+    cut = rows.where("width is not null")
+    fresh = F.col("slice") == _slice(F.col("a"))
+    zero, long = F.lit(0).cast("long"), (lambda x: x.cast("long"))
+    sums = {}
     for d in windows:
-        stays = cut.where(F.col("a") < F.col("e") + d * DAY)
-        ends = F.array(F.struct(_slice(F.col("a")).alias("slice"), F.lit(1).cast("long").alias("sign")), F.struct(_slice(F.col("e") + d * DAY).alias("slice"), F.lit(-1).cast("long").alias("sign")))
-        both = stays.select("*", F.explode(ends).alias("x"))
-        event = F.when((F.col("x.sign") > 0) & F.col("tie").isNotNull(), F.struct("e", "tie"))
-        deltas.append(both.select("client", "width", F.lit(d).cast("long").alias("d"), "x.slice", event.alias("event"), *((F.col(c) * F.col("x.sign")).alias(c) for c in weights)))
-        zeros = queries.where("width is not null").select("client", "width", F.lit(d).cast("long").alias("d"), _slice(F.col("t")).alias("slice"), F.lit(None).cast("struct<e:bigint,tie:bigint>").alias("event"), *(F.lit(0).cast("long").alias(c) for c in weights))
-        deltas.append(zeros)
-    every = deltas[0]
-    for x in deltas[1:]:
-        every = every.unionByName(x)
-    per_slice = staged(every.groupBy("client", "width", "d", "slice").agg(F.max("event").alias("event"), *(F.sum(c).alias(c) for c in weights)), "pit-slices")
+        leaves = F.col("slice") == _slice(F.col("e") + d * DAY)
+        sign = F.when(F.col("a") < F.col("e") + d * DAY, fresh.cast("int") - leaves.cast("int")).otherwise(0)
+        sums |= {f"{c}_{d}": F.sum(F.col(c) * sign) for c in weights}
+    event = F.max(F.when(fresh & (F.col("tie") >= 0), F.struct("e", "tie")))
+    per_slice = staged(cut.groupBy("client", "width", "slice").agg(event.alias("event"), *(f.alias(c) for c, f in sums.items())), "pit-slices")
     add = lambda x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0))
-    found = _over_slices(per_slice, ["client", "d"], {"last_event": (F.max, "event", F.greatest), **{f"sum_{c}": (F.sum, c, add) for c in weights}})
-    return found.select("client", "slice", "width", F.lit(_CARRY).cast("long").alias("kind"), "d", F.coalesce("last_event.e", F.lit(0)).alias("e"), F.lit(0).cast("long").alias("a"), F.coalesce("last_event.tie", F.lit(-1)).alias("tie"), F.lit(0).cast("long").alias("row"), F.lit(0).cast("long").alias("key"), *(F.col(f"sum_{c}").alias(c) for c in weights))
+    found = _over_slices(per_slice, ["client"], {"last_event": (F.max, "event", F.greatest), **{f"sum_{c}": (F.sum, c, add) for c in sums}})
+    shown = lambda d: F.struct(long(F.lit(d)).alias("d"), *(F.col(f"sum_{c}_{d}").alias(c) for c in weights))
+    each = found.select("client", "slice", "width", "last_event", F.explode(F.array(*(shown(d) for d in windows))).alias("x"))
+    return each.select("client", "slice", "width", long(F.lit(_CARRY)).alias("kind"), "x.d", F.coalesce("last_event.e", zero).alias("e"), zero.alias("a"), F.coalesce("last_event.tie", F.lit(-1)).alias("tie"), zero.alias("row"), zero.alias("key"), *(f"x.{c}" for c in weights))
 
 
 def _dealt(rows: DataFrame, cap: int) -> tuple[DataFrame, bool]:
     """rows with ``part``, and whether a slice has several: points go to one each by a hash, queries to all, and carries
     to the first."""
-    rows = staged(rows, "pit-rows")
     full = rows.where("width is not null").groupBy("client", "slice").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > DENSE * cap)
     full = staged(full.select("client", "slice", F.ceil(F.col("n") / (DENSE * cap)).cast("int").alias("parts")), "pit-full")
     if full.isEmpty():
         return rows.withColumn("part", F.lit(0).cast("long")), False
     own = F.when(F.col("kind") == _POINT, F.array(F.pmod(F.xxhash64("e", "a"), F.col("parts")).cast("int")))
     own = own.when(F.col("kind") == _QUERY, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.lit(0)))
-    dealt = rows.join(full, ["client", "slice"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = _matched(rows, full, ["client", "slice"]).withColumn("parts", F.coalesce("parts", F.lit(1)))
     return dealt.select(*rows.columns, F.explode(own.cast("array<long>")).alias("part")), True
 
 
