@@ -178,7 +178,8 @@ def test_the_difference_index_loses_no_link(spark):
             d = np.setxor1d(x, centre)
             union = (len(x) + 100 + len(d)) // 2
             rows.append((k, -1, bool(100 * (union - len(d)) >= percent * union), len(x), 100, d.tolist()))
-        df = spark.createDataFrame(rows, "a long, b long, linked boolean, na long, nb long, d array<long>")
+        # those that are linked to the centre lie in its component
+        df = spark.createDataFrame([(x[0], -1 if x[2] else x[0], *x[1:]) for x in rows], "a long, root long, b long, linked boolean, na long, nb long, d array<long>")
         got = {(x.b, x.a) for x in neardup._by_difference(df, percent).collect()}
         want = set()
         for a, b in itertools.combinations(range(len(sets)), 2):
@@ -188,6 +189,25 @@ def test_the_difference_index_loses_no_link(spark):
         assert want and want <= got and len(got) < 150 * 149 / 4
 
 
+def test_a_second_cluster_in_a_bucket_is_not_met_with_itself(spark, monkeypatch):
+    r, met = random.Random(9), []
+    inner = neardup._by_difference
+    monkeypatch.setattr(neardup, "_by_difference", lambda *a: met.append((out := inner(*a)).count()) or out)
+    words_ = [f"w{k}" for k in range(300)]
+    other = words_[:100] + [f"v{k}" for k in range(25)] + words_[125:]
+    for copies in (50, 150):
+        rows = []
+        for base in (words_, other):
+            for _ in range(copies):
+                t = list(base)
+                for k in r.sample(range(300), 3):
+                    t[k] = f"x{r.random()}"
+                rows.append(" ".join(t))
+        got = neardup.near_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), size=2).collect()
+        assert {x.component_id for x in got} <= {0, copies}
+    assert not met or met[-1] < 20 * 150, met
+
+
 def test_null_and_repeated_ids_are_rows_of_their_own(spark):
     say = lambda c: " ".join(f"{c}{k}" for k in range(30))
     rows = [(None, say("a")), (None, say("b")), (3, say("b") + " more"), (5, say("c")), (5, say("d")), (6, say("c")), (6, say("c")), (7, None), (7, None), (8, ""), (None, say("e")), (None, say("e"))]
