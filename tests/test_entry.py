@@ -2,6 +2,7 @@
 
 import math
 import os
+import time
 
 import duckdb
 import pytest
@@ -53,10 +54,44 @@ def test_query_without_sql_has_rows(spark, name):
     assert library.QUERIES[name](spark, DATA).count() > 0
 
 
+ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def test_a_submit_while_a_retry_waits_does_not_lose_the_retry(spark, tmp_path):
+    """Events come file by file; the retry's timer ends after the submit's own attempt is over."""
+    spark.conf.set(*ROCKS)
+    schema = "paper_id string, event string, at int"
+    add = lambda n, *events: spark.createDataFrame([("a", e, k) for k, e in enumerate(events)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    add(0, "submit", "failed")
+    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    q = jobs.job_queue(stream, 15_000).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/ck").trigger(processingTime="500 milliseconds").start(f"{tmp_path}/out")
+    seen = lambda: sorted((r.action, r.attempt) for r in spark.read.schema(jobs.JOB_OUT).parquet(f"{tmp_path}/out").collect())
+
+    def wait(n):
+        for _ in range(200):
+            if len(seen()) >= n:
+                return
+            time.sleep(0.5)
+
+    try:
+        wait(2)
+        add(1, "submit", "done")
+        wait(4)
+        assert seen() == [("indexed", 1), ("retry", 1), ("start", 1), ("start", 1)]
+        wait(5)
+        assert seen() == [("indexed", 1), ("retry", 1), ("start", 1), ("start", 1), ("start", 2)]
+        add(2, "submit", "exhausted")
+        wait(7)
+        assert ("skip", 1) in seen() and ("failed", 2) in seen()
+    finally:
+        q.stop()
+
+
 def test_job_queue(spark, tmp_path):
     schema = "paper_id string, event string, at int"
     spark.createDataFrame([("a", "submit", 1), ("a", "submit", 2), ("a", "done", 3), ("b", "submit", 1), ("b", "failed", 2)], schema).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    spark.conf.set(*ROCKS)
     q = jobs.job_queue(stream, 3_600_000).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start(f"{tmp_path}/out")
     q.awaitTermination(120)
     got = sorted((r.paper_id, r.action) for r in spark.read.parquet(f"{tmp_path}/out").collect())
@@ -76,23 +111,6 @@ def test_rolling_metrics(spark):
     assert got == calls.count()
 
 
-def test_breaker_and_rate():
-    b = jobs.Breaker(2)
-    assert b.record(1, 0) and not b.record(1, 0) and b.record(0, 0)
-    now, slept = [0.0], []
-    call = jobs.limited(lambda x: x, 2, lambda: now[0], slept.append)
-    assert [call(i) for i in range(3)] == [0, 1, 2] and slept == [60.0]
-    slept.clear()
-    call = jobs.limited(lambda x: x, 99, lambda: now[0], slept.append, 10, lambda x: x)
-    assert [call(i) for i in (4, 6, 1, 50)] == [4, 6, 1, 50] and len(slept) == 3
-
-
-def test_queue_starts_the_oldest(spark):
-    j = spark.createDataFrame([("a", "running", 1), ("b", "queued", 3), ("c", "queued", 2), ("d", "queued", 4), ("e", "done", 0)], "paper_id string, state string, at int")
-    assert [r[0] for r in jobs.to_start(j).collect()] == ["c", "b"] and jobs.to_start(j, paused=True).isEmpty()
-    assert [r[0] for r in jobs.to_start(jobs.requeued(j)).collect()] == ["a", "c", "b"]
-
-
 def test_sync_stream_reconciles_complete_listings(spark, tmp_path):
     library = tables.Library(spark, f"{tmp_path}/lib").open()
     first = normalised(spark.createDataFrame([("1", "One", "k1"), ("2", "Two", "k2"), ("3", "Own", None)], "id string, title string, source string"), "papers")

@@ -65,7 +65,7 @@ def test_names_lists_and_labels(value, spark):
 
 def test_split_words(value):
     assert [value(tx.artifacts_likely, t) for t in ("it lev erages the", "p value of n = 30", "the cat sat", "a sm all gap", "x y")] == [True, False, False, False, True]
-    assert [value(tx.heading_split_likely, t) for t in ("A novel method", "inter pretable", "lev erages", "Results")] == [False, True, True, False]
+    assert [value(tx.heading_split_likely, t) for t in ("A novel method", "inter pretable", "lev erages", "Results", "a deep network", "Deep learning of rna networks")] == [False, True, True, False, False, False]
     assert value(tx.same_but_spaces, "lev erages x", "leverages x") is True
 
 

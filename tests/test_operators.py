@@ -2,7 +2,9 @@
 
 import io
 import json
+import random
 import zipfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from vellum.functions.query import sanitise
 from vellum.operators import aggregates, fulltext, fusion, graph, listing, retrieval, sync, tables, vector
 from vellum.schema import TABLES, normalised
 from vellum.functions import text as tx
-from vellum.sources import libraries, readers, writers
+from vellum.sources import libraries, lookup, readers, writers
 
 
 def rows(df, *cols):
@@ -144,6 +146,50 @@ def test_degree_cap(spark):
     assert graph.capped(e, 0).count() == 6
 
 
+def greedy(edges_, cap):
+    degree, out = Counter(), set()
+    for a, b, _ in sorted(edges_, key=lambda x: (-x[2], x[0], x[1])):
+        if degree[a] < cap and degree[b] < cap:
+            degree.update((a, b))
+            out.add((a, b))
+    return out
+
+
+def test_degree_cap_is_the_greedy_one(spark):
+    r = random.Random(6)
+    # a hub, ties of weight, and a path of falling weights, which is decided from one end to the other
+    edges_ = {(0, k): float(r.randrange(3)) for k in range(1, 40)} | {(a, b): float(r.randrange(5)) for a, b in (sorted(r.sample(range(40), 2)) for _ in range(200))} | {(100 + k, 101 + k): 50.0 - k for k in range(12)}
+    edges_ = [(a, b, w) for (a, b), w in edges_.items()]
+    df = spark.createDataFrame(edges_, "source int, target int, weight double")
+    for cap in (1, 3):
+        assert set(rows(graph.capped(df, cap), "source", "target")) == greedy(edges_, cap)
+
+
+def test_related_classes_lose_no_pair(spark):
+    r = random.Random(7)
+    pick = lambda n, m: [f"word{r.randrange(n)}s" for _ in range(r.randrange(m))]
+    p = spark.createDataFrame([(f"p{k:03}", pick(9, 5)) for k in range(120)], "id string, keywords array<string>")
+    e = spark.createDataFrame([(f"p{k:03}", "gene", f"g{r.randrange(4)}") for k in range(120) for _ in range(r.randrange(4))], "paper_id string, kind string, value string")
+    classes = graph.feature_classes(graph.features(p, e)).persist()
+    every = classes.alias("a").join(classes.alias("b"), F.col("a.id") < F.col("b.id")).select(F.col("a.id").alias("source"), F.col("b.id").alias("target"), graph.similarity("a", "b").alias("w"))
+    for least in (0.4, 0.6, 0.9):
+        want = set(rows(every.where(F.col("w") >= least), "source", "target"))
+        got = rows(graph.related(classes, least), "source", "target")
+        assert set(got) == want and len(got) == len(want) and want
+    assert classes.agg(F.sum("members")).first()[0] == 120
+
+
+def test_chains_end_where_a_cycle_closes(spark):
+    n = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("e", "e"), ("f", "gone"), *((f"n{k}", f"n{k - 1}") for k in range(1, 200)), ("n0", None)], "id string, parent_id string")
+    got = {(r.id, r.ancestor_id): r.steps for r in listing.ancestors(n, n, 1000).collect()}
+    assert {k: v for k, v in got.items() if k[0] in "abcdef"} == {("a", "b"): 1, ("a", "c"): 2, ("b", "c"): 1, ("b", "a"): 2, ("c", "a"): 1, ("c", "b"): 2, ("d", "a"): 1, ("d", "b"): 2, ("d", "c"): 3}
+    assert got["n199", "n0"] == 199 and len(got) == 9 + 199 * 200 // 2
+    assert listing.ancestors(n, n.where("id = 'n150'")).count() == 50
+    tree = n.withColumnsRenamed({"id": "key", "parent_id": "parent"})
+    below = lambda k: sorted(r.key for r in listing.descendants(tree, spark.createDataFrame([(k,)], "key string")).collect())
+    assert below("b") == ["a", "b", "c", "d"] and len(below("n0")) == 200 and below("gone") == ["f", "gone"] and below("none") == ["none"]
+
+
 def test_figure_references(spark):
     assert retrieval.figure_numbers("see Figures 1, 2 and 3") == [1, 2, 3] and retrieval.figure_numbers("Fig. 1, 5-7") == [5, 6, 7, 1]
     assert retrieval.figure_numbers("Fig. 1-30") == [1, 30] and retrieval.figure_numbers("configure 4") == []
@@ -219,9 +265,28 @@ def test_figure_ids_images_and_files(spark):
     assert sorted(rows(readers.figure_ids(f), "paper_id", "seq", "id")) == [("p", 1, "p_fig_Fig_1"), ("p", 2, "p_fig_Fig_1_2"), ("p", 3, "p_fig3"), ("p", 4, "p_fig4"), ("q", 1, "q_fig_S2")]
     i = spark.createDataFrame([("d", 1, 400, 300, 9000, 500_000, "a", 0), ("d", 2, 400, 300, 9000, 500_000, "a", 0), ("d", 1, 800, 600, 9000, 500_000, "b", 1), ("d", 1, 50, 300, 9000, None, "c", 2)], "doc_id string, page int, width int, height int, length int, page_area int, hash string, seq int")
     assert rows(readers.kept_images(i), "page", "hash") == [(1, "a")]
-    p = spark.createDataFrame([("1", "Genome editing in rice"), ("2", "Nothing here")], "id string, title string")
-    files = spark.createDataFrame([("/x/genome_rice.pdf", "pdf"), ("/x/rice.pdf", "pdf"), ("/x/editing.txt", "plain_text")], "path string, source string")
-    assert rows(readers.files_by_title(p, files), "id", "path") == [("1", "/x/genome_rice.pdf")]
+
+
+def test_figure_ids_are_never_equal(spark):
+    f = spark.createDataFrame([("p", k, x) for k, x in enumerate(["a", "a", "a_2", "a", "", "fig", "?", "a_2"])] + [("q", 0, "1"), ("q", 1, "")], "paper_id string, seq int, label string")
+    got = sorted(rows(readers.figure_ids(f.repartition(3)), "paper_id", "seq", "id"))
+    assert [x[2] for x in got] == ["p_fig_a", "p_fig_a_2", "p_fig_a_2_2", "p_fig_a_3", "p_fig5", "p_fig_fig", "p_fig7", "p_fig_a_2_3", "q_fig_1", "q_fig2"]
+    assert readers.figure_ids(f.where("seq < 0")).count() == 0
+
+
+def test_files_are_found_by_whole_terms(spark):
+    p = spark.createDataFrame([("K1", "Deep analysis of rice genomes", None), ("x9", "Nothing here", "10.1/AB"), ("17", "", None), ("zz", None, None)], "id string, title string, doi string")
+    names = ["/b/sub/cost_analysis.pdf", "/a/deep_analysis_of_rice_genomes.pdf", "/b/x/My_Deep_Analysis_of_Rice_Genomes_v2.pdf", "/b/10.1_ab.PDF", "/a/10.1_ab.pdf", "/a/1/2/3/4/5/6/k1.pdf", "/c/k1.pdf", "/b/p17.txt", "/a/p17.pdf", "/a/2017.pdf"]
+    files = lookup.listed(spark.createDataFrame([(x,) for x in names], "path string"), ["/b", "/a"])
+    assert sorted(rows(lookup.find_files(p, files), "id", "path")) == [("17", "/a/2017.pdf"), ("K1", "/b/x/My_Deep_Analysis_of_Rice_Genomes_v2.pdf"), ("x9", "/a/10.1_ab.pdf")]
+    assert lookup.find_files(p.where("false"), files).count() == lookup.find_files(p, files.where("false")).count() == 0
+
+
+def test_names_meet_terms_only_under_the_rarest_gram(spark):
+    names = [f"paper_{'common' if k % 2 else 'shared'}_{k}.pdf" for k in range(60)]
+    terms = ["common_7", "paper_shared_4", "shared_5", "zzz", "r", "absent_name"]
+    got = lookup.names_with(spark.createDataFrame([(t,) for t in terms], "term string"), spark.createDataFrame([(n,) for n in names], "name string"))
+    assert set(rows(got, "term", "name")) == {(t, n) for t in terms for n in names if t in n}
 
 
 def test_a_leg_that_fails_while_it_runs_is_left_out(spark):
@@ -329,9 +394,9 @@ def test_library_pages_and_changes(spark, tmp_path):
 
 
 def test_paths_and_replies(spark):
-    df = spark.createDataFrame([("a/b", "'file:///x%20y'", "A study of rice genomes"), ("../b", "/a\\ b", "")], "p string, q string, t string")
-    got = df.select(tx.safe_join(F.lit("/r/"), F.col("p")), tx.normalised_path(F.col("q")), tx.file_search_terms(F.col("t"))).collect()
-    assert [tuple(r) for r in got] == [("/r/a/b", "/x y", ["study", "rice", "genomes"]), (None, "/a b", [])]
+    df = spark.createDataFrame([("a/b", "'file:///x%20y'"), ("../b", "/a\\ b")], "p string, q string")
+    got = df.select(tx.safe_join(F.lit("/r/"), F.col("p")), tx.normalised_path(F.col("q"))).collect()
+    assert [tuple(r) for r in got] == [("/r/a/b", "/x y"), (None, "/a b")]
     raw = spark.createDataFrame([(libraries.reply_of(md_content="# x", images={"a": "b"}),), (libraries.reply_of(data={"markdown": "y"}),)], "raw string")
     assert [r[0].markdown for r in raw.select(libraries.conversion_reply(F.col("raw"))).collect()] == ["# x", "y"]
 

@@ -21,7 +21,11 @@ COMPANIONS = "value values axis axes ray rays wave waves".split()
 SHORT_WORDS = """an as at be by de do he if in is it me my no of on or so to up us we am eg ie vs are was has had not but and the
 for its his her our can may use via per all any few how who why ray rays""".split()
 HEADING_WORDS = """a an and are as at be by for from in into is it its of on or per the to via was were with de et al vivo vitro situ
-silico novo novel new method methods analysis data model models results discussion introduction study learning""".split()
+silico novo novel new method methods approach approaches analysis analyses study studies results discussion conclusion
+conclusions introduction overview review learning deep machine model models network networks system systems data based
+using role effect effects mechanism mechanisms insights evidence prediction detection identification characterization
+evaluation comparison between among across during their these those reveals identifies gene genes expression regulation
+regulatory protein proteins cell cells cellular dna rna chromatin transcription enhancer enhancers""".split()
 _MARK = "\ue000"
 
 
@@ -298,8 +302,3 @@ def normalised_path(path: Column) -> Column:
     scheme = t.startswith("file://")
     decoded = F.url_decode(F.replace(F.regexp_replace(t, "^file://", ""), F.lit("+"), F.lit("%2B")))
     return F.when(scheme, decoded).otherwise(F.replace(t, F.lit("\\ "), F.lit(" ")))
-
-
-def file_search_terms(title: Column, least: int = 4, most: int = 6) -> Column:
-    """The longer words of a title, by which its file may be named."""
-    return F.slice(F.array_distinct(F.filter(F.split(normalised(title), " "), lambda w: F.char_length(w) >= least)), 1, most)

@@ -2,19 +2,20 @@
 
 A positive weight needs something shared, so candidates come from an equi-join on shared features, not from all
 pairs.  A feature that most papers have relates most pairs all the same, and each such pair is an edge: the result
-itself grows with the square of the papers.  So the graph is one of the latest papers, as many as its limit (1000 at
-most), and one paper is compared with the whole library by ``focus_edges``, which is linear.
+itself grows with the square of the papers.  So the graph that is shown is one of the latest papers, as many as its
+limit (1000 at most); one paper is compared with the whole library by ``focus_edges``, which is linear; and all papers
+are compared by ``related``, from a least weight on and once for papers with equal features.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
+from vellum.staging import discard, staged
 
 KEYWORD, TOKEN, ENTITY = 0.3, 0.2, 0.5
 #: Papers of a graph that is shown.
@@ -84,7 +85,8 @@ def _shared(a: str, b: str) -> list[Column]:
 
 def edges(feature_rows: DataFrame) -> DataFrame:
     """``source, target, weight, shared_keywords, shared_entities`` of all related papers, source < target."""
-    tagged = F.concat(*(F.transform(c, lambda x, c=c: F.concat(F.lit(f"{c}:"), x)) for c in ("kw", "tok", "ent")))
+    of = lambda kind: lambda x: F.concat(F.lit(f"{kind}:"), x)
+    tagged = F.concat(*(F.transform(c, of(c)) for c in ("kw", "tok", "ent")))
     each = feature_rows.select("id", F.explode(tagged).alias("f"))
     pairs = each.select(F.col("id").alias("x"), "f").join(each.select(F.col("id").alias("y"), "f"), "f").where("x < y").select("x", "y").distinct()
     joined = pairs.join(feature_rows.alias("a"), F.col("x") == F.col("a.id")).join(feature_rows.alias("b"), F.col("y") == F.col("b.id"))
@@ -99,27 +101,65 @@ def focus_edges(feature_rows: DataFrame, paper_id: str, most: int) -> DataFrame:
 
 
 def capped(edge_rows: DataFrame, cap: int) -> DataFrame:
-    """Edges kept greedily by weight while both ends have fewer than ``cap``; 0 keeps all.
+    """Edges kept greedily by weight, then source and target, while both ends have fewer than ``cap``; 0 keeps all.
 
-    Each decision depends on those before it, so the edges are walked in one group: for graphs that are shown, whose
-    nodes a limit (at most 1000) bounds."""
+    An edge that is, at both its ends, among as many of the undecided edges as the end has room for is kept whatever is
+    decided before it, as all of those before it may be kept too.  So each round keeps all such edges, and drops what has
+    a full end; the first undecided edge of all is always among them.  A node's best edges are found by a limit on
+    ranks, which tasks apply before the shuffle, so that a node of very many edges sends few from each."""
     if cap <= 0:
         return edge_rows
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["weight", "source", "target"], ascending=[False, True, True])
-        degree: Counter = Counter()
-        keep = []
-        for a, b in zip(pdf["source"], pdf["target"], strict=True):
-            ok = degree[a] < cap and degree[b] < cap
-            keep.append(ok)
-            if ok:
-                degree.update((a, b))
-        return pdf.loc[keep, ["source", "target"]]
-
-    kind = dict(edge_rows.dtypes)["source"]
-    kept = edge_rows.select("source", "target", "weight", F.lit(0).alias("one")).groupBy("one").applyInPandas(walk, f"source {kind}, target {kind}")
-    return edge_rows.join(kept, ["source", "target"], "left_semi")
+    left = staged(edge_rows.select("source", "target", "weight"), "graph-left")
+    room = staged(degrees(left).select(F.col("id").alias("node"), F.lit(cap).alias("room")), "graph-room")
+    kept: list[DataFrame] = []
+    while True:
+        ends = left.select("source", "target", "weight", F.explode(F.array("source", "target")).alias("node"))
+        place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("weight"), "source", "target"))
+        first = ends.withColumn("place", place).where(F.col("place") <= cap).join(room, "node").where("place <= room")
+        both = staged(first.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("source", "target"), "graph-kept")
+        kept.append(both)
+        used = both.select(F.explode(F.array("source", "target")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("used"))
+        now = staged(room.join(used, "node", "left").select("node", (F.col("room") - F.coalesce("used", F.lit(0))).alias("room")), "graph-room")
+        full = now.where("room = 0")
+        rest = left.join(both, ["source", "target"], "left_anti")
+        for end in ("source", "target"):
+            rest = rest.join(full.select(F.col("node").alias(end)), end, "left_anti")
+        rest = staged(rest.select("source", "target", "weight"), "graph-left")
+        discard(left, room)
+        left, room = rest, now.where("room > 0")
+        if left.isEmpty():
+            return edge_rows.join(reduce(DataFrame.unionAll, kept), ["source", "target"], "left_semi")
+
+
+def feature_classes(feature_rows: DataFrame) -> DataFrame:
+    """``id, members, kw, tok, ent``: one row for all papers with equal feature sets, under the least of their ids."""
+    sets = [F.sort_array(c).alias(c) for c in ("kw", "tok", "ent")]
+    return feature_rows.select("id", *sets).groupBy("kw", "tok", "ent").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("members"))
+
+
+def related(classes: DataFrame, least: float) -> DataFrame:
+    """``source, target, weight`` of all classes of papers related by ``least`` or more, source < target.
+
+    Features are ordered, the rarest first.  If the first of the features that two papers share is a paper's i-th, they
+    share no more than those from the i-th on, which bounds their weight.  So a paper is found under those of its
+    features alone from which on the bound is ``least`` or more: features that most papers have relate papers only with
+    others beside them, and are left out unless they suffice by themselves."""
+    # of a function with two parameters the second would be the place of an element
+    of = lambda kind: lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("value"))
+    tagged = F.concat(*(F.transform(c, of(c)) for c in ("kw", "tok", "ent")))
+    each = classes.select("id", F.explode(tagged).alias("f"))
+    often = staged(each.groupBy("f").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "graph-often")
+    # a feature of one class relates nothing, but counts in the sizes
+    ranked = staged(each.join(often, "f").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "f"))).alias("fs")), "graph-ranked")
+    rows = ranked.join(classes, "id").select("id", "kw", "tok", "ent", "fs", F.posexplode("fs").alias("at", "x"))
+    after = F.slice(F.col("fs"), F.col("at") + 1, F.size("fs"))
+    left = lambda kind: F.size(F.filter(after, lambda x: x["f"]["kind"] == kind))
+    share = lambda kind: F.coalesce(F.try_divide(left(kind), F.size(kind)), F.lit(0.0))
+    bound = KEYWORD * share("kw") + TOKEN * share("tok") + ENTITY * F.when(left("ent") >= 2, F.lit(1.0)).otherwise(share("ent"))
+    found = staged(rows.where(bound >= least - 1e-9).select("id", F.col("x.f").alias("f")), "graph-prefixes")
+    pairs = found.select(F.col("id").alias("x"), "f").join(found.select(F.col("id").alias("y"), "f"), "f").where("x < y").select("x", "y").distinct()
+    joined = pairs.join(classes.alias("a"), F.col("x") == F.col("a.id")).join(classes.alias("b"), F.col("y") == F.col("b.id"))
+    return joined.select(F.col("x").alias("source"), F.col("y").alias("target"), similarity("a", "b").alias("weight")).where(F.col("weight") >= least)
 
 
 def degrees(edge_rows: DataFrame) -> DataFrame:

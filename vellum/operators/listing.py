@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellum.staging import discard, staged
+
 SORTS = ("title", "published_date", "updated_at")
 
 
@@ -138,20 +140,28 @@ def orphans(children: DataFrame, papers: DataFrame) -> DataFrame:
 
 
 def ancestors(chunks: DataFrame, ids: DataFrame, most: int = 50) -> DataFrame:
-    """``id, ancestor_id, steps``: the chain of parents of each chunk of ids; a cycle ends where it closes.
-
-    Each round extends all chains by one equi-join; rounds end with the last chain, or at ``most``."""
-    parents = chunks.where("parent_id is not null").select(F.col("id").alias("__c"), F.col("parent_id").alias("__p"))
-    parents = parents.join(chunks.select(F.col("id").alias("__p")), "__p", "left_semi")
-    step = ids.select("id").join(parents, F.col("id") == F.col("__c")).select("id", F.col("__p").alias("ancestor_id"), F.lit(1).alias("steps"), F.array("id", "__p").alias("seen"))
-    found = []
-    for _ in range(most):
-        step = step.checkpoint() if step.sparkSession.sparkContext.getCheckpointDir() else step.persist()
-        if step.isEmpty():
+    """``id, ancestor_id, steps``: the chain of parents of each chunk of ids, up to ``most`` steps; a cycle ends where it
+    closes.
+
+    Pointers are doubled: a round knows the ancestors of up to 2^k steps and the one that is 2^k steps up, and joins each
+    chunk with what is known of that one.  So the rounds are the logarithm of the depth.  Where ids come with their papers,
+    only those papers' chunks are read."""
+    if "paper_id" in ids.columns:
+        chunks = chunks.join(ids.select("paper_id").distinct(), "paper_id", "left_semi")
+    parents = chunks.where("parent_id is not null").select("id", F.col("parent_id").alias("up"))
+    jump = staged(parents.join(chunks.select(F.col("id").alias("up")), "up", "left_semi").select("id", "up"), "listing-jump")
+    known = staged(jump.where("id <> up").select("id", F.col("up").alias("ancestor_id"), F.lit(1).alias("steps")), "listing-known")
+    span, n = 1, -1
+    while span < most:
+        further = jump.join(known.select(F.col("id").alias("up"), F.col("ancestor_id").alias("top"), "steps"), "up").where("top <> id").select("id", F.col("top").alias("ancestor_id"), (F.col("steps") + span).alias("steps"))
+        # in a cycle an ancestor is met again after more steps
+        more = staged(known.unionAll(further).groupBy("id", "ancestor_id").agg(F.min("steps").alias("steps")), "listing-known")
+        longer = staged(jump.join(jump.select(F.col("id").alias("up"), F.col("up").alias("top")), "up").select("id", F.col("top").alias("up")), "listing-jump")
+        discard(known, jump)
+        known, jump, span, before, n = more, longer, 2 * span, n, more.count()
+        if n == before or jump.isEmpty():
             break
-        found.append(step)
-        step = step.join(parents, F.col("ancestor_id") == F.col("__c")).where(~F.array_contains("seen", F.col("__p"))).select("id", F.col("__p").alias("ancestor_id"), (F.col("steps") + 1).alias("steps"), F.array_append("seen", F.col("__p")).alias("seen"))
-    return reduce(DataFrame.unionByName, found or [step]).drop("seen")
+    return known.where(F.col("steps") <= most).join(ids.select("id"), "id", "left_semi")
 
 
 def heading_paths(chunks: DataFrame, ids: DataFrame) -> DataFrame:
@@ -161,13 +171,19 @@ def heading_paths(chunks: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def descendants(collections: DataFrame, roots: DataFrame) -> DataFrame:
-    """Keys of the collections under roots, roots included: a breadth-first closure over parent links."""
-    links = collections.where("parent is not null").select("key", "parent")
-    seen = roots.select("key").distinct()
-    front = seen
-    while True:
-        front = links.join(front.select(F.col("key").alias("parent")), "parent", "left_semi").select("key").distinct().join(seen, "key", "left_anti")
-        front = front.checkpoint() if front.sparkSession.sparkContext.getCheckpointDir() else front.persist()
-        if front.isEmpty():
-            return seen
-        seen = seen.unionByName(front)
+    """Keys of the collections under roots, roots included, however deep.
+
+    Pointers are doubled: a round knows which collections have a root within 2^k steps up, and asks for each the one that
+    is 2^k steps up.  A round that finds no more is the last, as a path has no gaps."""
+    seeds = roots.select("key").distinct()
+    links = collections.where("parent is not null").groupBy("key").agg(F.min("parent").alias("up"))
+    # a parent that is no row of its own is the end of its paths
+    ends = links.select(F.col("up").alias("key")).distinct().join(links, "key", "left_anti").select("key", F.lit(None).cast(dict(links.dtypes)["up"]).alias("up"))
+    under = staged(links.unionByName(ends).join(seeds.withColumn("hit", F.lit(True)), "key", "left").withColumn("hit", F.coalesce("hit", F.lit(False))), "listing-under")
+    n, before = under.where("hit").count(), -1
+    while n != before:
+        upper = under.select(F.col("key").alias("up"), F.col("up").alias("top"), F.col("hit").alias("above"))
+        more = staged(under.join(upper, "up", "left").select("key", F.col("top").alias("up"), (F.col("hit") | F.coalesce("above", F.lit(False))).alias("hit")), "listing-under")
+        discard(under)
+        under, before, n = more, n, more.where("hit").count()
+    return under.where("hit").select("key").unionByName(seeds).distinct()

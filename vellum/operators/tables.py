@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum.schema import CHILDREN, KEYS, TABLES
+from vellum.staging import staged
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -56,7 +57,7 @@ def append_numbered(old: DataFrame, new: DataFrame, order: str, key: str = "id")
     there is one row a partition."""
     last = old.agg(F.coalesce(F.max(key), F.lit(0))).first()[0]
     placed = new.orderBy(order).withColumn("__m", F.monotonically_increasing_id())
-    placed = placed.checkpoint() if new.sparkSession.sparkContext.getCheckpointDir() else placed.persist()
+    placed = staged(placed, "tables-placed")
     part = F.shiftright("__m", 33)
     sizes = placed.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
     before = F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")

@@ -162,16 +162,47 @@ def figure_pages(figures: DataFrame, pages: DataFrame, sure: float = 0.8, near_i
     return good.groupBy("id").agg(F.min_by("page", F.struct("tier", (~F.col("has_image")).alias("i"), (-F.col("share")).alias("s"), "page")).alias("page"))
 
 
+def _free(used: set[str], name: str, nexts: dict[str, int], start: int) -> str:
+    """The first free of name, name + start, name + start + 1 and so on; where the search for a name ended, it goes on."""
+    n = nexts.get(name, start)
+    while f"{name}{n}" in used:
+        n += 1
+    nexts[name] = n + 1
+    return f"{name}{n}"
+
+
 def figure_ids(figures: DataFrame) -> DataFrame:
-    """figures (paper_id, seq, label) with ``id``: the paper and the sanitised label, with a suffix from the second of a label
-    on; a figure without a usable label is numbered by its place among the paper's figures, after the labels."""
+    """figures (paper_id, seq, label) with ``id``: the paper and the sanitised label, or the first free of its suffixes from
+    _2 on; a figure without a usable label has the first free number from its place among the paper's figures on.
+
+    An id depends on those before it, so a paper's figures are folded in order: they stand together in a partition, and
+    what is held is the ids of one paper."""
+    names = figures.columns
     label = tx.sanitised_label(F.coalesce("label", F.lit("")))
-    named = figures.withColumn("__l", label)
-    again = F.row_number().over(Window.partitionBy("paper_id", "__l").orderBy("seq"))
-    place = F.row_number().over(Window.partitionBy("paper_id").orderBy("seq"))
-    suffix = F.when(again > 1, F.concat(F.lit("_"), again.cast("string"))).otherwise(F.lit(""))
-    name = F.when(F.col("__l") == "", F.concat(F.lit("_fig"), place.cast("string"))).otherwise(F.concat(F.lit("_fig_"), F.col("__l"), suffix))
-    return named.withColumn("id", F.concat("paper_id", name)).drop("__l")
+    schema = figures.withColumn("id", F.lit("")).schema
+
+    def fold(batches):
+        paper, used, nexts, place = object(), set(), {}, 0
+        for batch in batches:
+            ids = []
+            for p, text in zip(batch.column("paper_id").to_pylist(), batch.column("__l").to_pylist(), strict=True):
+                if p != paper:
+                    paper, used, nexts, place = p, set(), {}, 0
+                place += 1
+                stem_ = f"{p}_fig_{text}" if text else f"{p}_fig"
+                found = stem_ if text and stem_ not in used else _free(used, f"{stem_}_", nexts, 2) if text else _numbered(used, stem_, place)
+                used.add(found)
+                ids.append(found)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(ids, pa.string())], names=[*names, "id"])
+
+    together = figures.withColumn("__l", label).repartition("paper_id").sortWithinPartitions("paper_id", "seq")
+    return together.mapInArrow(fold, schema)
+
+
+def _numbered(used: set[str], name: str, start: int) -> str:
+    while f"{name}{start}" in used:
+        start += 1
+    return f"{name}{start}"
 
 
 def kept_images(images: DataFrame, max_share: float = 0.9) -> DataFrame:
@@ -180,12 +211,3 @@ def kept_images(images: DataFrame, max_share: float = 0.9) -> DataFrame:
     good = images.where(tx.image_verdict(F.col("length"), F.col("width"), F.col("height")).isNull()).where(F.col("page_area").isNull() | (F.col("width") * F.col("height") <= max_share * F.col("page_area")))
     first = Window.partitionBy("doc_id", "hash").orderBy("page", "seq")
     return good.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
-
-
-def files_by_title(papers: DataFrame, files: DataFrame, kind: str = "pdf") -> DataFrame:
-    """``id, path`` of papers (id, title) for which a file of a listing (path, source) has one of the title's longer words in
-    its name: the file with most of them, then the first.  Words meet names by an equi-join on words, never all pairs."""
-    terms = papers.select("id", F.explode(tx.file_search_terms(F.col("title"))).alias("term"))
-    names = files.where(F.col("source") == kind).select("path", F.explode(F.array_distinct(F.split(tx.normalised(F.regexp_replace(stem(F.col("path")), "[_.-]+", " ")), " "))).alias("term"))
-    hits = terms.join(names, "term").groupBy("id", "path").agg(F.count(F.lit(1)).alias("n"))
-    return hits.groupBy("id").agg(F.min_by("path", F.struct((-F.col("n")).alias("k"), "path")).alias("path"))

@@ -11,15 +11,12 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from vellum.operators import sync, tables, vector
 
 BATCH_TEXTS, FLUSH = 40, "200 milliseconds"
 MAX_RETRIES, RETRY_AFTER_MS = 3, 10_000
-MAX_FAILURES = 5
-CONCURRENCY = 3
 
 
 def embed_stream(texts: DataFrame, folder: str, checkpoint: str, embed=vector.embed_words, dimension: int = 64, available_now: bool = False) -> StreamingQuery:
@@ -57,98 +54,75 @@ def sync_stream(items: DataFrame, library: tables.Library, table: str, checkpoin
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def requeued(jobs: DataFrame) -> DataFrame:
-    """Jobs (paper_id, state, at) as a restart finds them: what was running is queued again, in its old place."""
-    return jobs.withColumn("state", F.when(F.col("state") == "running", "queued").otherwise(F.col("state")))
+JOB_OUT = "paper_id string, action string, attempt int"
 
 
-def to_start(jobs: DataFrame, concurrency: int = CONCURRENCY, paused: bool = False) -> DataFrame:
-    """``paper_id`` of the queued jobs that may start now: the oldest, up to ``concurrency`` with those that run; none while
-    the queue is paused."""
-    running = jobs.where("state = 'running'").limit(concurrency).count()
-    free = 0 if paused else max(0, concurrency - running)
-    return jobs.where("state = 'queued'").orderBy("at", "paper_id").limit(free).select("paper_id")
+class JobQueue(StatefulProcessor):
+    """Jobs of one paper: the attempt that runs, and retries that wait, by the time of their timers."""
 
+    def __init__(self, retry_after_ms: int, max_retries: int):
+        self.retry_after_ms, self.max_retries = retry_after_ms, max_retries
 
-JOB_STATE = "attempts int, in_flight boolean"
-JOB_OUT = "paper_id string, action string, attempts int"
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.running = handle.getValueState("running", "attempt int")
+        self.waiting = handle.getMapState("waiting", "at long", "attempt int")
 
+    def _start(self, attempt: int) -> tuple[str, int]:
+        if self.running.exists():
+            return "skip", attempt
+        self.running.update((attempt,))
+        return "start", attempt
 
-def _run_job(key: tuple[str], rows: Iterator[pd.DataFrame], state: GroupState, retry_after_ms: int) -> Iterator[pd.DataFrame]:
-    attempts, flying = state.get if state.exists else (0, False)
-    out = []
-    if state.hasTimedOut:
-        out.append(("start", attempts + 1))
-        state.update((attempts + 1, True))
-    for events in rows:
-        for event in events.sort_values("at")["event"]:
-            if event == "submit":
-                out.append(("skip", attempts) if flying else ("start", attempts + 1))
-                attempts, flying = (attempts, True) if flying else (attempts + 1, True)
-            elif event == "done":
-                out.append(("indexed", attempts))
-                attempts, flying = 0, False
-            elif event == "failed":
-                again = attempts <= MAX_RETRIES
-                out.append(("retry" if again else "failed", attempts))
-                flying = again
-                if not again:
-                    attempts = 0
-        if attempts or flying:
-            state.update((attempts, flying))
-            if out and out[-1][0] == "retry":
-                state.setTimeoutDuration(retry_after_ms)
-        elif state.exists:
-            state.remove()
-    yield pd.DataFrame([(key[0], action, n) for action, n in out], columns=["paper_id", "action", "attempts"])
+    def _ended(self, event: str, now: int) -> tuple[str, int] | None:
+        if not self.running.exists():
+            return None
+        attempt = self.running.get()[0]
+        self.running.clear()
+        if event == "done":
+            return "indexed", attempt
+        if event == "failed" and attempt <= self.max_retries:
+            at = now + self.retry_after_ms
+            # a paper's timers are told apart by their times
+            while self.waiting.containsKey((at,)):
+                at += 1
+            self.waiting.updateValue((at,), (attempt + 1,))
+            self.handle.registerTimer(at)
+            return "retry", attempt
+        return "failed", attempt
 
+    @staticmethod
+    def _rows(key, found: list) -> Iterator[pd.DataFrame]:
+        out = [(key[0], *x) for x in found if x]
+        if out:
+            yield pd.DataFrame(out, columns=["paper_id", "action", "attempt"])
 
-def job_queue(events: DataFrame, retry_after_ms: int = RETRY_AFTER_MS) -> DataFrame:
-    """Actions from job events (paper_id, event: submit, done or failed, at): a paper in flight is not started again, a
-    failed one is tried again three times, ten seconds later."""
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        events = pd.concat(list(rows)).sort_values("at", kind="stable")["event"]
+        now = timerValues.getCurrentProcessingTimeInMs()
+        yield from self._rows(key, [self._start(1) if e == "submit" else self._ended(e, now) for e in events])
 
-    def run(key, rows, state):
-        return _run_job(key, rows, state, retry_after_ms)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = (expiredTimerInfo.getExpiryTimeInMs(),)
+        attempt = self.waiting.getValue(at)[0]
+        self.waiting.removeKey(at)
+        yield from self._rows(key, [self._start(attempt)])
 
-    return events.groupBy("paper_id").applyInPandasWithState(run, JOB_OUT, JOB_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    def close(self) -> None:
+        pass
+
+
+def job_queue(events: DataFrame, retry_after_ms: int = RETRY_AFTER_MS, max_retries: int = MAX_RETRIES) -> DataFrame:
+    """Actions from job events (paper_id, event, at): submit, done, failed, and exhausted for a failure that no retry mends.
+
+    A paper in flight is not started again.  One that failed is no longer in flight: its retry waits for a timer, up to three
+    times, and a submit that comes meanwhile starts at once; the retry then starts as soon as its timer ends, or is skipped
+    if the paper is in flight.  State and timers are in the checkpoint, so a restart loses no retry.  The session needs the
+    RocksDB state store, as ``build_session`` sets it."""
+    return events.groupBy("paper_id").transformWithStateInPandas(JobQueue(retry_after_ms, max_retries), JOB_OUT, "append", "ProcessingTime")
 
 
 def rolling_metrics(calls: DataFrame, window: str = "24 hours", slide: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """Calls, failures and mean latency per kind and sliding window of call time; calls later than ``late`` are dropped."""
     by = calls.withWatermark("created_at", late).groupBy(F.window("created_at", window, slide), "kind")
     return by.agg(F.count(F.lit(1)).alias("calls"), F.sum(F.when(F.col("success"), 0).otherwise(1)).alias("failures"), F.avg("latency_ms").alias("avg_latency_ms"))
-
-
-class Breaker:
-    """Pauses a sync after so many failed runs in a row; a run fails if it has errors and makes no progress."""
-
-    def __init__(self, limit: int = MAX_FAILURES):
-        self.limit, self.failures = limit, 0
-
-    def record(self, errors: int, progress: int) -> bool:
-        """Whether the next run may go ahead."""
-        self.failures = self.failures + 1 if errors and not progress else 0
-        return self.failures < self.limit
-
-
-def limited(call: Callable, per_minute: int, clock: Callable[[], float], sleep: Callable[[float], None], tokens_per_minute: int | None = None, cost: Callable[..., int] = lambda *args: 1) -> Callable:
-    """A callable that keeps to a rate of calls, and of tokens if given, over any 60 seconds; for use inside one partition's
-    function, where one call runs at a time.  A call that costs more than a minute's tokens waits for an empty minute."""
-    from collections import deque
-
-    seen: deque[tuple[float, int]] = deque()
-
-    def run(*args):
-        n = cost(*args) if tokens_per_minute else 0
-        while True:
-            while seen and clock() - seen[0][0] >= 60:
-                seen.popleft()
-            spent = sum(k for _, k in seen)
-            if len(seen) < per_minute and (not tokens_per_minute or not seen or spent + n <= tokens_per_minute):
-                break
-            sleep(60 - (clock() - seen[0][0]))
-            seen.popleft()
-        seen.append((clock(), n))
-        return call(*args)
-
-    return run
