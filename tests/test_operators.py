@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellum.functions.query import sanitise
-from vellum.operators import aggregates, fulltext, fusion, graph, listing, retrieval, sync, tables, vector
+from vellum.operators import aggregates, blockindex, fulltext, fusion, graph, listing, retrieval, sync, tables, vector
 from vellum.schema import TABLES, normalised
 from vellum.functions import text as tx
 from vellum.sources import libraries, lookup, readers, writers
@@ -427,3 +427,48 @@ def test_head_hashes(spark):
     df = spark.createDataFrame([(b"a" * 8192 + b"b",), (b"a" * 8192 + b"c",), (b"x",)], "c binary")
     a, b, c = (r[0] for r in df.select(tx.head_hash(F.col("c"))).collect())
     assert a == b != c
+
+
+def plain_topk(df, text, k):
+    hits = fulltext.bm25(fulltext.build(df, ["a", "b"]), sanitise(text)).withColumn("score", F.round("score", 9))
+    return [(r.doc_id, round(r.score, 6)) for r in hits.orderBy(F.desc("score"), "doc_id").limit(k).collect()]
+
+
+def texts_of(ids, seed):
+    r = random.Random(seed)
+    say = lambda n: " ".join(f"t{int(r.paretovariate(0.7)) % 300}" for _ in range(n))
+    return [(i, say(r.randrange(1, 30)), say(4) if r.random() < 0.7 else None) for i in ids]
+
+
+def test_blocks_are_skipped_and_no_result_is_lost(spark):
+    df = spark.createDataFrame(texts_of(range(2000), 1), "id int, a string, b string")
+    index = blockindex.build(df, ["a", "b"], band=8)
+    blocks = index.blocks.persist()
+    index = blockindex.BlockIndex(blocks, index.sizes, index.gone, index.less)
+    for text, k in (("t57 t1", 5), ("t9 t101", 20), ("t299", 3), ("missing", 4), ("t3 t4", 5000)):
+        report = {}
+        got = [(r.doc_id, round(r.score, 6)) for r in blockindex.search(index, text, k, report).collect()]
+        assert got == plain_topk(df, text, k), text
+        if text == "t57 t1":
+            assert report["scored_postings"] < 0.5 * report["postings"]
+
+
+def test_an_index_that_is_kept_up_equals_a_fresh_one(spark):
+    schema = "id int, a string, b string"
+    frame = lambda rows_: spark.createDataFrame(rows_, schema)
+    index = blockindex.build(frame(texts_of(range(200), 2)), ["a", "b"], band=16)
+    now = dict((x[0], x) for x in texts_of(range(200), 2))
+    for k, (lo, hi) in enumerate(((150, 260), (0, 40), (250, 320), (5, 9))):
+        new = texts_of(range(lo, hi), 10 + k)
+        index = blockindex.updated(index, frame(new), ["a", "b"], 1 + k)
+        now |= {x[0]: x for x in new}
+    index = blockindex.deleted(index, spark.createDataFrame([(i,) for i in (3, 7, 300, 999)], "id int"))
+    now = {i: x for i, x in now.items() if i not in (3, 7, 300)}
+    fresh = frame(list(now.values()))
+    plain = fulltext.build(fresh, ["a", "b"]).postings.groupBy("field", "term").count()
+    for state in (index, blockindex.merged(index, [1, 2, 4], 9), blockindex.merged(index, [0, 1, 2, 3, 4], 9), blockindex.maintained(index, 2)):
+        assert set(rows(blockindex.frequencies(state), "field", "term", "n")) == set(rows(plain, "field", "term", "count"))
+        assert [(r.doc_id, round(r.score, 6)) for r in blockindex.search(state, "t1 t7 t12", 10).collect()] == plain_topk(fresh, "t1 t7 t12", 10)
+    assert blockindex.tiers(index, 2) and not blockindex.tiers(index, 9)
+    whole = blockindex.merged(index, [0, 1, 2, 3, 4], 9)
+    assert whole.gone.count() == 0 and whole.sizes.agg(F.min("n_docs")).first()[0] > 0

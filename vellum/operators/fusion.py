@@ -72,11 +72,11 @@ def hybrid(semantic: DataFrame | None, full_text: DataFrame | None, path: DataFr
 
 
 def attempt(leg: Callable[[], DataFrame], most: int = 2 * vector.MAX_RESULTS) -> DataFrame | None:
-    """A leg's rows, at most ``most``; None if it fails, whether it is planned or run.  A leg is a list of the best few,
-    so that it is run here once and its rows go on."""
+    """A leg's best rows, at most ``most``; None if it fails, whether it is planned or run.  A leg is a list of the best
+    few, so that it is run here once and its rows go on."""
     try:
         df = leg()
-        rows = df.limit(most).collect()
+        rows = df.orderBy(F.desc("score"), "paper_id").limit(most).collect()
     except Exception:  # a leg may fail in any way; the others answer
         return None
     return df.sparkSession.createDataFrame(rows, df.schema)

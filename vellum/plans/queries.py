@@ -409,17 +409,13 @@ for _name, _select in {
     SQL[_name] = f"WITH {lib.CTE['papers']}, {_RANKED} {_select}"
 
 
-def _chunk_vectors(chunks):
-    """A vector of every chunk, so of every line of a document."""
-    return vector.embedded(chunks.select("id", "paper_id", "chunk_type", "content"), "content").select("id", "paper_id", F.lit("section").alias("content_type"), F.col("chunk_type").alias("section_type"), F.col("content").alias("chunk_text"), "vector")
-
-
 @query()
 def hybrid_search(spark, d):
+    """The question alone is embedded; the vectors are those that are kept."""
     p, c = lib.papers(spark, d), lib.chunks(spark, d).withColumn("path", F.col("content"))
-    own = _chunk_vectors(c)
+    probe = _probe(spark, d)
     index = fulltext.build(p, ["title", "abstract_text", "keywords"])
-    return fusion.hybrid_search("erth and the ention of onthat", index, p, c, own, k=10).select("paper_id", F.round("score", 6).alias("score"))
+    return fusion.hybrid_search("erth and the ention of onthat", index, p, c, lib.vectors(spark, d), lambda texts: [probe], k=10).select("paper_id", F.round("score", 6).alias("score"))
 
 
 # text

@@ -6,10 +6,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
-from vellum.operators import graph, listing
+from vellum.operators import blockindex, graph, listing
 from vellum.plans import library as lib
 from vellum.plans.further import _FOCUS
-from vellum.plans.queries import query
+from vellum.plans.queries import _BM25, _POSTINGS, _TEXT_QUERY, _TEXT_WORDS, query
 from vellum.sources import lookup, readers
 
 # Papers are looked up by a made-up id and DOI; files are named after titles, ids, DOIs and nothing, in nested folders.
@@ -104,3 +104,33 @@ def related_classes(spark, d):
 @query()
 def related_capped(spark, d):
     return graph.capped(related_papers(spark, d), 3)
+
+
+def _kept_up(spark, d):
+    """An index of documents after a first load of their first lines, updates to their whole texts in four batches, a
+    deletion, and the merges that follow."""
+    docs = lib.read(spark, d, "documents").select("doc_id", "text")
+    index = blockindex.build(docs.withColumn("text", F.split_part("text", F.lit("\n"), F.lit(1))), ["text"], 0, "doc_id")
+    for k in range(4):
+        index = blockindex.updated(index, docs.where(F.col("doc_id") % 4 == k), ["text"], 1 + k, "doc_id")
+    index = blockindex.deleted(index, docs.where("doc_id % 9 = 0").select(F.col("doc_id").alias("id")))
+    return blockindex.maintained(index)
+
+
+@query("", f"WITH {_BM25.replace('WANTED', _TEXT_WORDS)} SELECT doc_id, round(score, 6) AS score FROM bm25 ORDER BY round(score, 9) DESC, doc_id LIMIT 25")
+def block_topk(spark, d):
+    index = blockindex.build(lib.read(spark, d, "documents"), ["text"], 0, "doc_id")
+    return blockindex.search(index, _TEXT_QUERY, 25).withColumn("score", F.round("score", 6))
+
+
+_LEFT = _POSTINGS.replace("FROM documents)", "FROM documents WHERE doc_id % 9 <> 0)")
+
+
+@query("", f"WITH {_LEFT} SELECT term, count(*) AS n FROM post GROUP BY 1")
+def index_after_changes(spark, d):
+    return blockindex.frequencies(_kept_up(spark, d)).select("term", "n")
+
+
+@query("", f"WITH {_BM25.replace('WANTED', _TEXT_WORDS).replace('FROM documents)', 'FROM documents WHERE doc_id % 9 <> 0)')} SELECT doc_id, round(score, 6) AS score FROM bm25 ORDER BY round(score, 9) DESC, doc_id LIMIT 25")
+def block_topk_after_changes(spark, d):
+    return blockindex.search(_kept_up(spark, d), _TEXT_QUERY, 25).withColumn("score", F.round("score", 6))
