@@ -9,11 +9,12 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from vellum.functions import segments
 from vellum.functions.query import sanitise
 from vellum.operators import aggregates, blockindex, fulltext, fusion, graph, listing, retrieval, sync, tables, vector
 from vellum.schema import TABLES, normalised
 from vellum.functions import text as tx
-from vellum.sources import libraries, lookup, readers, writers
+from vellum.sources import figurepages, layout, libraries, lookup, readers, writers
 
 
 def rows(df, *cols):
@@ -366,11 +367,100 @@ def test_readers(spark, tmp_path):
     assert rows(readers.read_images(spark, str(tmp_path)), "text") == [("pic",)]
 
 
-def test_figure_pages(spark):
-    pages = spark.createDataFrame([("d", 1, "Intro mentions loss curves of training.", 0), ("d", 2, "Figure 1. Loss curves of the long training runs " + "x " * 200, 1), ("e", 1, "", 2)], "doc_id string, page int, text string, n_images int")
-    figs = spark.createDataFrame([("f", "d", "Figure 1. Loss curves of the long training runs")], "id string, doc_id string, caption string")
-    assert rows(readers.figure_pages(figs, pages), "id", "page") == [("f", 2)]
-    assert rows(readers.page_rejections(pages.where("doc_id = 'e'"), 5), "error") == [("images only",)]
+def pages_of(spark, *rows_):
+    return spark.createDataFrame([(d, n, t, i) for d, n, t, i in rows_], "doc_id string, page int, text string, n_images int")
+
+
+def located(spark, pages, *figures):
+    figs = spark.createDataFrame([(*f, "d") for f in figures], "id string, label string, caption string, doc_id string")
+    return dict(rows(figurepages.figure_pages(figs, pages), "id", "page"))
+
+
+LONG = "running words that fill the page " * 12
+
+
+def test_a_caption_wins_over_references(spark):
+    caption = "Loss curves of the long training runs on two corpora"
+    pages = pages_of(spark, ("d", 1, f"As shown in Figure 1, the loss falls on both corpora. {LONG}", 0), ("d", 2, LONG, 0), ("d", 3, f"Figure 1. {caption}. {LONG}", 0), ("d", 4, f"Figure 10. {caption} {LONG}", 0))
+    assert located(spark, pages, ("f", "1", f"Figure 1. {caption}"), ("g", "10", caption), ("h", "7", "no such thing anywhere here")) == {"f": 3, "g": 4}
+
+
+def test_a_caption_that_was_reworded_is_found_by_its_delimiter(spark):
+    body = "the error of all models by the size of their data over ten seeds"
+    pages = pages_of(spark, ("d", 1, f"{LONG}\nFig. 3b shows more. (Fig. 3) {LONG}", 0), ("d", 2, f"{LONG}\n Fig. 3 | {body}", 0), ("d", 3, f"{LONG}\nFig. 3: short", 0))
+    assert located(spark, pages, ("f", "3", "Quite another sentence with nothing in common")) == {"f": 2}
+    assert located(spark, pages.where("page <> 2"), ("f", "3", "Quite another sentence with nothing in common")) == {}
+
+
+def test_labels_of_more_words_stand_bare(spark):
+    caption = "Distribution of lengths in the held out part of the corpus"
+    pages = pages_of(spark, ("d", 1, f"{LONG} Fig. 1 | {caption}", 0), ("d", 2, f"{LONG} Extended Data Fig. 1 | {caption}", 0))
+    assert located(spark, pages, ("f", "1", caption), ("x", "Extended Data Fig. 1", f"Extended Data Fig. 1 | {caption}")) == {"f": 1, "x": 2}
+
+
+def test_captions_without_a_label_and_figures_on_pages_of_their_own(spark):
+    caption = "Overview of the framework and of its seven parts"
+    pages = pages_of(spark, ("d", 1, LONG, 0), ("d", 2, "", 1), ("d", 3, f"{caption} {LONG}", 0), ("d", 4, f"Overview of the framework, and parts of seven others {LONG}", 0))
+    assert located(spark, pages, ("f", "Graphical abstract", caption), ("g", None, None), ("h", "", "word")) == {"f": 2}
+
+
+def test_a_likely_page_needs_an_image_near_it(spark):
+    text = f"Figure 2. Overview of the framework and then other things altogether {LONG}"
+    caption = "Overview of the framework and its parts at once"
+    far = pages_of(spark, ("d", 1, text, 0), ("d", 2, LONG, 0), ("d", 3, LONG, 1))
+    assert located(spark, far, ("f", "2", caption)) == {"f": 1}, "the line's delimiter needs no image"
+    flat = far.withColumn("text", F.regexp_replace("text", "^Figure 2[.]", "see Figure 2"))
+    assert located(spark, flat, ("f", "2", caption)) == {}
+    assert located(spark, flat.withColumn("n_images", F.lit(0)), ("f", "2", caption)) == {"f": 1}
+    assert located(spark, flat.withColumn("n_images", (F.col("page") == 2).cast("int")), ("f", "2", caption)) == {"f": 1}
+    assert located(spark, flat.limit(0), ("f", "2", caption)) == {}
+
+
+def test_pages_that_cannot_be_indexed(spark):
+    made = [("ok", 1, LONG, False), ("scan", 1, " ", False), ("scan", 2, "x", False), ("scan", 3, None, False), ("empty", 1, " \n", False), ("locked", 1, LONG, True), ("none", None, None, False), ("short", 1, "a", False)]
+    got = layout.rejections(spark.createDataFrame(made, "doc_id string, page int, text string, encrypted boolean"))
+    assert dict(rows(got, "doc_id", "error")) == {"scan": "images only", "empty": "no text", "locked": "encrypted", "none": "no pages"}
+
+
+def test_headings_are_runs_of_bold_spans(spark):
+    made = [("d", 1, 1, "A Study", 18.0, True), ("d", 1, 2, "of Things", 18.0, True), ("d", 1, 3, "Methods", 14.0, True), ("d", 1, 4, "text", 10.0, True), ("d", 1, 5, "More", 14.0, True), ("d", 2, 1, "Next", 14.0, True), ("d", 2, 2, "plain", 14.0, False), ("d", 6, 1, "Late", 20.0, True), ("e", 7, 1, None, None, None)]
+    spans = spark.createDataFrame(made, "doc_id string, page int, seq int, text string, font_size double, bold boolean")
+    assert sorted(rows(layout.heading_runs(spans), "page", "seq", "heading")) == [(1, 1, "A Study of Things"), (1, 3, "Methods"), (1, 5, "More"), (2, 1, "Next")]
+    assert sorted(rows(layout.signals(spans), "doc_id", "headings", "spans_per_page", "has_headings", "has_tables")) == [("d", 5, 1.4, True, False), ("e", 0, 0.0, False, False)]
+    assert sorted(rows(layout.written_pages(spans, 8), "doc_id", "page", "kept")) == [("d", 1, True), ("d", 2, True), ("d", 6, False), ("e", 7, False)]
+
+
+def test_running_lines_leave_the_edges_alone(spark):
+    made = [("d", n, f"Journal of Things {n}\n\nbody {'same' if n < 9 else 'x'} text\nJournal of Things 0\nmore\nend {n * n}\n{n}") for n in range(1, 7)] + [("e", 1, "A\nb\nc"), ("e", 2, "A\nd\ne"), ("f", 1, None)]
+    pages = spark.createDataFrame([(*x, "kept") for x in made], "doc_id string, page int, text string, other string")
+    got = {(r.doc_id, r.page): r.text for r in layout.without_running_lines(pages).collect()}
+    assert got["d", 2] == "\nJournal of Things 0\nmore" and got["e", 1] == "A\nb\nc" and got["f", 1] is None and len(got) == 9
+    assert layout.without_running_lines(pages).columns == pages.columns
+
+
+def test_batches_of_a_paper_in_order(spark):
+    rng = random.Random(5)
+    made = [(p, k, "x" * rng.choice([0, 3, 20, 60, 130])) for p, n in (("a", 3), ("b", 400), ("c", 1)) for k in range(n)] + [(None, 0, None), (None, 1, "y" * 101)]
+    rng.shuffle(made)
+    df = spark.createDataFrame(made, "paper_id string, seq int, content string")
+    got = {(r.paper_id, r.seq): r.batch for r in segments.batched(df, 100, 8, 10).collect()}
+    for p in ("a", "b", "c", None):
+        own = sorted((k, len(t or "")) for q, k, t in made if q == p)
+        assert [got[p, k] for k, _ in own] == segments.batches([n for _, n in own], 100, 8)
+    assert segments.batched(df.limit(0)).count() == 0
+
+
+def test_many_queries_with_a_sampled_floor(spark, monkeypatch):
+    rng = random.Random(1)
+    made = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(1500)]
+    v = spark.createDataFrame(made, "id long, vector array<float>").repartition(3)
+    q = v.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+    want = sorted(rows(vector.search_many(v, q, 3), "query_id", "rank", "id"))
+    for name, size in (("QUERY_BLOCK", 8), ("VECTOR_BLOCK", 20), ("SAMPLED", 6)):
+        monkeypatch.setattr(vector, name, size)
+    assert sorted(rows(vector.search_many(v, q, 3), "query_id", "rank", "id")) == want
+    # 75 blocks would send 3 rows of each query; a sixth of the rows leaves about 6 * 3
+    assert vector.candidates(v, q, 3).count() < 15 * 40
 
 
 def library_of(n, version=9):

@@ -9,7 +9,7 @@ import re
 from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _HEADING = re.compile(r"(#{1,6})\s")
@@ -112,17 +112,52 @@ def extraction_windows(text: str, most: int) -> list[str]:
     return out + ([held] if held else []) or [text]
 
 
+def _dealt(size: int, most: int, batch: int, used: int, held: bool) -> tuple[int, int]:
+    """The batch that takes the next item, and what it holds then; an item larger than a batch is one of its own."""
+    return (batch + 1, size) if held and used + size > most else (batch, used + size)
+
+
 def batches(sizes: list[int], most: int = 2500, limit: int = 8) -> list[int]:
     """The batch of each item when packed in order into at most ``limit`` batches of ``most``; -1 beyond the last."""
     out, batch, used = [], 0, 0
-    for n in sizes:
-        if used and used + n > most:
-            batch, used = batch + 1, 0
-        used += n
+    for k, n in enumerate(sizes):
+        batch, used = _dealt(n, most, batch, used, k > 0)
         out.append(batch if batch < limit else -1)
     return out
 
 
+def batched(chunks: DataFrame, most: int = 2500, limit: int = 8, span: int = 1000) -> DataFrame:
+    """chunks (paper_id, seq, content) with ``batch``: those of a paper packed in order of ``seq`` into at most ``limit``
+    batches of ``most`` characters; -1 beyond the last.  Null contents have no characters; of equal ``seq`` any is first.
+
+    Where a batch ends depends on all before it, so a paper is folded in order.  What can still lie in a batch is known
+    beforehand: with an item counted as ``most`` + 1 at most, the batches hold ``limit`` times that, so ranges of ``span``
+    numbers that begin beyond are not folded, and no task gets more of a paper than its batches and a range."""
+    names = chunks.columns
+    size = F.char_length(F.coalesce("content", F.lit(""))).cast("long")
+    sized = chunks.withColumns({"__z": size, "__k": F.floor(F.col("seq") / span)})
+    ranges = sized.groupBy("paper_id", "__k").agg(F.sum(F.least("__z", F.lit(most + 1))).alias("__s"))
+    before = F.sum("__s").over(Window.partitionBy("paper_id").orderBy("__k").rowsBetween(Window.unboundedPreceding, -1))
+    near = ranges.withColumn("__near", F.coalesce(before, F.lit(0)) <= limit * (most + 1)).select(F.col("paper_id").alias("__i"), F.col("__k").alias("__j"), "__near")
+    told = sized.join(near, F.col("paper_id").eqNullSafe(F.col("__i")) & F.col("__k").eqNullSafe(F.col("__j"))).drop("__i", "__j", "__k")
+    schema = chunks.withColumn("batch", F.lit(0)).schema
+
+    def fold(it):
+        paper, batch, used, held = None, 0, 0, False
+        for part in it:
+            out = []
+            for p, n in zip(part.column("paper_id").to_pylist(), part.column("__z").to_pylist(), strict=True):
+                if not held or p != paper:
+                    paper, batch, used, held = p, 0, 0, False
+                batch, used = _dealt(n, most, batch, used, held)
+                held = True
+                out.append(batch if batch < limit else -1)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(out, pa.int32())], names=[*names, "batch"])
+
+    together = told.where("__near").drop("__near").repartition("paper_id").sortWithinPartitions("paper_id", "seq")
+    return together.mapInArrow(fold, schema).unionByName(told.where("not __near").select(*names, F.lit(-1).alias("batch")))
+
+
 def _exploded(df: DataFrame, cut, columns: list[tuple[str, str]], id_col: str, text_col: str) -> DataFrame:
     names = ["paper_id", "seq", *(c for c, _ in columns)]
     kinds = {"string": pa.string(), "int": pa.int32()}

@@ -162,7 +162,8 @@ def stripped_figure_prefix(caption: Column) -> Column:
 def caption_needle(caption: Column, n: int = 130) -> Column:
     """The whole words at the start of a caption that make up n bytes, normalised."""
     t = F.trim(F.regexp_replace(stripped_figure_prefix(caption), f"{SPACE}+", " "))
-    words = F.split(t, " ")
+    # each word takes two bytes with its space, so n words are more than enough of a long caption
+    words = F.slice(F.split(t, " "), 1, n)
     upto = lambda i: F.aggregate(F.slice(words, F.lit(1), i + 1), F.lit(0), lambda a, w: a + F.octet_length(w) + 1)
     return normalised(F.array_join(F.filter(words, lambda w, i: upto(i) <= n), " "))
 

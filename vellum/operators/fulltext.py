@@ -169,6 +169,13 @@ def passages(index: Index, chunks: DataFrame, papers: DataFrame, text: str, k: i
     return search_chunks(index, chunks, text, k).join(titles, "paper_id").orderBy(F.desc("score"), "doc_id")
 
 
+def passages_of_hits(index: Index, chunks: DataFrame, hits: DataFrame, text: str, k: int) -> DataFrame:
+    """Passages over the library: chunks by their text within the papers that a vector search found (hits: paper_id, score),
+    the ``k`` best papers of them, and 20 at least."""
+    best = hits.groupBy("paper_id").agg(F.max("score").alias("s")).orderBy(F.desc("s"), "paper_id").limit(max(k, 20))
+    return search_chunks(index, chunks, text, k, best.select("paper_id"))
+
+
 def paper_passages(chunks: DataFrame, paper_id: str, text: str | None = None, k: int = 20) -> DataFrame:
     """A paper's chunks by full text, or in document order with score 1."""
     own = chunks.where(F.col("paper_id") == paper_id)

@@ -15,9 +15,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.staging import staged
+
 MAX_RESULTS, MIN_SCORE = 1000, 0.1
 #: Rows of a block, about, when many queries meet all vectors.
 QUERY_BLOCK, VECTOR_BLOCK = 4096, 4096
+#: Of more blocks than this, one in so many rows is searched first, for the score that the others must reach.
+SAMPLED = 32
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -61,30 +65,49 @@ def _best(s: np.ndarray, k: int) -> np.ndarray:
 
 def search_many(vectors: DataFrame, queries: DataFrame, k: int, min_score: float = -1.0, id_col: str = "id") -> DataFrame:
     """The k best rows of each query (query_id, query): every block of vectors is multiplied by every block of queries, and
-    only its k best per query leave it."""
+    only those of its k best per query leave it that can be among the k best of all.
+
+    The k-th best score of a sample of the rows is one that the k-th best of all reaches too.  So with many blocks a
+    sample of one row in SAMPLED is searched first, by the same rule, and a block sends what reaches its score: about
+    SAMPLED * k rows per query, however many blocks there are.  Scores of one row may differ in their last digits between
+    two searches, so a little less is enough.  Query ids are not null and not repeated."""
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), id_col))
+    return candidates(vectors, queries, k, min_score, id_col).withColumn("rank", place).where(F.col("rank") <= k)
+
+
+def candidates(vectors: DataFrame, queries: DataFrame, k: int, min_score: float = -1.0, id_col: str = "id", level: int = 0) -> DataFrame:
+    """``query_id, id, score``: rows among which are the k best of each query; what blocks send in ``search_many``."""
     kind, qkind = dict(vectors.dtypes)[id_col], dict(queries.dtypes)["query_id"]
     n, m = (max(1, -(-df.count() // size)) for df, size in ((queries, QUERY_BLOCK), (vectors, VECTOR_BLOCK)))
+    floor = F.lit(-2.0)
+    if m > SAMPLED:
+        # each level draws by a hash of its own, so that a sample of the sample is one row in SAMPLED of it
+        sample = staged(vectors.select(id_col, "vector").where(F.pmod(F.xxhash64(F.lit(level), id_col), F.lit(SAMPLED)) == 0), "vector-sample")
+        best = F.sort_array(F.collect_list("score"), asc=False)
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
+        reached = candidates(sample, queries, k, -1.0, id_col, level + 1).withColumn("place", place).where(F.col("place") <= k)
+        floors = reached.groupBy("query_id").agg(F.get(best, F.lit(k - 1)).alias("floor"))
+        queries, floor = queries.join(staged(floors, "vector-floors"), "query_id", "left"), F.coalesce(F.col("floor") - 1e-9, floor)
     v = _dealt(vectors.select(F.col(id_col).alias("__id"), "vector"), "__id", "__v", m, "__q", n)
-    q = _dealt(queries.select("query_id", "query"), "query_id", "__q", n, "__v", m)
+    q = _dealt(queries.select("query_id", "query", floor.alias("floor")), "query_id", "__q", n, "__v", m)
 
     def unit(rows):
         x = np.asarray(rows.tolist(), np.float64)
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
-    def best(block, asked):
+    def best_of(block, asked):
         if block.empty or asked.empty:
             return pd.DataFrame({"query_id": asked["query_id"].iloc[:0], id_col: block["__id"].iloc[:0], "score": np.zeros(0)})
         block = block.sort_values("__id", kind="stable")
         ids, names, columns, found = block["__id"].to_numpy(), asked["query_id"].to_numpy(), unit(block["vector"]).T, []
+        least = np.maximum(asked["floor"].to_numpy(), min_score)[:, None]
         for at in range(0, len(names), 256):
             s = unit(asked["query"].iloc[at : at + 256]) @ columns
-            i, j = np.nonzero(_best(s, k) & (s >= min_score))
+            i, j = np.nonzero(_best(s, k) & (s >= least[at : at + 256]))
             found.append(pd.DataFrame({"query_id": names[at + i], id_col: ids[j], "score": s[i, j]}))
         return pd.concat(found)
 
-    top = v.groupBy("__v", "__q").cogroup(q.groupBy("__v", "__q")).applyInPandas(best, f"query_id {qkind}, `{id_col}` {kind}, score double")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), id_col))
-    return top.withColumn("rank", place).where(F.col("rank") <= k)
+    return v.groupBy("__v", "__q").cogroup(q.groupBy("__v", "__q")).applyInPandas(best_of, f"query_id {qkind}, `{id_col}` {kind}, score double")
 
 
 def per_paper(hits: DataFrame, k: int | None = None, snippet: int = 300) -> DataFrame:

@@ -625,4 +625,4 @@ def export_counts(spark, d):
     return writers.export_counts(lib.papers(spark, d), lib.sections(spark, d))
 
 
-from vellum.plans import further, reference  # noqa: E402, F401 - register more queries here
+from vellum.plans import further, paging, reference  # noqa: E402, F401 - register more queries here

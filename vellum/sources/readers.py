@@ -124,44 +124,6 @@ def read_images(spark: SparkSession, folder: str, describe: Callable[[bytes], st
     return read_with(files, "image", describe)
 
 
-def page_rejections(pages: DataFrame, min_chars: int = 50) -> DataFrame:
-    """``doc_id, error`` of page listings (doc_id, page, text, n_images) that cannot be indexed."""
-    n = F.char_length(F.trim(F.coalesce("text", F.lit(""))))
-    per = pages.groupBy("doc_id").agg(F.count_if(F.col("page").isNotNull()).alias("pages"), F.count_if(n >= min_chars).alias("written"), F.sum(F.coalesce("n_images", F.lit(0))).alias("images"))
-    error = F.when(F.col("pages") == 0, "no pages").when((F.col("written") == 0) & (F.col("images") > 0), "images only").when(F.col("written") == 0, "no text")
-    return per.select("doc_id", error.alias("error")).where("error is not null")
-
-
-def page_index(pages: DataFrame) -> DataFrame:
-    """Pages with normalised text, character count and whether an image is on them."""
-    return pages.select("doc_id", "page", F.col("text").alias("raw_text"), tx.normalised(F.col("text")).alias("text"), F.char_length("text").alias("chars"), (F.col("n_images") > 0).alias("has_image"))
-
-
-def _label_number(label: Column) -> Column:
-    return F.regexp_extract(label, r"(?i)(s?\d+[a-z]?)\s*$", 1)
-
-
-def figure_pages(figures: DataFrame, pages: DataFrame, sure: float = 0.8, near_image: float = 0.5, short: int = 300, prefix: int = 40) -> DataFrame:
-    """``id, page`` of figures (id, doc_id, caption, label perhaps), by the first of these that finds a page:
-
-    1. the caption's label stands at the start of a line, and the caption's first words follow it;
-    2. enough of the caption's 4-grams are on the page, or fewer beside an image; a page of few characters needs one;
-    3. the first ``prefix`` characters of the normalised caption are on the page.
-
-    Of equal pages the one with an image, then the larger share, then the first."""
-    label = F.col("label") if "label" in figures.columns else F.regexp_extract("caption", r"(?i)^\s*((?:supplementary\s+)?(?:figure|fig\.?)\s*s?\d+[a-z]?)", 1)
-    needles = figures.select("id", "doc_id", tx.caption_needle(F.col("caption")).alias("needle"), F.lower(_label_number(label)).alias("number")).where("needle <> ''")
-    shares = needles.join(page_index(pages), "doc_id").withColumn("share", tx.containment(F.col("needle"), F.col("text")))
-    head = F.array_join(F.slice(F.split("needle", " "), 1, 3), " ")
-    lines = F.transform(F.split("raw_text", "\n"), lambda x: F.struct(F.lower(F.regexp_extract(x, r"(?i)^\W*(?:supplementary\s+)?(?:figure|fig\.?)\s*(s?\d+[a-z]?)\b", 1)).alias("n"), tx.normalised(x).alias("t")))
-    anchored = (F.col("number") != "") & F.exists(lines, lambda x: (x["n"] == F.col("number")) & x["t"].contains(head))
-    contained = ((F.col("share") >= sure) & ((F.col("chars") >= short) | F.col("has_image"))) | ((F.col("share") >= near_image) & F.col("has_image"))
-    begun = (F.char_length("needle") >= prefix) & F.col("text").contains(F.substring("needle", 1, prefix))
-    tier = F.when(anchored, 1).when(contained, 2).when(begun, 3)
-    good = shares.withColumn("tier", tier).where("tier is not null")
-    return good.groupBy("id").agg(F.min_by("page", F.struct("tier", (~F.col("has_image")).alias("i"), (-F.col("share")).alias("s"), "page")).alias("page"))
-
-
 def _free(used: set[str], name: str, nexts: dict[str, int], start: int) -> str:
     """The first free of name, name + start, name + start + 1 and so on; where the search for a name ended, it goes on."""
     n = nexts.get(name, start)
