@@ -335,3 +335,25 @@ def test_a_part_of_a_document_keeps_its_white_space(spark):
     df = spark.createDataFrame([(1, text, "en", "a", len(text))], schema)
     got = sorted(r.text for r in dict(corpus_pipeline.STAGES)["source_weights"](spark, df, "").collect())
     assert got == sorted([text, "\n one\ttwo\n\nthree"])
+
+
+def test_visible_text_is_what_a_pattern_leaves():
+    import random
+    import re
+
+    hidden = re.compile(r"<!--.*?-->|<(script|style|nav|footer|noscript)\b.*?</\1\s*>|<div class=\"ad\">.*?</div>", re.S | re.I)
+    parts = ["<nav ", "<NAV>", "</nav >", "<navy>", "<!--", "-->", "<script", "</Script>", '<div class="ad">', "</div>", "<p>", "a", ">", "<", "\n", "</style\n>", "<style>", "<!-->"]
+    rng = random.Random(2)
+    for _ in range(3000):
+        page = "".join(rng.choices(parts, k=rng.randint(0, 14)))
+        assert langid.visible_text(page) == re.sub(r"<[^>]*>", " ", hidden.sub(" ", page)), page
+
+
+def test_long_pages_of_unclosed_tags_are_read_in_proportion():
+    import time
+
+    start = time.time()
+    for opening in ("<nav ", "<!--", "<", "<script></nav>", '<div class="ad">', "</nav    "):
+        page = opening * ((4 << 20) // len(opening))
+        assert len(langid.visible_text(page)) <= len(page)
+    assert time.time() - start < 30

@@ -39,8 +39,9 @@ HOST_ROWS, SUFFIX_ROWS, ALL_ROWS = 20.0, 50.0, 10.0
 MIN_POSTERIOR = 0.5
 #: Hosts whose priors are sent to every executor; more are joined by a shuffle.
 BROADCAST_HOSTS = 100_000
-_HIDDEN = re.compile(r"<!--.*?-->|<(script|style|nav|footer|noscript)\b.*?</\1\s*>|<div class=\"ad\">.*?</div>", re.S | re.I)
-_TAG = re.compile(r"<[^>]*>")
+_OPENING = re.compile(r"<!--|<(?:script|style|nav|footer|noscript)\b|<div class=\"ad\">", re.I)
+#: What ends each opening, in small letters.
+_CLOSING = {"<!--": re.compile("-->"), '<div class="ad">': re.compile("</div>", re.I)} | {f"<{x}": re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "nav", "footer", "noscript")}
 
 
 @dataclass(frozen=True)
@@ -91,9 +92,33 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return Model((*langs, UNKNOWN), table)
 
 
+def _without_hidden(page: str) -> str:
+    """page with a space for each hidden part.  An opening that is closed nowhere hides nothing, and no later one of its
+    kind is looked for again, so a page is read about once for each kind, however many openings it has."""
+    out, at, pos, unclosed = [], 0, 0, set()
+    while found := _OPENING.search(page, pos):
+        kind, pos = found.group().lower(), found.end()
+        end = None if kind in unclosed else _CLOSING[kind].search(page, pos)
+        if end is None:
+            unclosed.add(kind)
+        else:
+            out += [page[at : found.start()], " "]
+            at = pos = end.end()
+    return "".join([*out, page[at:]])
+
+
+def _without_tags(page: str) -> str:
+    """page with a space for each ``<``, up to the next ``>``; without one the rest stays."""
+    out, at = [], 0
+    while (start := page.find("<", at)) >= 0 and (end := page.find(">", start)) >= 0:
+        out += [page[at:start], " "]
+        at = end + 1
+    return "".join([*out, page[at:]])
+
+
 def visible_text(page: str) -> str:
     """The text of a page without markup, scripts, navigation, advertisements and footers."""
-    return html.unescape(_TAG.sub(" ", _HIDDEN.sub(" ", page)))
+    return html.unescape(_without_tags(_without_hidden(page)))
 
 
 def likelihoods(df: DataFrame, model: Model, text_col: str = "text", markup: bool = False) -> DataFrame:
