@@ -408,3 +408,25 @@ def test_null_and_repeated_ids_and_long_texts_are_rows_like_others(spark):
     assert len({(x.sequence_id, x.offset) for x in packed}) == len(packed)
     shards = kdshard.kd_shards(df, leaves=4).collect()
     assert Counter((x.doc_id, x.size) for x in shards) == Counter((i, len((t or "").encode()) + 1) for i, t in zip(ids, ts, strict=True))
+
+
+def test_a_hot_group_without_ids_is_cut(spark):
+    for hot_id in (None, 7):
+        made = [(hot_id, "the same text of some length", "en", "a", 28)] * 200 + [(1000 + i, f"text number {i} of some length", "en", "b", 28) for i in range(200)]
+        df = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long")
+        placed = kdshard.kd_shards(df, leaves=8).collect()
+        load = Counter(r.shard for r in placed)
+        assert len(placed) == 400 and sorted(load) == list(range(8)) and max(load.values()) <= 65 and min(load.values()) >= 35, load
+        slots = defaultdict(list)
+        for r in placed:
+            slots[r.shard].append(r.slot)
+        assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
+def test_equal_rows_are_numbered_in_small_groups(spark, monkeypatch):
+    monkeypatch.setattr(kdshard, "SLOT_ROWS", 20)
+    df = spark.createDataFrame([(None, None, "en", "a", 0)] * 150 + [(i, "x" * 400, "en", "b", 400) for i in range(8)], "doc_id long, text string, lang string, source string, n_chars long")
+    slots = defaultdict(list)
+    for r in kdshard.kd_shards(df, leaves=2).collect():
+        slots[r.shard].append(r.slot)
+    assert sum(map(len, slots.values())) == 158 and all(sorted(x) == list(range(len(x))) for x in slots.values())

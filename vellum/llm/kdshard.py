@@ -8,7 +8,8 @@ the median until that bin weighs next to nothing.  Points heavier than 1/64 of t
 lighter side first, and the cut among the others makes up the difference.
 
 Null texts are one group of size 1 a row; null dimension values lie at the low end, categories at a hashed place.
-Repeated rows are separate members of a group; rows with null ids count as the largest id.  Texts are weighed whole, and
+Repeated rows are separate members of a group; rows with null ids count as the largest id.  Rows equal in id and text
+can take each other's place, so which of them is in which shard of a cut group is left open.  Texts are weighed whole, and
 one of over a shard's bytes is a shard's only large point.  Empty tables give empty results.
 """
 
@@ -27,6 +28,8 @@ HEAVY = 64
 FINE = 1 / 2048
 #: Rows numbered in one sorted group.
 SLOT_ROWS = 20_000
+#: Rows of a table of groups that is sent to every executor; a larger one is joined by a shuffle.
+SENT_ROWS = 1 << 14
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
@@ -96,28 +99,44 @@ def numbered_slots(df: DataFrame, shard: str, order: tuple[str, ...], rows: int,
     return df.withColumn("__r", place).join(offsets, [shard, "__sub"]).withColumn(out, (F.col("__before") + F.col("__r") - 1).cast("long")).drop("__sub", "__r", "__before")
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """A staged table, sent to every executor if it is small."""
+    return F.broadcast(df) if df.count() <= SENT_ROWS else df
+
+
+def _cut(rows: DataFrame, leaf: float) -> DataFrame:
+    """rows with ``__part`` and ``__salt``.  A group of over a leaf is cut by id into parts of about a quarter of one.  Rows
+    of a large group that are equal in id too, or have none, are dealt by their number in the staged table where there are
+    more than a part, or than half a sorted group, takes: ``__salt`` is that number, 0 for all others."""
+    sums = rows.groupBy("__g").agg(F.sum("__z").alias("__w"), F.count(F.lit(1)).alias("__c")).where((F.col("__w") > leaf) | (F.col("__c") > SLOT_ROWS))
+    large = staged(sums.select("__g", F.when(F.col("__w") > leaf, F.ceil(F.col("__w") / (leaf / 4))).otherwise(F.lit(1)).cast("long").alias("__parts")), "kd-large")
+    if large.isEmpty():
+        return rows.withColumns({"__part": F.lit(0).cast("long"), "__salt": F.lit(0).cast("long")})
+    large = _few(large)
+    often = rows.join(large, "__g").groupBy("__g", "__o").agg(F.sum("__z").alias("__w"), F.count(F.lit(1)).alias("__c")).where((F.col("__w") > leaf / 4) | (F.col("__c") > SLOT_ROWS // 2))
+    often = _few(staged(often.select("__g", "__o", F.lit(True).alias("__often")), "kd-often"))
+    told = rows.join(large, "__g", "left").join(often, ["__g", "__o"], "left").withColumn("__salt", F.when(F.col("__often"), F.col("__n") + 1).otherwise(F.lit(0)).cast("long"))
+    return told.withColumn("__part", F.coalesce(F.pmod(F.xxhash64("__id", "__salt"), F.col("__parts")), F.lit(0)).cast("long")).drop("__parts", "__often")
+
+
 def kd_shards(df: DataFrame, leaves: int | None = None, target_bytes: int | None = None, dims: tuple[str, ...] = ("doc_id", "n_chars", "source", "lang"), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, size, text_crc32, shard, slot`` per row.  The tree has ``leaves`` (a power of 2) leaves, or as many as
     bring them to ``target_bytes``.  Dimensions that df lacks are left out."""
     dims = tuple(d for d in dims if d in df.columns) or (id_col,)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.select(F.col(id_col).alias("__id"), id_order(F.col(id_col)).alias("__o"), *(F.col(d).alias(f"__d{i}") for i, d in enumerate(dims)), (F.octet_length(text) + 1).cast("long").alias("__z"), F.crc32(text.cast("binary")).alias("__crc"), F.coalesce(F.md5(F.col(text_col).cast("binary")), F.lit("null")).alias("__g"))
+    rows = df.select(F.col(id_col).alias("__id"), id_order(F.col(id_col)).alias("__o"), *(F.col(d).alias(f"__d{i}") for i, d in enumerate(dims)), (F.octet_length(text) + 1).cast("long").alias("__z"), F.crc32(text.cast("binary")).alias("__crc"), F.coalesce(F.md5(F.col(text_col).cast("binary")), F.lit("null")).alias("__g"), F.monotonically_increasing_id().alias("__n"))
     rows = staged(rows, "kd-rows")
-    n, weight = rows.agg(F.count(F.lit(1)), F.sum("__z")).first()
+    weight = rows.agg(F.sum("__z")).first()[0]
     if leaves is None:
         leaves = 1 << max(0, math.ceil(math.log2(max(1, (weight or 1) / (target_bytes or 256 << 20)))))
     depth = max(0, math.ceil(math.log2(leaves)))
     leaf = max(1.0, (weight or 1) / leaves)
-    # only groups of over a leaf are cut: fewer than the leaves
-    large = rows.groupBy("__g").agg(F.sum("__z").alias("__w")).where(F.col("__w") > leaf).select("__g", F.ceil(F.col("__w") / (leaf / 4)).alias("__parts"))
-    large = staged(large, "kd-large")
-    rows = rows if large.isEmpty() else rows.join(F.broadcast(large) if leaves <= 1 << 14 else large, "__g", "left")
-    parts = F.lit(0).cast("long") if "__parts" not in rows.columns else F.coalesce(F.pmod(F.xxhash64("__id"), F.col("__parts")), F.lit(0)).cast("long")
-    rows = rows.withColumn("__part", parts).drop("__parts")
+    rows = _cut(rows, leaf)
     points = staged(_points(rows, tuple(f"__d{i}" for i in range(len(dims))), leaf), "kd-points")
     for level in range(depth):
         points = _level(points, len(dims), f"kd-{level}")
     shard = (F.col("node") - (1 << depth)).cast("int")
     placed = rows.join(points.select("__g", "__part", shard.alias("shard")), ["__g", "__part"])
-    placed = staged(placed.select(F.col("__id"), F.col("__z").alias("size"), F.col("__crc").alias("text_crc32"), "shard"), "kd-placed")
-    return numbered_slots(placed, "shard", ("__id", "text_crc32", "size"), max(1, n // leaves)).select(F.col("__id").alias(id_col), "size", "text_crc32", "shard", "slot")
+    placed = staged(placed.select(F.col("__id"), F.col("__z").alias("size"), F.col("__crc").alias("text_crc32"), "shard", "__salt"), "kd-placed")
+    fullest = placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return numbered_slots(placed, "shard", ("__id", "text_crc32", "size", "__salt"), fullest or 1).select(F.col("__id").alias(id_col), "size", "text_crc32", "shard", "slot")
