@@ -93,6 +93,17 @@ def test_prose_after_a_credential_word_is_no_secret():
     assert secrets.find_spans("the secret is vornalixup mebrotasqi", words={"vornalixup": 3.0}) == []
 
 
+def test_many_assignments_in_one_text_take_linear_time():
+    text = lambda n: "".join(f'token = "ab{k:06d}" pass: Zq{k}xvKw9#mT2uLr ' for k in range(n))
+    small = secrets.find_spans(text(3))
+    assert [k for k, *_ in small] == ["assign", "guess"] * 3
+    assert all(a[2] <= b[1] for a, b in zip(small, small[1:], strict=False))
+    assert len(secrets.find_spans(text(4000))) == 8000
+    # a value inside a quoted one that is no secret, before a span that begins after it
+    quoted = 'password: "my token: is dear" deadbeefdeadbeefdeadbeef00'
+    assert [k for k, *_ in secrets.find_spans(quoted)] == ["hex"]
+
+
 def test_corpus_words_are_counted_over_documents(spark):
     rows = [(f"Alpha, beta gamma{k} alpha alpha qRtZm abc1 {'delta' if k < 6 else 'rare'}",) for k in range(9)] + [(None,), ("",)]
     got = secrets.corpus_words(spark.createDataFrame(rows, "text string"))

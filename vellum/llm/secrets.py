@@ -19,7 +19,9 @@ from __future__ import annotations
 import base64
 import math
 import re
+from bisect import bisect_left
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -221,13 +223,15 @@ def find_spans(text: str, threshold: float = GUESS_LOG10, words: dict[str, float
     if "AKIA" in text:
         out += [("access", m.start(), m.end(), None) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     out += [("hex", m.start(), m.end(), None) for m in HEX.finditer(text)]
-    base = list(out)
+    base = sorted((a, b) for _, a, b, _ in out)
+    # how far the first k of the patterns' spans reach
+    reach = list(accumulate((b for _, b in base), max, initial=0))
     m = CONTEXT.search(text)
     while m:
         g = m.lastindex
         start, end = m.span(g)
         at = max(start, end - CONTEXT_CHARS)
-        if not any(a < end and start < b for _, a, b, _ in base):
+        if reach[bisect_left(base, (end,))] <= start:
             cost = strength(m[g], words)
             if cost >= threshold:
                 out.append(("guess", start, end, cost))
