@@ -5,6 +5,8 @@ Character counts are code points; where a threshold is in bytes the name says so
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -235,8 +237,8 @@ def markdown_images(text: Column, paper_id: Column) -> Column:
 
 
 def safe_paper_id(value: Column) -> Column:
-    """An id that cannot leave its folder."""
-    return value.rlike(r"^[A-Za-z0-9._-]+$") & ~value.contains("..") & (F.char_length(value) <= 255)
+    """An id that cannot leave its folder: not empty, without separators and two dots."""
+    return (value != "") & ~value.rlike(r"\.\.|[/\\]")
 
 
 def safe_file_name(value: Column) -> Column:
@@ -292,14 +294,48 @@ def truncated_to(text: Column, n: Column) -> Column:
 
 
 def safe_join(root: Column, part: Column) -> Column:
-    """A path under root; null if the part would leave it."""
-    bad = part.rlike(r"(^|[/\\])\.\.([/\\]|$)") | part.rlike(r"^([/\\~]|[A-Za-z]:)")
+    """A path under root; null if the part is absolute, has two dots or a backslash."""
+    bad = part.rlike(r"\.\.|\\|^/")
     return F.when(~bad, F.concat(F.rtrim(root, F.lit("/")), F.lit("/"), part))
 
 
-def normalised_path(path: Column) -> Column:
-    """A pasted path without quotes, a file scheme, escapes and backslashes before spaces."""
-    t = F.btrim(F.trim(path), F.lit("\"'"))
-    scheme = t.startswith("file://")
-    decoded = F.url_decode(F.replace(F.regexp_replace(t, "^file://", ""), F.lit("+"), F.lit("%2B")))
-    return F.when(scheme, decoded).otherwise(F.replace(t, F.lit("\\ "), F.lit(" ")))
+def input_path(path: Column, home: str | None = None) -> Column:
+    """A path as a user pastes it: one pair of equal quotes around it goes, so do the backslashes that a terminal sets before
+    special characters, and a tilde at the front is the home folder, where one is known."""
+    t = F.regexp_replace(squeezed(path), r"(?s)^(['\"])(.*)\1$", "$2")
+    # fixed value: the characters before which a terminal sets a backslash
+    t = F.regexp_replace(t, r"\\([ \\'\"()\[\]{};&$!#*?<>|`])", "$1")
+    return t if home is None else F.when((t == "~") | t.startswith("~/"), F.concat(F.lit(home.rstrip("/")), F.substr(t, F.lit(2)))).otherwise(t)
+
+
+def url_encoded(text: Column) -> Column:
+    """All bytes but letters, digits and ``-_.~`` as percent escapes."""
+    t = F.url_encode(text)
+    return reduce(lambda c, x: F.replace(c, F.lit(x[0]), F.lit(x[1])), (("+", "%20"), ("*", "%2A"), ("%7E", "~")), t)
+
+
+def url_decoded(text: Column) -> Column:
+    """Percent escapes as the UTF-8 that they stand for; null where one is broken or they are no UTF-8.  A plus stays."""
+    t = F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+    # the decoder marks what is no UTF-8; a mark that was there or was escaped is none of its own
+    marks = lambda c, pattern: F.regexp_count(c, F.lit(pattern))
+    return F.when(marks(t, "\ufffd") == marks(text, "\ufffd|(?i:%EF%BF%BD)"), t)
+
+
+def file_path(url: Column) -> Column:
+    """The local path of a file URL; null for other schemes, other machines and broken escapes.  A drive loses the slash
+    before it."""
+    # fixed values: what a URL calls the machine itself
+    rest = F.regexp_extract(url, r"(?s)^file://(?:localhost|127\.0\.0\.1|\[::1\])?(/.*)$", 1)
+    return F.regexp_replace(url_decoded(F.when(rest != "", rest)), "^/(?=[A-Za-z]:)", "")
+
+
+def normalised_path(path: Column, home: str | None = None) -> Column:
+    """A pasted path or file URL as a path."""
+    t = input_path(path, home)
+    return F.when(t.startswith("file://"), file_path(t)).otherwise(t)
+
+
+def translation_hash(text: Column) -> Column:
+    """The key under which a text's translation is kept: 64 bits in hexadecimal."""
+    return F.lpad(F.lower(F.hex(F.xxhash64(text))), 16, "0")

@@ -296,7 +296,7 @@ def plausible_titles(spark, d):
     return lib.papers(spark, d).select("id", tx.plausible_title(F.col("title")).alias("plausible"))
 
 
-@query("", "SELECT page_id, regexp_full_match(v, '[A-Za-z0-9._-]+') AND NOT contains(v, '..') AND length(v) <= 255 AS safe FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url WHEN page_id % 3 = 1 THEN split_part(url, '/', 3) ELSE split_part(url, '/', 3) || '..x' END AS v FROM pages)")
+@query("", r"SELECT page_id, v <> '' AND NOT contains(v, '..') AND NOT contains(v, '/') AND NOT contains(v, '\') AS safe FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url WHEN page_id % 3 = 1 THEN split_part(url, '/', 3) ELSE split_part(url, '/', 3) || '..x' END AS v FROM pages)")
 def safe_ids(spark, d):
     host = F.split_part("url", F.lit("/"), F.lit(3))
     v = F.when(F.col("page_id") % 3 == 0, F.col("url")).when(F.col("page_id") % 3 == 1, host).otherwise(F.concat(host, F.lit("..x")))
@@ -342,6 +342,26 @@ def joined_paths(spark, d):
     return lib.read(spark, d, "pages").select("page_id", tx.safe_join(F.lit("/r/"), part).alias("path"))
 
 
+@query("", r"""SELECT page_id, CASE page_id % 4 WHEN 0 THEN '/home/u/' || p WHEN 1 THEN '/x y (' || p || ')' WHEN 2 THEN '/x y/' || p END AS path FROM (SELECT page_id, CAST(page_id AS VARCHAR) AS p FROM pages)""")
+def pasted_paths(spark, d):
+    p = F.col("page_id").cast("string")
+    typed = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit(" '~/"), p, F.lit("' "))).when(F.col("page_id") % 4 == 1, F.concat(F.lit("/x\\ y\\ \\("), p, F.lit("\\)")))
+    url = F.concat(F.when(F.col("page_id") % 4 == 2, F.lit("file:///x%20y/")).otherwise(F.lit("file://elsewhere/")), p)
+    return lib.read(spark, d, "pages").select("page_id", tx.normalised_path(F.coalesce(typed, url), "/home/u").alias("path"))
+
+
+@query("", "SELECT page_id, url_encode(url) AS encoded, url AS decoded, CAST(NULL AS VARCHAR) AS broken FROM pages")
+def encoded_urls(spark, d):
+    encoded = tx.url_encoded(F.col("url"))
+    return lib.read(spark, d, "pages").select("page_id", encoded.alias("encoded"), tx.url_decoded(encoded).alias("decoded"), tx.url_decoded(F.concat(encoded, F.lit("%f"))).alias("broken"))
+
+
+@query("", "SELECT doc_id, length(url_encode(text)) AS n_encoded, true AS restored FROM documents WHERE text IS NOT NULL")
+def encoded_texts(spark, d):
+    encoded = tx.url_encoded(F.col("text"))
+    return lib.read(spark, d, "documents").where("text is not null").select("doc_id", F.char_length(encoded).cast("long").alias("n_encoded"), (tx.url_decoded(encoded) == F.col("text")).alias("restored"))
+
+
 @query("papers", "SELECT id, published_date AS shown, split_part(published_date, '-', 1) AS year, CASE WHEN regexp_full_match(title, '[0-9]{4}(-[0-9]+){0,2}') THEN title END AS of_title FROM papers")
 def formatted_dates(spark, d):
     return lib.papers(spark, d).select("id", tx.formatted_date(F.col("published_date")).alias("shown"), tx.year_string(F.col("published_date")).alias("year"), tx.formatted_date(F.col("title")).alias("of_title"))

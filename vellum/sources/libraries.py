@@ -17,6 +17,10 @@ PAGE = 100
 NOT_PAPERS = ("attachment", "note", "annotation")
 #: fetch(start, limit, since) -> {"items": [...], "total": n, "version": v}
 Fetch = Callable[[int, int, int], dict]
+#: search(collection or None, limit, offset) -> ids, the latest first
+Search = Callable[[str | None, int, int], list[str]]
+#: Pages of one collection.
+MOST_PAGES = 100
 
 
 def _row(item: dict) -> tuple:
@@ -84,6 +88,56 @@ def library_source(name: str, fetch: Fetch) -> type[DataSource]:
     return Library
 
 
+class _Collections(DataSourceReader):
+    """A partition per collection, each listed page by page to its end, as its size is not known before."""
+
+    def __init__(self, search: Search, collections: list[str | None], page: int, most: int):
+        self.search, self.collections, self.page, self.most = search, collections, page, most
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(k) for k in range(len(self.collections))]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        name, place = self.collections[partition.value], 0
+        for _ in range(self.most):
+            found = self.search(name, self.page, place)
+            for item_id in found:
+                yield partition.value, place, item_id
+                place += 1
+            if len(found) < self.page:
+                return
+        raise RuntimeError(f"collection {name or '(all)'} has not ended after {self.most} pages: a partial listing would pass for deletions")
+
+
+def collection_source(name: str, search: Search, most: int = MOST_PAGES) -> type[DataSource]:
+    """A data source of a service that lists ids by collection; option ``collections`` is a JSON list of them, without
+    which the whole library is one listing.  A listing that ``most`` pages do not end is an error."""
+
+    class Collections(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return name
+
+        def schema(self) -> str:
+            return "collection int, place long, id string"
+
+        def reader(self, schema) -> DataSourceReader:
+            return _Collections(search, json.loads(self.options.get("collections", "null")) or [None], int(self.options.get("page", PAGE)), most)
+
+    return Collections
+
+
+def enumerated(spark: SparkSession, name: str, collections: list[str] | None = None, page: int = PAGE) -> DataFrame:
+    """``id, collection, place``: every id of the collections once, where it is listed first; collections count from 0
+    in the order given.  None stands for the whole library, an empty list for nothing."""
+    listed = spark.read.format(name).option("page", page)
+    if collections:
+        listed = listed.option("collections", json.dumps(collections))
+    found = listed.load() if collections is None or collections else listed.load().limit(0)
+    first = found.groupBy("id").agg(F.min(F.struct("collection", "place")).alias("at"))
+    return first.select("id", "at.collection", "at.place")
+
+
 def items(spark: SparkSession, name: str, since: int = 0) -> DataFrame:
     """The papers of a registered library."""
     return spark.read.format(name).option("since", since).load().where(~F.col("item_type").isin(*NOT_PAPERS))
