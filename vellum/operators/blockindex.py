@@ -11,7 +11,11 @@ result is that of scoring every posting, ties included.
 Upkeep.  New documents are a segment of their own.  Deleted ones are listed, and what they counted in frequencies and
 lengths is taken off, from the blocks of their bands alone.  An update is both.  Segments of a size, up to
 ``TIER`` times apart, are merged when there are ``TIER`` of them, so that a document is written again as often as the
-logarithm of the number of segments.  Nothing is changed in place: each operation returns tables to be written.
+logarithm of the number of segments.  Nothing is changed in place: each operation returns new tables.  Blocks are written
+when they are built or merged, as every later operation reads them.
+
+A block of ``EVERY``, which is no term, has the documents of a band with text in a field.  They give a segment's sizes,
+and say what a deletion finds, so that only blocks with such documents are opened.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ from vellum.staging import staged
 
 #: Documents of a band; segments of a tier that are merged.
 BAND, TIER = 64, 4
+#: The term of the blocks of all documents.
+EVERY = ""
 
 
 @dataclass
@@ -47,21 +53,29 @@ def band_of(doc_id: Column, bands: Column) -> Column:
     return F.pmod(F.xxhash64(doc_id), bands).cast("int")
 
 
-def _blocks(postings: DataFrame, segment: int, bands: int) -> DataFrame:
-    """Blocks of postings (field, term, doc_id, tf, len)."""
-    n = F.lit(bands)
-    placed = postings.withColumn("band", band_of(F.col("doc_id"), n))
+def _blocks(placed: DataFrame, segment: int, bands: int) -> DataFrame:
+    """Written blocks of postings (band, field, term, doc_id, tf, len) that are dealt out by bands, so that a task has whole
+    blocks."""
     each = placed.groupBy("field", "term", "band").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), F.collect_list(F.struct("doc_id", "tf", "len")).alias("docs"))
-    return each.select(F.lit(segment).alias("segment"), n.alias("bands"), "band", "field", "term", "n", "max_tf", "min_len", "docs")
+    return staged(each.select(F.lit(segment).alias("segment"), F.lit(bands).alias("bands"), "band", "field", "term", "n", "max_tf", "min_len", "docs"), "index-blocks")
+
+
+def _listed(blocks: DataFrame) -> DataFrame:
+    """``segment, band, field, doc_id, len`` of all documents with text in a field."""
+    return blocks.where(F.col("term") == EVERY).select("segment", "band", "field", F.explode("docs").alias("d")).select("segment", "band", "field", "d.doc_id", "d.len")
 
 
 def build(df: DataFrame, fields: list[str], segment: int = 0, id_col: str = "id", band: int = BAND) -> BlockIndex:
-    """A segment of some documents' text fields."""
-    plain = fulltext.build(df, fields, id_col)
+    """A segment of some documents' text fields; the id is a key of df.  Texts are shuffled, and their postings not."""
     bands = max(1, math.ceil(df.count() / band))
-    blocks = _blocks(plain.postings.join(plain.lengths, ["field", "doc_id"]), segment, bands)
-    sizes = plain.lengths.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("len").alias("total_len"))
-    sizes = sizes.select(F.lit(segment).alias("segment"), F.lit(bands).alias("bands"), "field", "n_docs", "total_len")
+    texts = fulltext.texts_by_field(df, fields, id_col, band_of(F.col(id_col), F.lit(bands)).alias("band"))
+    every = lambda t: F.struct(F.lit(EVERY).alias("term"), F.lit(0).cast("long").alias("tf"), t["len"].alias("len"))
+    words = F.transform(F.array(fulltext.counted(F.col("text"))), lambda ts: F.concat(F.transform(F.slice(ts, 1, 1), every), ts))[0]
+    # an inner explode would ask for the number of terms first, and count them twice
+    rows = texts.select("doc_id", "band", "field", F.explode_outer(words).alias("t")).where("t is not null")
+    blocks = _blocks(rows.select("doc_id", "band", "field", "t.*"), segment, bands)
+    sizes = _listed(blocks).groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("len").alias("total_len"))
+    sizes = staged(sizes.select(F.lit(segment).alias("segment"), F.lit(bands).alias("bands"), "field", "n_docs", "total_len"), "index-sizes")
     gone = blocks.select("segment", F.col("docs")[0]["doc_id"].alias("doc_id")).where(F.lit(False))
     return BlockIndex(blocks, sizes, gone, blocks.select("segment", "field", "term", "n").where(F.lit(False)))
 
@@ -71,10 +85,10 @@ def inserted(index: BlockIndex, new: BlockIndex) -> BlockIndex:
     return BlockIndex(*(getattr(index, x).unionByName(getattr(new, x)) for x in ("blocks", "sizes", "gone", "less")))
 
 
-def _postings(blocks: DataFrame, gone: DataFrame) -> DataFrame:
-    """``segment, field, term, doc_id, tf, len`` of the documents that count."""
+def _postings(blocks: DataFrame, gone: DataFrame | None = None) -> DataFrame:
+    """``segment, field, term, doc_id, tf, len`` of the documents, without those that are gone."""
     rows = blocks.select("segment", "field", "term", F.explode("docs").alias("d")).select("segment", "field", "term", "d.*")
-    return rows.join(gone, ["segment", "doc_id"], "left_anti")
+    return rows if gone is None else rows.join(gone, ["segment", "doc_id"], "left_anti")
 
 
 def deleted(index: BlockIndex, ids: DataFrame) -> BlockIndex:
@@ -82,17 +96,15 @@ def deleted(index: BlockIndex, ids: DataFrame) -> BlockIndex:
     segments = index.sizes.select("segment", "bands").distinct()
     # a row for each segment and id
     wanted = ids.select(F.col("id").alias("doc_id")).distinct().crossJoin(F.broadcast(segments)).withColumn("band", band_of(F.col("doc_id"), F.col("bands")))
-    near = index.blocks.join(wanted.select("segment", "band").distinct(), ["segment", "band"], "left_semi")
-    lost = _postings(near, index.gone).join(wanted.select("segment", "doc_id"), ["segment", "doc_id"], "left_semi")
-    lost = staged(lost, "index-lost")
-    per_doc = lost.groupBy("segment", "field", "doc_id").agg(F.first("len").alias("len"))
-    sizes = per_doc.groupBy("segment", "field").agg((-F.count(F.lit(1))).alias("n_docs"), (-F.sum("len")).alias("total_len")).join(segments, "segment")
-    return BlockIndex(
-        index.blocks,
-        index.sizes.unionByName(sizes.select(*index.sizes.columns)),
-        index.gone.unionByName(lost.select("segment", "doc_id").distinct()),
-        index.less.unionByName(lost.groupBy("segment", "field", "term").agg(F.count(F.lit(1)).alias("n"))),
-    )
+    listed = _listed(index.blocks).join(index.gone, ["segment", "doc_id"], "left_anti")
+    found = staged(listed.join(wanted.select("segment", "doc_id"), ["segment", "doc_id"], "left_semi"), "index-found")
+    near = index.blocks.where(F.col("term") != EVERY).join(found.select("segment", "band").distinct(), ["segment", "band"], "left_semi")
+    # a document counts once in each segment that it was in
+    gone = staged(found.select("segment", "doc_id").distinct(), "index-gone")
+    lost = _postings(near).join(gone, ["segment", "doc_id"], "left_semi")
+    less = staged(lost.groupBy("segment", "field", "term").agg(F.count(F.lit(1)).alias("n")), "index-less")
+    sizes = found.groupBy("segment", "field").agg((-F.count(F.lit(1))).alias("n_docs"), (-F.sum("len")).alias("total_len")).join(segments, "segment")
+    return BlockIndex(index.blocks, index.sizes.unionByName(staged(sizes.select(*index.sizes.columns), "index-sizes")), index.gone.unionByName(gone), index.less.unionByName(less))
 
 
 def updated(index: BlockIndex, df: DataFrame, fields: list[str], segment: int, id_col: str = "id") -> BlockIndex:
@@ -117,8 +129,9 @@ def merged(index: BlockIndex, segments: list[int], number: int, band: int = BAND
     own = index.sizes.where(among).groupBy("field").agg(F.sum("n_docs").alias("n_docs"), F.sum("total_len").alias("total_len"))
     bands = max(1, math.ceil((own.agg(F.max("n_docs")).first()[0] or 0) / band))
     sizes = own.select(F.lit(number).alias("segment"), F.lit(bands).alias("bands"), "field", "n_docs", "total_len")
+    placed = rows.drop("segment").withColumn("band", band_of(F.col("doc_id"), F.lit(bands))).repartition("band")
     return BlockIndex(
-        index.blocks.where(~among).unionByName(_blocks(rows.drop("segment"), number, bands)),
+        index.blocks.where(~among).unionByName(_blocks(placed, number, bands)),
         index.sizes.where(~among).unionByName(sizes),
         index.gone.where(~among),
         index.less.where(~among),
@@ -135,7 +148,7 @@ def maintained(index: BlockIndex, tier: int = TIER) -> BlockIndex:
 
 def frequencies(index: BlockIndex) -> DataFrame:
     """``field, term, n``: documents with each term."""
-    both = index.blocks.select("field", "term", "n").unionByName(index.less.select("field", "term", (-F.col("n")).alias("n")))
+    both = index.blocks.where(F.col("term") != EVERY).select("field", "term", "n").unionByName(index.less.select("field", "term", (-F.col("n")).alias("n")))
     return both.groupBy("field", "term").agg(F.sum("n").alias("n")).where("n > 0")
 
 
