@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from vellum.functions.query import sanitise
-from vellum.operators import blockindex, fulltext
+from vellum.operators import blockindex, fulltext, graph
 from vellum.plans import queries as library
 
 
@@ -29,3 +29,15 @@ def test_blocks_are_written_once_and_list_their_documents(spark):
     assert blockindex.frequencies(index).where("term = ''").isEmpty()
     less = blockindex.deleted(index, spark.createDataFrame([(7,), (99,)], "id int"))
     assert [tuple(r) for r in less.gone.collect()] == [(0, 7)] and blockindex.frequencies(less).where("term = 'b7'").isEmpty()
+
+
+def test_pairs_are_weighed_where_they_meet(spark, monkeypatch):
+    monkeypatch.setattr(graph, "PART", 5)
+    made = [(f"p{i:02}", [f"k{i % 3}", f"m{i % 11}"], [f"k{i % 3}"], ["e1", f"e{2 + i % 2}"]) for i in range(66)]
+    classes = spark.createDataFrame(made, "id string, kw array<string>, tok array<string>, ent array<string>")
+    found = graph.related(classes, 0.55)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Aggregate" not in plan
+    a, b = classes.alias("a"), classes.alias("b")
+    want = a.join(b, F.col("a.id") < F.col("b.id")).select("a.id", "b.id", F.round(graph.similarity("a", "b"), 9).alias("w")).where("w >= 0.55")
+    assert sorted((r[0], r[1], round(r[2], 9)) for r in found.collect()) == sorted(tuple(r) for r in want.collect())
