@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from vellum.functions import text as tx
 from vellum.functions.query import sanitise
 from vellum.operators import blockindex, fulltext, graph
 from vellum.plans import queries as library
@@ -41,3 +42,17 @@ def test_pairs_are_weighed_where_they_meet(spark, monkeypatch):
     a, b = classes.alias("a"), classes.alias("b")
     want = a.join(b, F.col("a.id") < F.col("b.id")).select("a.id", "b.id", F.round(graph.similarity("a", "b"), 9).alias("w")).where("w >= 0.55")
     assert sorted((r[0], r[1], round(r[2], 9)) for r in found.collect()) == sorted(tuple(r) for r in want.collect())
+
+
+def test_a_text_is_not_made_anew_for_each_of_a_needles_ngrams(spark):
+    df = spark.createDataFrame([("one two three", "X One Two Three"), ("one two three", "none "), ("ab", "xABy"), (None, "a"), ("one two three", None)], "n string, h string")
+    got = df.select(tx.containment(F.col("n"), F.lower("h")).alias("c"))
+    assert [r.c for r in got.collect()] == [1.0, 0.1, 1.0, 0.0, 0.0]
+    assert got._jdf.queryExecution().analyzed().toString().count("lower(h") == 1
+
+
+def test_only_paths_that_contain_a_term_are_tokenised(spark):
+    df = spark.createDataFrame([("p1", "Erth > A"), ("p2", "xerthx"), ("p3", "ention, erth"), ("p4", None)], "paper_id string, path string")
+    got = fulltext.path_overlap(df, "erth ention", 9)
+    assert [tuple(r) for r in got.collect()] == [("p3", 1.0), ("p1", 0.5)]
+    assert "contains(lower(path" in got._jdf.queryExecution().analyzed().toString().lower().split("array_contains")[0].split("filter")[-1]
