@@ -67,6 +67,16 @@ def test_hot_instants_ties_and_awkward_rows(spark, monkeypatch):
     assert all(x.n_clicks == 0 and x.last_click_id is None and x.n_lines == 0 for x in alone)
 
 
+def test_one_full_instant_does_not_cut_all_time_into_minutes(spark):
+    day = 86_400_000_000
+    rows = [(1, k * day // 4) for k in range(200)] + [(1, 30 * day)] * 500 + [(2, k * day // 4) for k in range(10)]
+    rows += [(3, k * day // 4) for k in range(200)] + [(3, (30 + k) * day) for k in range(2) for _ in range(500)]
+    widths = {r.client: r.width for r in pointintime._widths(spark.createDataFrame(rows, "client long, at long"), 100).collect()}
+    assert widths.keys() == {1, 3}
+    assert 10 * day < widths[1] <= 25 * day  # 100 of the other ticks take 25 days
+    assert widths[3] <= 2 * day  # full minutes that time can part stay apart
+
+
 def test_persistent_tree_answers_every_version():
     rng = np.random.default_rng(2)
     for n in (0, 1, 2, 5, 64, 300):

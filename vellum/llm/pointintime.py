@@ -11,7 +11,7 @@ starts at the version of its own time and goes down one level at a time along th
 right.  All queries of many shards go down together, and a level is dropped when they have passed it.
 
 Shards.  Clients with at most ``SHARD_ROWS`` events and queries are one shard.  Others are cut into time slices of equal
-width, ``GRID`` microseconds times a power of two, the widest of which none has more.  A slice's tree holds the points
+width, ``GRID`` microseconds times a power of two, the widest of which none has more besides one full minute.  A slice's tree holds the points
 that become known in it, and those known before that leave a window in it, at e + d.  The sum of the other points,
 which are active all the time, comes in as the sum over the slices before: of points that became known, less those that
 left.  Running sums over slices go by blocks of ``BLOCK`` slices.  Many points that become known at one instant cannot be
@@ -186,14 +186,18 @@ def _matched(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _widths(ticks: DataFrame, cap: int) -> DataFrame:
-    """``client, width`` of clients with more than ``cap`` ticks (client, at): that of their slices."""
+    """``client, width`` of clients with more than ``cap`` ticks (client, at): that of their slices.
+
+    A minute with more than ``cap`` ticks is as full in any slice.  It narrows a slice only if another such minute is in
+    it; else one instant with many ticks would cut all of its client's time into minutes."""
     many = staged(ticks.groupBy("client").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap).select("client", F.lit(True).alias("cut")), "pit-many")
     # the ticks of other clients are counted together
     minute = F.when(F.col("cut"), F.floor(F.col("at") / GRID)).alias("g")
     minutes = staged(_matched(ticks, many, ["client"]).groupBy("client", minute).agg(F.count(F.lit(1)).alias("n")), "pit-minutes")
-    levels = minutes.where("g is not null").select("client", "n", "g", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("k"))
-    fullest = levels.groupBy("client", "k", F.expr("shiftright(g, k)").alias("g")).agg(F.sum("n").alias("n")).groupBy("client", "k").agg(F.max("n").alias("n"))
-    out = staged(fullest.groupBy("client").agg(F.coalesce(F.max(F.when(F.col("n") <= cap, F.col("k"))), F.lit(0)).alias("k")).select("client", (F.lit(GRID) * F.expr("shiftleft(1L, k)")).alias("width")), "pit-widths")
+    parted, full = F.when(F.col("n") <= cap, F.col("n")).otherwise(0).alias("n"), (F.col("n") > cap).cast("int").alias("full")
+    levels = minutes.where("g is not null").select("client", parted, full, "g", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("k"))
+    fullest = levels.groupBy("client", "k", F.expr("shiftright(g, k)").alias("g")).agg(F.sum("n").alias("n"), F.sum("full").alias("full")).groupBy("client", "k").agg(F.max("n").alias("n"), F.max("full").alias("full"))
+    out = staged(fullest.groupBy("client").agg(F.coalesce(F.max(F.when((F.col("n") <= cap) & (F.col("full") <= 1), F.col("k"))), F.lit(0)).alias("k")).select("client", (F.lit(GRID) * F.expr("shiftleft(1L, k)")).alias("width")), "pit-widths")
     discard(many, minutes)
     return out
 
