@@ -430,3 +430,26 @@ def test_equal_rows_are_numbered_in_small_groups(spark, monkeypatch):
     for r in kdshard.kd_shards(df, leaves=2).collect():
         slots[r.shard].append(r.slot)
     assert sum(map(len, slots.values())) == 158 and all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
+def test_near_copies_are_paired_with_few_centres(spark, monkeypatch):
+    """Copies that differ a little from each other have another centre in almost every band."""
+    r = random.Random(4)
+    base = [f"w{k}" for k in range(200)]
+    texts = []
+    for i in range(300):
+        own = list(base)
+        for k in r.sample(range(200), 3):
+            own[k] = f"x{i}_{k}"
+        texts.append(" ".join(own))
+    pairs, alike = [], neardup._alike
+
+    def counted(*args):
+        out = alike(*args)
+        pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "_alike", counted)
+    got = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), size=2)
+    assert {x.component_id for x in got.collect()} == {0}
+    assert sum(pairs) <= 2 * len(texts)

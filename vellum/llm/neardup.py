@@ -5,9 +5,10 @@
    the least and the greatest value under each permutation; the sketch is one bit of each of ``BITS`` values.
 2. Rows with equal sets are one class; only classes are compared.  A class has a number of its own, so null and
    repeated ids never make one node of different texts.
-3. Stars: in each band's bucket every class is a candidate of the bucket's least class, and of nobody else.  Candidates
-   whose sketches differ too much go.  A class is first confirmed against its most popular centre alone; what that joins
-   is contracted, and only candidates that still lie in different components are confirmed after it.
+3. Stars: in each band's bucket every class is a candidate of the bucket's least class, its centre, and of nobody else.
+   Candidates whose sketches differ too much go.  A class is first confirmed against the centre of its largest bucket
+   alone; what that joins is contracted, and only members of another component than their centre's are paired with it
+   after that: a class of many near copies has another centre in almost every band.
 4. What the stars left apart.  Classes of a bucket that lie in different components are compared with each other where
    the bucket has ``COLD`` classes at most.  A larger bucket has a reference, the most linked class of its largest
    component, and its classes are met by their differences from the reference (below).
@@ -212,22 +213,24 @@ def _alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def _by_difference(differences: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes with one reference that may be linked, from ``a, b, linked, na, nb, d`` with b as the
-    reference: those that meet under an element of both prefixes, with room for the overlap they need."""
+    reference: those that meet under an element of both prefixes, with room for the overlap they need.  With a's ``root``
+    as well, only pairs of different roots."""
     share = (100 - percent) / (100 + percent)
     size = F.size("d").cast("long")
     # the least difference of a partner: one of a pair is not linked to the reference, and no overlap exceeds it
     linked_partner = share * (F.col("nb") + percent / 100 * F.col("na"))
     partner = F.when(F.col("linked"), linked_partner).otherwise(F.greatest(F.lit(0.0), (size - share * (F.col("na") + F.col("nb"))) / (1 + share)))
     overlap = F.greatest(F.lit(1), F.ceil(((1 - share) * partner + size - share * (F.col("na") + F.col("nb"))) / 2 - 1e-6))
-    rows = differences.select("a", F.col("b").alias("ref"), "linked", F.col("na").alias("n"), size.alias("dn"), (size - overlap + 1).alias("prefix"), F.explode("d").alias("e"))
+    root = F.col("root" if "root" in differences.columns else "a").alias("root")
+    rows = differences.select("a", root, F.col("b").alias("ref"), "linked", F.col("na").alias("n"), size.alias("dn"), (size - overlap + 1).alias("prefix"), F.explode("d").alias("e"))
     often = rows.groupBy("ref", "e").agg(F.count(F.lit(1)).alias("f"))
     placed = rows.where("prefix > 0").join(often, ["ref", "e"]).withColumn("at", F.row_number().over(Window.partitionBy("ref", "a").orderBy("f", "e")) - 1)
-    index = staged(placed.where("at < prefix and f > 1").select("ref", "e", "a", "linked", "n", "dn", "at"), "near-index")
+    index = staged(placed.where("at < prefix and f > 1").select("ref", "e", "a", "root", "linked", "n", "dn", "at"), "near-index")
     x, y = index.alias("x"), index.alias("y")
     c = lambda name: (F.col(f"x.{name}"), F.col(f"y.{name}"))
     (nx, ny), (dx, dy), (px, py), (lx, ly) = c("n"), c("dn"), c("at"), c("linked")
     needed = (dx + dy - share * (nx + ny)) / 2 - 1e-6
-    meet = (F.col("x.ref") == F.col("y.ref")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.a") > F.col("y.a")) & ~(lx & ly) & (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (F.least(dx - px, dy - py) >= needed)
+    meet = (F.col("x.ref") == F.col("y.ref")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.a") > F.col("y.a")) & (F.col("x.root") != F.col("y.root")) & ~(lx & ly) & (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (F.least(dx - px, dy - py) >= needed)
     out = staged(x.join(y, meet).select(F.col("x.a").alias("a"), F.col("y.a").alias("b")).distinct(), "near-by-difference")
     discard(index)
     return out
@@ -252,11 +255,8 @@ def linked(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFra
     slim = staged(classes.drop("bands"), "near-slim")
     fps = slim.select("cid", "fp", "o", "h")
 
-    stars = staged(_alike(members.where("cid <> centre").select(F.col("cid").alias("a"), F.col("centre").alias("b")).distinct(), slim, percent), "near-stars")
-    # what is counted by a key is staged before it is joined by that key, so that adaptive execution can split a hot one
-    popular = staged(stars.groupBy("b").agg(F.count(F.lit(1)).alias("c")), "near-popular")
-    first = staged(stars.join(popular, "b").groupBy("a").agg(F.max_by("b", F.struct(F.col("c"), -F.col("b"))).alias("b")), "near-first")
-    discard(popular)
+    first = members.where("cid <> centre").groupBy(F.col("cid").alias("a")).agg(F.max_by("centre", F.struct(F.col("m"), -F.col("centre"))).alias("b"))
+    first = staged(_alike(first, slim, percent), "near-first")
     links = found = None
 
     def join(more: DataFrame) -> None:
@@ -276,17 +276,27 @@ def linked(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFra
         join(staged(met.where("linked").select("a", "b"), "near-links"))
         discard(met)
 
+    def apart(rows: DataFrame) -> DataFrame:
+        """``key, cid, centre, m, root, star``: rows of buckets with several components, and their centre's component."""
+        tagged = staged(rows.join(found.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", "centre", "m", F.coalesce("root", "cid").alias("root")), "near-tagged")
+        # the centre is the least class of its bucket
+        several = staged(tagged.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min_by("root", "cid").alias("star")).where("x <> y").select("key", "star"), "near-apart")
+        out = staged(tagged.join(several, "key"), "near-live")
+        discard(tagged, several)
+        return out
+
     confirm(first)
-    rest = staged(_rooted(stars.join(first, ["a", "b"], "left_anti"), found), "near-rest")
+    far = apart(members)
+    discard(members)
+    rest = far.where("root <> star").select(F.col("cid").alias("a"), F.col("centre").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    rest = staged(_alike(rest, slim, percent), "near-rest")
+    tried = staged(first.unionByName(rest).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "near-tried")
     if not rest.isEmpty():
         confirm(rest)
     discard(rest, first)
     # what the stars left apart
-    tagged = members.join(found.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", "m", F.coalesce("root", "cid").alias("root"))
-    tagged = staged(tagged, "near-tagged")
-    apart = staged(tagged.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key"), "near-apart")
-    live = staged(tagged.join(apart, "key"), "near-live")
-    discard(members, tagged, apart)
+    live = apart(far.select("key", "cid", "centre", "m"))
+    discard(far)
     cold = live.where(F.col("m") <= COLD).groupBy("key").agg(F.collect_list(F.struct("cid", "root")).alias("es"))
     pair = lambda x: F.transform(F.filter("es", lambda y: (y["cid"] < x["cid"]) & (y["root"] != x["root"])), lambda y: F.struct(x["cid"].alias("a"), y["cid"].alias("b")))
     cold = staged(cold.select(F.explode(F.flatten(F.transform("es", pair))).alias("p")).select("p.*").distinct(), "near-cold")
@@ -301,15 +311,16 @@ def linked(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFra
     candidates = cold
     if not against.isEmpty():
         met = _met(docs, slim, against, size, percent, differ=True)
-        candidates = cold.unionByName(_by_difference(met, percent)).distinct()
         join(staged(met.where("linked").select("a", "b"), "near-links"))
+        rooted = met.join(found.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+        candidates = cold.unionByName(_by_difference(rooted, percent)).distinct()
         discard(met)
-    tried = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    rest = staged(_rooted(_alike(candidates.join(tried, ["a", "b"], "left_anti"), slim, percent), found), "near-rest")
-    discard(against, cold)
+    rest = _rooted(candidates.join(tried, ["a", "b"], "left_anti"), found).select("a", "b")
+    rest = staged(_alike(rest, slim, percent), "near-rest")
+    discard(against, cold, tried)
     if not rest.isEmpty():
         confirm(rest)
-    discard(rest, stars)
+    discard(rest)
     rooted = staged(fps.join(found.withColumnRenamed("node", "cid"), "cid", "left").select("fp", F.coalesce("root", "cid").alias("root"), "o", "h"), "near-rooted")
     firsts = staged(rooted.groupBy("root").agg(F.min(F.struct("o", "h")).alias("f")), "near-firsts")
     out = staged(rooted.join(firsts, "root").select("fp", "root", F.col("f.o").alias("first_o"), F.col("f.h").alias("first_h")), "near-of-class")
