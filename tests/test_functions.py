@@ -95,6 +95,16 @@ def test_front_matter(value):
     assert value(replies.front_matter, "plain --- text").body == "plain --- text" and value(replies.front_matter, None).body == ""
 
 
+def test_front_matter_sends_no_body_to_python(spark, monkeypatch):
+    seen, whites = [], "".join(c for c in map(chr, range(0x3001)) if not c.strip())
+    monkeypatch.setattr(replies.F, "pandas_udf", lambda t: lambda f: (lambda c: seen.append(c) or F.struct(*(F.lit(None).cast("string").alias(n.split()[0]) for n in replies._names(t)))))
+    texts = [f"---\ntitle: a\n---\n{whites}é body\n---\n{whites}", "---\n---\nx", "---\n\n---", "---\nopen", " ---\na\n---\nb "]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = df.select(replies.front_matter(F.col("text"))["body"].alias("body")).collect()
+    assert [r.body for r in got] == ["é body\n---", *texts[1:2], "", *texts[3:]]
+    assert [r.block for r in df.select(seen[0].alias("block")).collect()] == ["title: a", None, "", None, None]
+
+
 def test_images_and_labels(value):
     assert [value(tx.sanitised_label, x) for x in ("Fig. 1(a)", "__x__y", "S-2", "é")] == ["Fig_1_a", "x_y", "S-2", ""]
     images = value(lambda c: tx.markdown_images(c, F.lit("p")), "![a](b.png) x ![](c.png)")
