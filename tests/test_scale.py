@@ -56,3 +56,21 @@ def test_only_paths_that_contain_a_term_are_tokenised(spark):
     got = fulltext.path_overlap(df, "erth ention", 9)
     assert [tuple(r) for r in got.collect()] == [("p3", 1.0), ("p1", 0.5)]
     assert "contains(lower(path" in got._jdf.queryExecution().analyzed().toString().lower().split("array_contains")[0].split("filter")[-1]
+
+
+def test_terms_are_counted_as_they_are_taken_out(spark, monkeypatch):
+    monkeypatch.setattr(fulltext, "STEP", 9)
+    texts = ["a ab a", "", "ba\na", "éa a é", "ɏa ɐa ɀa aɁb", "×a a÷", "一a 二a", "a", "aab", None, "Ab AB\U0001f600ab", "a" * 40, "é", "ab-ab_ab.É"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1)
+    low, terms = F.lower(F.coalesce("t", F.lit(""))), ["a", "ab", "é", "aa"]
+    for r in df.select("i", fulltext.term_counts(low, terms).alias("got"), fulltext.terms_of(F.col("t")).alias("words")).collect():
+        assert r.got == [len(r.words), *(r.words.count(t) for t in terms)], texts[r.i]
+
+
+def test_no_text_is_shuffled_to_count_terms(spark, monkeypatch):
+    seen, real = [], fulltext.staged
+    monkeypatch.setattr(fulltext, "staged", lambda df, name: seen.append(df) or real(df, name))
+    df = spark.createDataFrame([(1, "erth and ention"), (2, "erth"), (3, "none")], "id int, t string")
+    assert sorted(r.doc_id for r in fulltext.bm25(fulltext.build(df, ["t"]), sanitise("erth ention")).collect()) == [1, 2]
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" not in plan and "regexp_extract_all" not in plan
