@@ -74,3 +74,11 @@ def test_no_text_is_shuffled_to_count_terms(spark, monkeypatch):
     assert sorted(r.doc_id for r in fulltext.bm25(fulltext.build(df, ["t"]), sanitise("erth ention")).collect()) == [1, 2]
     plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
     assert "Repartition" not in plan and "regexp_extract_all" not in plan
+
+
+def test_few_hits_go_to_the_table_they_are_joined_with(spark):
+    df = spark.createDataFrame([(f"c{i}", f"p{i % 3}", None if i < 3 else f"c{i % 3}", f"erth w{i}", i) for i in range(9)], "id string, paper_id string, parent_id string, content string, seq int")
+    index = fulltext.build(df, ["content"])
+    joined = fulltext.search_chunks(index, df, "erth", 4)
+    assert "leftHint=(strategy=broadcast)" in joined._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.doc_id for r in joined.collect()] == ["c0", "c1", "c2", "c3"]
