@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
 from vellum.functions.query import sanitise
-from vellum.operators import blockindex, fulltext, graph
+from vellum.operators import blockindex, fulltext, graph, listing, retrieval
 from vellum.plans import queries as library
 
 
@@ -82,3 +82,15 @@ def test_few_hits_go_to_the_table_they_are_joined_with(spark):
     joined = fulltext.search_chunks(index, df, "erth", 4)
     assert "leftHint=(strategy=broadcast)" in joined._jdf.queryExecution().optimizedPlan().toString()
     assert [r.doc_id for r in joined.collect()] == ["c0", "c1", "c2", "c3"]
+
+
+def test_contexts_read_the_chunks_of_their_papers_alone(spark, monkeypatch):
+    made = [(f"c{i}", f"p{i % 3}", None if i < 3 else f"c{i - 3}", f"erth w{i}", i, None) for i in range(12)]
+    chunks = spark.createDataFrame(made, "id string, paper_id string, parent_id string, content string, seq int, page_number int")
+    figures = spark.createDataFrame([], "id string, paper_id string, caption string, description string, page_number int")
+    seen, real = [], listing.heading_paths
+    monkeypatch.setattr(listing, "heading_paths", lambda c, ids: seen.append(c) or real(c, ids))
+    hits = spark.createDataFrame([("c7", 2.0), ("c10", 1.0), ("c8", 0.5)], "doc_id string, score double")
+    got = retrieval.chunk_contexts(hits, chunks, figures, spark.createDataFrame([("p1",), ("p2",)], "id string")).collect()
+    assert [(r.id, r.heading_path) for r in got] == [("c7", "erth w1 > erth w4"), ("c10", "erth w1 > erth w4 > erth w7"), ("c8", "erth w2 > erth w5")]
+    assert seen[0].inputFiles() and sorted(r.id for r in seen[0].collect()) == sorted(f"c{i}" for i in range(12) if i % 3)

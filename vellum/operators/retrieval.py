@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from vellum.functions import text as tx
 from vellum.functions.query import Profile
 from vellum.operators import fulltext, fusion, listing, vector
+from vellum.staging import staged
 
 # The metadata fields in order, the budgets, and the labels in contexts below.
 FIELDS = ("title", "authors", "published_date", "venue", "affiliations", "emails", "doi", "keywords", "extra")
@@ -70,10 +71,14 @@ def meta_parts(fields: tuple[str, ...], title: Column) -> Column:
 
 def chunk_contexts(hits: DataFrame, chunks: DataFrame, figures: DataFrame, papers: DataFrame) -> DataFrame:
     """Chunk hits (doc_id, score) with paper, heading path, cleaned content and referenced figures, best first."""
-    own = hits.select(F.col("doc_id").alias("id"), "score").join(chunks.select("id", "paper_id", "content", "page_number", "seq"), "id")
-    paths = listing.heading_paths(chunks, hits.select(F.col("doc_id").alias("id")))
-    out = own.join(paths, "id", "left").join(referenced_figures(own, figures), "id", "left").join(papers.select(F.col("id").alias("paper_id")), "paper_id", "left_semi")
-    return out.withColumn("content", tx.without_watermarks(F.col("content"))).orderBy(F.desc("score"), "id")
+    # the hits of a search are few: with them and the chunks of their papers written, all chunks are read twice and no more
+    own = staged(F.broadcast(hits.select(F.col("doc_id").alias("id"), "score")).join(chunks.select("id", "paper_id", "content", "page_number", "seq"), "id"), "chunk-hits")
+    found = own.select("paper_id").distinct()
+    near = staged(chunks.select("id", "paper_id", "parent_id", "content").join(F.broadcast(found), "paper_id", "left_semi"), "chunk-papers")
+    paths = listing.heading_paths(near, own.select("id"))
+    known = papers.select(F.col("id").alias("paper_id")).join(F.broadcast(found), "paper_id", "left_semi")
+    out = own.join(paths, "id", "left").join(referenced_figures(own, figures), "id", "left").join(known, "paper_id", "left_semi")
+    return F.broadcast(out.withColumn("content", tx.without_watermarks(F.col("content"))).orderBy(F.desc("score"), "id"))
 
 
 def compact_contexts(contexts: DataFrame, papers: DataFrame, most: int, fields: tuple[str, ...] = DEFAULT_FIELDS, by: tuple[str, ...] = ("paper_id",)) -> DataFrame:
