@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from vellum.functions import text as tx
 from vellum.functions.query import sanitise
 from vellum.operators import blockindex, fulltext, graph, listing, retrieval
+from vellum.plans import library as lib
 from vellum.plans import queries as library
 
 
@@ -94,3 +95,16 @@ def test_contexts_read_the_chunks_of_their_papers_alone(spark, monkeypatch):
     got = retrieval.chunk_contexts(hits, chunks, figures, spark.createDataFrame([("p1",), ("p2",)], "id string")).collect()
     assert [(r.id, r.heading_path) for r in got] == [("c7", "erth w1 > erth w4"), ("c10", "erth w1 > erth w4 > erth w7"), ("c8", "erth w2 > erth w5")]
     assert seen[0].inputFiles() and sorted(r.id for r in seen[0].collect()) == sorted(f"c{i}" for i in range(12) if i % 3)
+
+
+def test_a_path_search_without_a_term_finds_nothing(spark):
+    df = spark.createDataFrame([("p1", "中文"), ("p2", "Erth")], "paper_id string, path string")
+    assert fulltext.path_overlap(df, "中文", 9).isEmpty()
+
+
+def test_first_lines_are_cut_off_before_texts_are_split(spark, tmp_path):
+    texts = {1: "one\ntwo\nthree", 2: "only", 3: "", 5: "\n\nx", 6: "a\n", 7: None}
+    spark.createDataFrame([(i, t, "en", "src") for i, t in texts.items()], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    p = lib.papers(spark, str(tmp_path)).select("doc_id", "title", "abstract_text")
+    assert "split_part(text" not in p._jdf.queryExecution().analyzed().toString()
+    assert {r[0]: (r[1], r[2]) for r in p.collect()} == {1: ("one", "two"), 2: ("only", ""), 3: ("", ""), 5: ("", ""), 6: ("a", ""), 7: (None, None)}
