@@ -1,5 +1,7 @@
 """What grows with the tables: no result is cut, and no step makes more rows than it needs."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
@@ -45,6 +47,33 @@ def test_pairs_are_weighed_where_they_meet(spark, monkeypatch):
     assert sorted((r[0], r[1], round(r[2], 9)) for r in found.collect()) == sorted(tuple(r) for r in want.collect())
 
 
+def test_frequent_words_are_met_within_an_entity(spark, monkeypatch):
+    seen, real = {}, graph.staged
+    monkeypatch.setattr(graph, "staged", lambda df, name: seen.setdefault(name, real(df, name)))
+    # all papers share a word and an entity; pairs of the same two entities alone weigh enough
+    made = [(f"p{i:02}", [f"own{i}", "common"], [f"own{i}", "common"], ["e", f"e{i % 20}"]) for i in range(60)]
+    classes = spark.createDataFrame(made, "id string, kw array<string>, tok array<string>, ent array<string>")
+    found = graph.related(classes, 0.55)
+    assert found.count() == 20 * 3
+    groups = seen["graph-keys"].select(F.explode("keys").alias("x")).groupBy("x.e", "x.w").count()
+    assert groups.agg(F.sum(F.expr("count * (count - 1) div 2"))).first()[0] == 20 * 3
+    # what a pair shares is found once, not for each use of it
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("array_intersect") == 3
+
+
+def test_related_papers_of_phrases_and_fillers_lose_no_pair(spark):
+    r = random.Random(11)
+    word = lambda: r.choice(["data", "model", "of", "12", *(f"w{k}x" for k in range(5)), "w1xs", "w2xs"])
+    made = [(f"p{i:03}", [" ".join(word() for _ in range(r.randrange(1, 3))) for _ in range(r.randrange(5))]) for i in range(150)]
+    p = spark.createDataFrame(made, "id string, keywords array<string>")
+    e = spark.createDataFrame([(i, "gene", f"g{r.randrange(5)}") for i, _ in made for _ in range(r.randrange(4))], "paper_id string, kind string, value string")
+    classes = graph.feature_classes(graph.features(p, e)).persist()
+    every = classes.alias("a").join(classes.alias("b"), F.col("a.id") < F.col("b.id")).select("a.id", "b.id", F.round(graph.similarity("a", "b"), 9).alias("w")).collect()
+    for least in (0.3, 0.55, 0.8):
+        got = sorted((x.source, x.target, round(x.weight, 9)) for x in graph.related(classes, least).collect())
+        assert got == sorted(tuple(x) for x in every if x.w >= least) and got
+
+
 def test_a_text_is_not_made_anew_for_each_of_a_needles_ngrams(spark):
     df = spark.createDataFrame([("one two three", "X One Two Three"), ("one two three", "none "), ("ab", "xABy"), (None, "a"), ("one two three", None)], "n string, h string")
     got = df.select(tx.containment(F.col("n"), F.lower("h")).alias("c"))
