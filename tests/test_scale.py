@@ -9,6 +9,7 @@ from vellum.functions.query import sanitise
 from vellum.operators import blockindex, fulltext, graph, listing, retrieval
 from vellum.plans import library as lib
 from vellum.plans import queries as library
+from vellum.sources import figurepages
 
 
 def test_all_of_twice_a_thousand_hits_are_boosted(spark, tmp_path):
@@ -74,6 +75,32 @@ def test_related_papers_of_phrases_and_fillers_lose_no_pair(spark):
         assert got == sorted(tuple(x) for x in every if x.w >= least) and got
 
 
+def test_a_captions_bytes_are_summed_once(spark):
+    r = random.Random(3)
+    made = [("".join(r.choice(["Figure 2. ", ""])) + " ".join("".join(r.choice("abé一😀") for _ in range(r.randrange(1, 40))) for _ in range(r.randrange(9))),) for _ in range(80)]
+    made += [("a" * k + " b",) for k in range(124, 133)] + [("a " * 200,), ("",)]
+
+    def needle(caption):
+        upto, kept = 0, []
+        for w in caption.removeprefix("Figure 2. ").split():
+            upto += len(w.encode()) + 1
+            if upto > 130:
+                break
+            kept.append(w)
+        return " ".join(x for x in ("".join(c for c in w if c.isalnum()) for w in kept) if x)
+
+    got = spark.createDataFrame(made, "c string").select("c", tx.caption_needle(F.col("c")).alias("n"))
+    assert [x.n for x in got.collect()] == [needle(c) for (c,) in made]
+    # no sum for each word
+    assert "filter(" not in got._jdf.queryExecution().analyzed().toString()
+
+
+def test_no_page_is_shuffled_to_index_it(spark):
+    pages = spark.createDataFrame([("d", 1, "Figure 1. one two three four", 0), ("d", 2, None, 1)], "doc_id string, page int, text string, n_images int")
+    index = figurepages.page_index(pages)
+    assert "Join" not in index._jdf.queryExecution().optimizedPlan().toString() and index.count() == 2
+
+
 def test_a_text_is_not_made_anew_for_each_of_a_needles_ngrams(spark):
     df = spark.createDataFrame([("one two three", "X One Two Three"), ("one two three", "none "), ("ab", "xABy"), (None, "a"), ("one two three", None)], "n string, h string")
     got = df.select(tx.containment(F.col("n"), F.lower("h")).alias("c"))
