@@ -101,6 +101,26 @@ def test_no_page_is_shuffled_to_index_it(spark):
     assert "Join" not in index._jdf.queryExecution().optimizedPlan().toString() and index.count() == 2
 
 
+def test_a_cap_is_decided_in_blocks_of_the_order(spark, monkeypatch):
+    r, seen, real = random.Random(5), [], graph.staged
+    monkeypatch.setattr(graph, "staged", lambda df, name: seen.append(name) or real(df, name))
+    # all of 24 papers alike, of which each round of what can be decided at once would decide four
+    made = {(f"p{a:02}", f"p{b:02}"): 1.0 for a in range(24) for b in range(a + 1, 24)}
+    made |= {tuple(sorted((f"p{r.randrange(24):02}", f"q{r.randrange(40):02}"))): r.randrange(4) / 2 for _ in range(200)}
+    edges, cap = sorted((a, b, w, [a]) for (a, b), w in made.items()), 3
+    df = spark.createDataFrame(edges, "source string, target string, weight double, shared array<string>")
+    n, want = {}, []
+    for a, b, w, x in sorted(edges, key=lambda e: (-e[2], e[0], e[1])):
+        if n.get(a, 0) < cap and n.get(b, 0) < cap:
+            n[a], n[b] = n.get(a, 0) + 1, n.get(b, 0) + 1
+            want.append((a, b, w, x))
+    assert sorted(tuple(x) for x in graph.capped(df, cap).collect()) == sorted(want)
+    assert seen == ["graph-edges", "graph-kept"]
+    monkeypatch.setattr(graph, "BLOCK", 100)
+    assert sorted(tuple(x) for x in graph.capped(df, cap).collect()) == sorted(want)
+    assert seen.count("graph-kept") > 2 and graph.capped(df.limit(0), cap).isEmpty()
+
+
 def test_a_text_is_not_made_anew_for_each_of_a_needles_ngrams(spark):
     df = spark.createDataFrame([("one two three", "X One Two Three"), ("one two three", "none "), ("ab", "xABy"), (None, "a"), ("one two three", None)], "n string, h string")
     got = df.select(tx.containment(F.col("n"), F.lower("h")).alias("c"))
